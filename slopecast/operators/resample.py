@@ -80,17 +80,28 @@ def resample_smooth(
         .withColumn("_r", F.floor("_v").cast("int"))
         .withColumn("_c", F.floor("_u").cast("int"))
     )
-    joined = placed.join(_neighbourhoods(source, value, offsets), ["_r", "_c"], "left")
     by_row, by_col = weights(F.col("_v") - F.col("_r")), weights(F.col("_u") - F.col("_c"))
-    total, mass = F.lit(0.0), F.lit(0.0)
+    weighted = placed.select(
+        *target.columns,
+        "_r",
+        "_c",
+        *[w.alias(_weight("r", k)) for k, w in by_row.items()],
+        *[w.alias(_weight("c", k)) for k, w in by_col.items()],
+    )
+    joined = weighted.join(_neighbourhoods(source, value, offsets), ["_r", "_c"], "left")
+    totals, masses = [], []
     for r in offsets:
         for c in offsets:
-            w = by_row[r] * by_col[c]
-            cell = F.col(_slot(r, c))
-            total = total + F.coalesce(w * cell, F.lit(0.0))
-            mass = mass + F.when(cell.isNotNull(), w).otherwise(F.lit(0.0))
-    slots = [_slot(r, c) for r in offsets for c in offsets]
-    return joined.withColumn(value, F.when(mass > 0, total / mass)).drop("_u", "_v", "_r", "_c", *slots)
+            w, cell = F.col(_weight("r", r)) * F.col(_weight("c", c)), F.col(_slot(r, c))
+            totals.append(F.when(cell.isNotNull(), w * cell).otherwise(F.lit(0.0)))
+            masses.append(F.when(cell.isNotNull(), w).otherwise(F.lit(0.0)))
+    summed = joined.select(*target.columns, sum(totals[1:], totals[0]).alias("_total"), sum(masses[1:], masses[0]).alias("_mass"))
+    mean = F.when(F.col("_mass") > 0, F.col("_total") / F.col("_mass"))
+    return summed.withColumn(value, mean).drop("_total", "_mass")
+
+
+def _weight(axis: str, offset: int) -> str:
+    return f"_w{axis}_{offset + 1}"
 
 
 def resample(target: DataFrame, target_grid: Grid, source: DataFrame, source_grid: Grid, kernel: str, value: str = "value") -> DataFrame:
