@@ -130,15 +130,87 @@ FROM fx_grid GROUP BY CAST(floor(row_id / 2) AS INT), CAST(floor(col_id / 2) AS
     ),
 }
 
+FEATURE_LIST = "slope, elevation, aspect, ndvi, lulc, rainfall, river_m, road_m, twi"
+RULES = {
+    "longitude": "longitude BETWEEN 80 AND 90",
+    "latitude": "latitude BETWEEN 25 AND 31",
+    "slope": "slope BETWEEN 0 AND 90",
+    "elevation": "elevation BETWEEN 0 AND 9000",
+    "aspect": "aspect BETWEEN 0 AND 360",
+    "ndvi": "ndvi BETWEEN -1 AND 1",
+    "rainfall": "rainfall >= 0",
+    "river_m": "river_m >= 0",
+    "road_m": "road_m >= 0",
+    "twi": "twi >= 0",
+}
+FENCED = ["slope", "elevation", "ndvi", "rainfall", "river_m", "road_m", "twi"]
+ANY_MISSING = " OR ".join(f"{c} IS NULL" for c in ["longitude", "latitude", *FEATURE_LIST.split(", ")])
+ANY_BAD = " OR ".join(f"NOT ({rule})" for rule in RULES.values())
+
+
+def _fence(column: str) -> str:
+    q1, q3 = f"quantile_cont({column}, 0.25)", f"quantile_cont({column}, 0.75)"
+    return f"{q1} - 1.5 * ({q3} - {q1}) AS {column}_lo, {q3} + 1.5 * ({q3} - {q1}) AS {column}_hi"
+
+
+# Steps that only the SQL twins need as views.
+SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
+    "sq_unique": (
+        ("fx_points",),
+        "SELECT min(sample_id) AS sample_id, longitude, latitude, count(*) AS copies FROM fx_points GROUP BY longitude, latitude",
+    ),
+    "sq_sampled": (
+        ("sq_unique", "fx_grid"),
+        f"""SELECT u.*, CASE WHEN g.slope > -9998 THEN g.slope END AS slope, {FEATURE_LIST.replace('slope, ', '')}, g.score
+FROM sq_unique u LEFT JOIN fx_grid g ON CAST(floor((u.latitude - 28.5::DOUBLE) / -0.001::DOUBLE) AS INTEGER) = g.row_id
+  AND CAST(floor((u.longitude - 85.0::DOUBLE) / 0.001::DOUBLE) AS INTEGER) = g.col_id""",
+    ),
+    "sq_fences": (
+        ("sq_sampled",),
+        f"SELECT {', '.join(_fence(c) for c in FENCED)} FROM sq_sampled WHERE NOT ({ANY_MISSING}) AND NOT ({ANY_BAD})",
+    ),
+    "sq_tagged": (
+        ("sq_sampled", "sq_fences"),
+        f"""SELECT *, CASE stage WHEN 'missing_value_removal' THEN 'missing_or_nodata_raster_value'
+  WHEN 'domain_rule_filtering' THEN concat_ws(';', {', '.join(f"CASE WHEN NOT ({r}) THEN '{c}_outside_domain' END" for c, r in RULES.items())})
+  WHEN 'eda_iqr_outlier_removal' THEN concat_ws(';', {', '.join(f"CASE WHEN NOT ({c} BETWEEN {c}_lo AND {c}_hi) THEN '{c}_iqr_outlier' END" for c in FENCED)}) END AS removal_reason
+FROM (SELECT *, CASE WHEN {ANY_MISSING} THEN 'missing_value_removal' WHEN {ANY_BAD} THEN 'domain_rule_filtering'
+  WHEN {' OR '.join(f"NOT ({c} BETWEEN {c}_lo AND {c}_hi)" for c in FENCED)} THEN 'eda_iqr_outlier_removal' END AS stage FROM sq_sampled, sq_fences) s""",
+    ),
+    "sq_clean": (("sq_tagged",), f"SELECT sample_id, longitude, latitude, {FEATURE_LIST} FROM sq_tagged WHERE stage IS NULL"),
+    # Eligible background pixels, their draw order, and the balanced training table.
+    "sq_eligible": (
+        ("fx_grid", "sq_clean"),
+        f"""SELECT *, 85.0::DOUBLE + (col_id + 0.5::DOUBLE) * 0.001::DOUBLE AS longitude, 28.5::DOUBLE + (row_id + 0.5::DOUBLE) * -0.001::DOUBLE AS latitude
+FROM fx_grid g WHERE slope BETWEEN 0 AND 90 AND elevation BETWEEN 0 AND 9000 AND ndvi BETWEEN -1 AND 1 AND NOT EXISTS (
+  SELECT 1 FROM sq_clean c WHERE abs(c.latitude - (28.5::DOUBLE + (g.row_id + 0.5::DOUBLE) * -0.001::DOUBLE)) <= 0.001::DOUBLE
+  AND CAST(floor((c.latitude - 28.5::DOUBLE) / -0.001::DOUBLE) AS INTEGER) BETWEEN g.row_id - 1 AND g.row_id + 1
+  AND sqrt(power(85.0::DOUBLE + (g.col_id + 0.5::DOUBLE) * 0.001::DOUBLE - c.longitude, 2) + power(28.5::DOUBLE + (g.row_id + 0.5::DOUBLE) * -0.001::DOUBLE - c.latitude, 2)) <= 0.0009::DOUBLE)""",
+    ),
+    "sq_background": (
+        ("sq_eligible", "sq_clean"),
+        f"""SELECT 'bg_' || CAST(draw AS VARCHAR) AS sample_id, longitude, latitude, {FEATURE_LIST} FROM
+(SELECT *, row_number() OVER (ORDER BY md5('42:' || row_id || ':' || col_id), row_id || ':' || col_id) - 1 AS draw FROM sq_eligible) e WHERE draw < (SELECT count(*) FROM sq_clean)""",
+    ),
+    "sq_training": (
+        ("sq_clean", "sq_background"),
+        f"SELECT CAST(sample_id AS VARCHAR) AS sample_id, longitude, latitude, {FEATURE_LIST}, 1 AS landslide FROM sq_clean UNION ALL SELECT *, 0 FROM sq_background",
+    ),
+}
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
 
+def _view(name: str) -> tuple[tuple[str, ...], str]:
+    return VIEWS.get(name) or SQL_VIEWS[name]
+
+
 def _closure(names: tuple[str, ...]) -> list[str]:
     ordered: list[str] = []
     for name in names:
-        for n in [*_closure(VIEWS[name][0]), name]:
+        for n in [*_closure(_view(name)[0]), name]:
             if n not in ordered:
                 ordered.append(n)
     return ordered
@@ -148,7 +220,7 @@ def cte(names: tuple[str, ...]) -> str:
     """WITH clause that defines the views (and what they read) for DuckDB."""
     if not names:
         return ""
-    parts = [f"{n} AS (\n{VIEWS[n][1]}\n)" for n in _closure(names)]
+    parts = [f"{n} AS (\n{_view(n)[1]}\n)" for n in _closure(names)]
     return _ansi("WITH " + ",\n".join(parts) + "\n")
 
 

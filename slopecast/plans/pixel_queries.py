@@ -152,7 +152,7 @@ def p11(t: Tables) -> DataFrame:
 
 @query(
     "p13_risk_formula",
-    "SELECT row_id, col_id, round(least(1, 0.65::DOUBLE * score + 0.35::DOUBLE * r + 0.25::DOUBLE * score * r), 6) AS risk FROM (SELECT *, CAST(col_id AS DOUBLE) / 100 AS r FROM fx_grid) g",
+    "SELECT row_id, col_id, CASE WHEN score IS NOT NULL THEN round(least(1, 0.65::DOUBLE * score + 0.35::DOUBLE * r + 0.25::DOUBLE * score * r), 6) END AS risk FROM (SELECT *, CAST(col_id AS DOUBLE) / 100 AS r FROM fx_grid) g",
     ("fx_grid",),
 )
 def p13(t: Tables) -> DataFrame:
