@@ -31,11 +31,13 @@ def r6(value: Column | str) -> Column:
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    found = list(conditions)
+    return reduce(lambda a, b: a & b, found) if found else F.lit(True)
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    found = list(conditions)
+    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
 
 
 def isclose(a: Column | str, b: Column | float, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
@@ -48,15 +50,15 @@ def isclose(a: Column | str, b: Column | float, rtol: float = 1e-5, atol: float
 
 def null_sentinels(value: Column | str, codes: Iterable[float] = NODATA_CODES, mode: str = "close") -> Column:
     """NaN, infinities and NoData codes become NULL; ``mode`` is ``close`` or ``exact``."""
-    x = as_col(value).cast("double")
-    if mode == "close":
-        hits = [isclose(x, code) for code in codes]
-    elif mode == "exact":
-        hits = [x == F.lit(float(code)) for code in codes]
-    else:
+    if mode not in ("close", "exact"):
         raise ValueError(f"unknown sentinel mode: {mode}")
-    missing = any_of([F.isnan(x), F.abs(x) == F.lit(inf), *hits])
-    return F.when(~missing, x)
+    x = as_col(value).cast("double")
+    hits = [F.isnan(x), F.abs(x) == F.lit(inf)]
+    for code in codes:
+        # Literal tolerance: NaN compares false, so no further guards are needed.
+        slack = 1e-8 + 1e-5 * abs(code) if mode == "close" else 0.0
+        hits.append(F.abs(x - F.lit(float(code))) <= F.lit(slack) if slack else x == F.lit(float(code)))
+    return F.when(~any_of(hits), x)
 
 
 def circular_encode(degrees: Column | str) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import all_of, any_of, domain_conditions, null_sentinels, reason_string
+from ..session import materialise
 from ..settings import DOMAIN_RULES, FEATURES, OUTLIER_FEATURES, Grid
 from .pixels import sample_pixels
 from .quantiles import exact_quantiles
@@ -105,9 +106,14 @@ def tag_removals(sampled: DataFrame, features: list[str] = FEATURES, outlier_fea
 
 
 def clean_inventory(points: DataFrame, pixels: DataFrame, grid: Grid, features: list[str] = FEATURES) -> DataFrame:
-    """Dedupe, sample every layer and tag each remaining point with its removal stage."""
+    """Dedupe, sample every layer and tag each remaining point with its removal stage.
+
+    The sampled points are written once, so that the fences and the tags do not join
+    the pixel table again.
+    """
     sampled = sample_pixels(dedupe_points(points), pixels, grid, features)
-    return tag_removals(sampled.withColumns({c: null_sentinels(c) for c in features}), features)
+    landed = materialise(sampled.withColumns({c: null_sentinels(c) for c in features}), "sampled")
+    return tag_removals(landed, features)
 
 
 def kept_rows(tagged: DataFrame, features: list[str] = FEATURES) -> DataFrame:
