@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo_cache_key
 from ..operators import classes, nearest, pixels, polygon, ranking
 from ..sources import points as sources
-from ..settings import FEATURES, SCORE_SCHEME, Grid
+from ..settings import SCORE_SCHEME, Grid
 from .cleaning_queries import PLACE, tidy
 from .fixtures import COARSE, GRID, Tables
 from .pixel_queries import CLASS, SCORE_LABEL
@@ -27,15 +27,6 @@ def s3(t: Tables) -> DataFrame:
     return tidy(sources.landed_csv(t.view("fx_points")))
 
 
-@query(
-    "s7_require_columns",
-    "SELECT 'landslide' AS missing_column UNION ALL SELECT 'lulc_class'",
-)
-def s7(t: Tables) -> DataFrame:
-    missing = sources.missing_columns(t.grid, [*FEATURES, "lulc_class", "landslide"])
-    return t.spark.createDataFrame([(c,) for c in missing], "missing_column string")
-
-
 @query(
     "k1_write_table_csv",
     "SELECT loc_id, count(*) AS readings, round(sum(mm), 6) AS mm FROM fx_readings GROUP BY loc_id",
