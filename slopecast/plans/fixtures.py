@@ -196,6 +196,63 @@ FROM fx_grid g WHERE slope BETWEEN 0 AND 90 AND elevation BETWEEN 0 AND 9000 AND
         ("sq_clean", "sq_background"),
         f"SELECT CAST(sample_id AS VARCHAR) AS sample_id, longitude, latitude, {FEATURE_LIST}, 1 AS landslide FROM sq_clean UNION ALL SELECT *, 0 FROM sq_background",
     ),
+    # Delaunay triangles as lifted planes with no station below, then the surface over the grid.
+    "sq_lift": (
+        ("fx_stations",),
+        """SELECT s.*, s.x - m.mx AS u, s.y - m.my AS v, m.cell, power(s.x - m.mx, 2) + power(s.y - m.my, 2) + 0.000001::DOUBLE * m.cell * (s.station_id * s.station_id * 0.6180339887::DOUBLE - floor(s.station_id * s.station_id * 0.6180339887::DOUBLE)) AS z
+FROM fx_stations s, (SELECT avg(x) AS mx, avg(y) AS my, (max(x) - min(x)) * (max(y) - min(y)) / count(*) AS cell FROM fx_stations) m""",
+    ),
+    "sq_triples": (
+        ("sq_lift",),
+        """SELECT *, (bz - az) * (cv - av) - (cz - az) * (bv - av) AS pn, (bu - au) * (cz - az) - (cu - au) * (bz - az) AS qn FROM (
+SELECT a.station_id AS i, b.station_id AS j, c.station_id AS k, a.u AS au, a.v AS av, a.z AS az, b.u AS bu, b.v AS bv, b.z AS bz, c.u AS cu, c.v AS cv, c.z AS cz,
+  (b.u - a.u) * (c.v - a.v) - (c.u - a.u) * (b.v - a.v) AS o, a.cell FROM sq_lift a JOIN sq_lift b ON a.station_id < b.station_id JOIN sq_lift c ON b.station_id < c.station_id) t WHERE abs(o) > 0.000000001::DOUBLE * cell""",
+    ),
+    "sq_triangles": (
+        ("sq_triples", "sq_lift"),
+        "SELECT i, j, k FROM sq_triples t WHERE NOT EXISTS (SELECT 1 FROM sq_lift s WHERE s.station_id NOT IN (t.i, t.j, t.k) AND s.z - t.az - (t.pn * (s.u - t.au) + t.qn * (s.v - t.av)) / t.o < 0)",
+    ),
+    "sq_corners": (
+        ("sq_triangles", "fx_stations"),
+        """SELECT i, j, k, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2, (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS det
+FROM sq_triangles t JOIN fx_stations a ON a.station_id = i JOIN fx_stations b ON b.station_id = j JOIN fx_stations c ON c.station_id = k""",
+    ),
+    "sq_hits": (
+        ("sq_corners", "fx_grid"),
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, col_id ORDER BY i, j, k) AS n FROM (
+SELECT g.row_id, g.col_id, g.px, g.py, g.score, t.i, t.j, t.k, ((y2 - y0) * (px - x0) + (x0 - x2) * (py - y0)) / det AS w1, ((y0 - y1) * (px - x0) + (x1 - x0) * (py - y0)) / det AS w2
+FROM (SELECT row_id, col_id, score, 85.0::DOUBLE + (col_id + 0.5::DOUBLE) * 0.001::DOUBLE AS px, 28.5::DOUBLE + (row_id + 0.5::DOUBLE) * -0.001::DOUBLE AS py FROM fx_grid) g, sq_corners t) h
+WHERE w1 >= -0.000000001::DOUBLE AND w2 >= -0.000000001::DOUBLE AND w1 + w2 <= 1.000000001::DOUBLE) f WHERE n = 1""",
+    ),
+    "sq_values": (
+        ("fx_stations",),
+        """SELECT station_id, x, y, rainfall_trigger_score AS combined, least(rain_1h_mm / 20, 1) AS t1, least(rain_3h_mm / 40, 1) AS t3, least(rain_24h_mm / 100, 1) AS t24, least(rain_72h_mm / 180, 1) AS t72 FROM fx_stations""",
+    ),
+    "sq_linear": (
+        ("sq_hits", "sq_values"),
+        """SELECT row_id, col_id, """
+        + ", ".join(f"a.{v} + w1 * (b.{v} - a.{v}) + w2 * (c.{v} - a.{v}) AS {v}" for v in ("combined", "t1", "t3", "t24", "t72"))
+        + " FROM sq_hits h JOIN sq_values a ON a.station_id = i JOIN sq_values b ON b.station_id = j JOIN sq_values c ON c.station_id = k",
+    ),
+    "sq_nearest": (
+        ("sq_hits", "sq_values", "fx_grid"),
+        """SELECT row_id, col_id, combined, t1, t3, t24, t72 FROM (SELECT g.row_id, g.col_id, v.*, row_number() OVER (PARTITION BY g.row_id, g.col_id
+  ORDER BY power(v.x - (85.0::DOUBLE + (g.col_id + 0.5::DOUBLE) * 0.001::DOUBLE), 2) + power(v.y - (28.5::DOUBLE + (g.row_id + 0.5::DOUBLE) * -0.001::DOUBLE), 2), station_id) AS n
+FROM fx_grid g, sq_values v WHERE NOT EXISTS (SELECT 1 FROM sq_hits h WHERE h.row_id = g.row_id AND h.col_id = g.col_id)) f WHERE n = 1""",
+    ),
+    "sq_surface": (
+        ("sq_linear", "sq_nearest"),
+        "SELECT *, true AS in_hull FROM sq_linear UNION ALL SELECT *, false FROM sq_nearest",
+    ),
+    "sq_risk": (
+        ("sq_surface", "fx_grid"),
+        "SELECT s.row_id, s.col_id, g.score, s.in_hull, s.combined, "
+        + ", ".join(
+            f"least(1, 0.65::DOUBLE * g.score + 0.35::DOUBLE * s.{v} + 0.25::DOUBLE * g.score * s.{v}) AS risk_{v}"
+            for v in ("combined", "t1", "t3", "t24", "t72")
+        )
+        + " FROM sq_surface s JOIN fx_grid g ON g.row_id = s.row_id AND g.col_id = s.col_id WHERE g.score IS NOT NULL",
+    ),
 }
 
 BASE_TABLES = (
