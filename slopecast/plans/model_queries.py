@@ -1 +1,188 @@
+"""Metric and model queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import background, metrics, models
+from ..operators.pixels import clean_layers
+from ..session import materialise, shared_dir
+from ..settings import FEATURES, MODEL_NUMERIC
+from .cleaning_queries import tidy
+from .fixtures import Tables
+from .registry import query
+
+CONFUSION = "SELECT count(CASE WHEN label = 0 AND NOT hit THEN 1 END) AS true_negative, count(CASE WHEN label = 0 AND hit THEN 1 END) AS false_positive, count(CASE WHEN label = 1 AND NOT hit THEN 1 END) AS false_negative, count(CASE WHEN label = 1 AND hit THEN 1 END) AS true_positive FROM (SELECT label, score >= 0.02::DOUBLE AS hit FROM fx_scored) s"
+AUC = """SELECT sum(CASE WHEN {y} = 1 THEN r END) - count(CASE WHEN {y} = 1 THEN 1 END) * (count(CASE WHEN {y} = 1 THEN 1 END) + 1) / 2.0 AS u, count(CASE WHEN {y} = 1 THEN 1 END) AS pos, count(CASE WHEN {y} <> 1 THEN 1 END) AS neg
+FROM (SELECT {y}, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0::DOUBLE AS r FROM {t}) x"""
+
+
+def _predicted(t: Tables) -> DataFrame:
+    hit = F.when(F.col("score") >= F.lit(0.02), 1).otherwise(0)
+    return t.view("fx_scored").withColumn("predicted", hit)
+
+
+@query("a17_confusion_matrix", CONFUSION, ("fx_scored",))
+def a17(t: Tables) -> DataFrame:
+    return metrics.confusion_matrix(_predicted(t), "label", "predicted")
+
+
+@query(
+    "a18_binary_metrics",
+    f"""SELECT *, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy, round(tp::DOUBLE / (tp + fp), 6) AS "precision", round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1
+  FROM (SELECT *, true_negative AS tn, false_positive AS fp, false_negative AS fn, true_positive AS tp FROM ({CONFUSION}) c) d""".replace(
+        "SELECT *, round((tp", "SELECT true_negative, false_positive, false_negative, true_positive, round((tp"
+    ),
+    ("fx_scored",),
+)
+def a18(t: Tables) -> DataFrame:
+    return tidy(metrics.binary_metrics(metrics.confusion_matrix(_predicted(t), "label", "predicted")))
+
+
+@query(
+    "a19_roc_auc",
+    f"SELECT round(u / (pos::DOUBLE * neg), 6) AS roc_auc, pos AS positives, neg AS negatives FROM ({AUC.format(y='label', s='score', t='fx_scored')}) a",
+    ("fx_scored",),
+)
+def a19(t: Tables) -> DataFrame:
+    return tidy(metrics.roc_auc(t.view("fx_scored"), "label", "score"))
+
+
+# Single-feature scorers: the share of its range that a feature reaches.
+RULES = {"by_slope": "slope", "by_rainfall": "rainfall", "by_ndvi": "ndvi", "by_twi": "twi"}
+RULE_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, round(u / (pos::DOUBLE * neg), 6) AS test_roc_auc FROM ({AUC.format(y='landslide', s=c, t='fx_train')}) a"
+    for name, c in RULES.items()
+)
+
+
+def _rules(t: Tables) -> DataFrame:
+    rows = None
+    for name, column in RULES.items():
+        auc = metrics.roc_auc(t.view("fx_train"), "landslide", column)
+        part = auc.select(F.lit(name).alias("model"), F.col("roc_auc").alias("test_roc_auc"))
+        rows = part if rows is None else rows.unionByName(part)
+    return tidy(rows)
+
+
+@query(
+    "l1_rank_models",
+    f"SELECT model, test_roc_auc, CAST(row_number() OVER (ORDER BY test_roc_auc DESC, model) - 1 AS BIGINT) AS place FROM ({RULE_ROWS}) r",
+    ("fx_train",),
+)
+def l1(t: Tables) -> DataFrame:
+    ranked = models.rank_models(_rules(t)).coalesce(1)
+    return ranked.withColumn("place", F.monotonically_increasing_id())
+
+
+@query("m9_select_best", f"SELECT model, test_roc_auc FROM ({RULE_ROWS}) r ORDER BY test_roc_auc DESC, model LIMIT 1", ("fx_train",))
+def m9(t: Tables) -> DataFrame:
+    return models.select_best(_rules(t))
+
+
+@query("a20_cv_mean_std", f"SELECT round(avg(test_roc_auc), 5) AS mean, round(stddev_pop(test_roc_auc), 5) AS std FROM ({RULE_ROWS}) r", ("fx_train",))
+def a20(t: Tables) -> DataFrame:
+    found = metrics.mean_std(_rules(t), "test_roc_auc")
+    return found.select(F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+SCALED = ["slope", "elevation", "ndvi", "rainfall", "river_m", "road_m", "twi"]
+
+
+@query(
+    "m1_scale_numeric",
+    f"SELECT t.sample_id, {', '.join(f'round((t.{c} - m.{c}_m) / m.{c}_s, 6) + 0.0 AS {c}' for c in SCALED)} FROM fx_train t, (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in SCALED)} FROM fx_train) m",
+    ("fx_train",),
+)
+def m1(t: Tables) -> DataFrame:
+    return tidy(models.scale_numeric(t.view("fx_train"), SCALED).select("sample_id", *SCALED))
+
+
+@query(
+    "m2_one_hot",
+    "SELECT sample_id, CAST(lulc AS DOUBLE) AS lulc, CASE lulc WHEN 10 THEN 0 WHEN 100 THEN 1 WHEN 30 THEN 2 WHEN 40 THEN 3 WHEN 50 THEN 4 WHEN 60 THEN 5 WHEN 70 THEN 6 WHEN 80 THEN 7 END AS slot FROM fx_train",
+    ("fx_train",),
+)
+def m2(t: Tables) -> DataFrame:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = models.engineer(t.view("fx_train"))
+    encoded = Pipeline(stages=models.one_hot()).fit(rows).transform(rows)
+    slot = F.array_position(vector_to_array("lulc_hot"), F.lit(1.0)) - 1
+    return encoded.select("sample_id", F.col("lulc").cast("double").alias("lulc"), slot.cast("int").alias("slot"))
+
+
+@query(
+    "m3_balanced_weights",
+    "SELECT landslide, count(*) AS \"rows\", round(max((SELECT count(*) FROM fx_train)::DOUBLE) / (2 * count(*)), 6) AS weight FROM fx_train GROUP BY landslide",
+    ("fx_train",),
+)
+def m3(t: Tables) -> DataFrame:
+    weighted = models.balanced_weights(t.view("fx_train").select("landslide"))
+    return tidy(weighted.groupBy("landslide").agg(F.count(F.lit(1)).alias("rows"), F.max("weight").alias("weight")))
+
+
+def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = models.engineer(t.view("fx_train")).select("sample_id", *MODEL_NUMERIC, "lulc", "landslide")
+    split = materialise(background.stratified_split(rows, "sample_id", "landslide"), "split")
+    return tuple(split.where(F.col("split") == part).drop("split") for part in ("train", "test"))
+
+
+def _scored(t: Tables, name: str) -> DataFrame:
+    train, test = _parts(t)
+    return models.FITTERS[name](train).transform(test).select("sample_id", "landslide", "score", "predicted")
+
+
+@query("m4_random_forest")
+def m4(t: Tables) -> DataFrame:
+    return _scored(t, "Random Forest")
+
+
+@query("m5_svm_rbf_calibrated")
+def m5(t: Tables) -> DataFrame:
+    return _scored(t, "SVM")
+
+
+@query("m6_logistic_regression")
+def m6(t: Tables) -> DataFrame:
+    return _scored(t, "Logistic Regression")
+
+
+@query("m7_evaluate_model")
+def m7(t: Tables) -> DataFrame:
+    return models.evaluate_model("Logistic Regression", *_parts(t))[0]
+
+
+@query("m8_feature_importance")
+def m8(t: Tables) -> DataFrame:
+    train, _ = _parts(t)
+    return models.feature_importance(models.fit_logistic(train), train)
+
+
+@query("l2_rank_importance")
+def l2(t: Tables) -> DataFrame:
+    train, _ = _parts(t)
+    ranked = models.feature_importance(models.fit_logistic(train), train)
+    return ranked.select("feature", "importance")
+
+
+@query("m10_score_pixels")
+def m10(t: Tables) -> DataFrame:
+    train, _ = _parts(t)
+    return models.score_pixels(models.fit_logistic(train), clean_layers(t.grid, FEATURES), FEATURES)
+
+
+@query("k6_save_model")
+def k6(t: Tables) -> DataFrame:
+    """Save the fitted model with its facts and metrics, and read the facts back."""
+    train, test = _parts(t)
+    scorer = models.fit_logistic(train)
+    scored = scorer.transform(test)
+    measured = metrics.binary_metrics(metrics.confusion_matrix(scored, "landslide", "predicted"))
+    path = shared_dir(t.spark, "model")
+    models.save_model(scorer, path, measured, {"features": ",".join(MODEL_NUMERIC + ["lulc"]), "seed": "42", "test_share": "0.2"})
+    again = models.load_model(t.spark, path).transform(test)
+    same = scored.select("sample_id", "score").join(again.select("sample_id", F.col("score").alias("again")), "sample_id")
+    return same.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference"))

@@ -1 +1,139 @@
+"""Report, address, GeoJSON, Markdown and dashboard queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import alert_level, first_present, format_percent, place_fields
+from ..operators import classes, rain
+from ..settings import RISK_LABELS
+from ..sources import sinks
+from .cleaning_queries import tidy
+from .fixtures import ANCHOR, RUN_TIME, Tables
+from .rain_queries import MAXIMA, stations
+from .registry import query
+from .surface_queries import RISK_AREA, SUMMARY, risk_table, score_table
+
+# A geocoder answer per customer; keys come and go with the customer number.
+ADDRESS = """SELECT c_custkey, '{"address":{' || CASE WHEN c_custkey % 3 = 0 THEN '"village":"' || c_name || '",' ELSE '"village":"",' END
+  || CASE WHEN c_custkey % 4 = 0 THEN '"town":"' || c_mktsegment || '",' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '"county":"County ' || c_nationkey || '",' ELSE '' END
+  || '"state":"State ' || c_nationkey || '"}' || CASE WHEN c_custkey % 7 = 0 THEN ',"name":"Named ' || c_custkey || '"' ELSE '' END
+  || CASE WHEN c_custkey % 2 = 0 THEN ',"display_name":"Shown ' || c_custkey || '"' ELSE '' END || '}' AS payload FROM customer"""
+PARTS = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS local_name,
+  CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN 'County ' || c_nationkey END AS municipality,
+  CASE WHEN c_custkey % 5 = 0 THEN 'County ' || c_nationkey END AS district, 'State ' || c_nationkey AS province,
+  CASE WHEN c_custkey % 7 = 0 THEN 'Named ' || c_custkey WHEN c_custkey % 2 = 0 THEN 'Shown ' || c_custkey END AS fallback,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Shown ' || c_custkey END AS shown FROM customer"""
+DEFAULT_PLACE = "Unnamed place"
+
+
+@query("p18_first_present", f"SELECT c_custkey, coalesce(local_name, municipality) AS found FROM ({PARTS}) p")
+def p18(t: Tables) -> DataFrame:
+    address = F.from_json("payload", "address map<string,string>")["address"]
+    return t.sql(ADDRESS).select("c_custkey", first_present(address, ["village", "town", "county"]).alias("found"))
+
+
+@query(
+    "p19_place_fields",
+    f"SELECT c_custkey, coalesce(local_name, fallback, municipality, '{DEFAULT_PLACE}') AS place, local_name, municipality, district, province, coalesce(shown, local_name, fallback, municipality, '{DEFAULT_PLACE}') AS display_name FROM ({PARTS}) p",
+)
+def p19(t: Tables) -> DataFrame:
+    fields = place_fields("payload", DEFAULT_PLACE)
+    return t.sql(ADDRESS).select("c_custkey", *[c.alias(name) for name, c in fields.items()])
+
+
+@query(
+    "p23_format_percent",
+    """SELECT o_orderkey, CASE WHEN v > 0 AND v < 1 THEN printf('%.2f', v) ELSE printf('%.1f', v) END || '%' AS shown FROM (SELECT o_orderkey, CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 64 AS v FROM orders) x""",
+)
+def p23(t: Tables) -> DataFrame:
+    value = F.expr("CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 64")
+    return t.base("orders").select("o_orderkey", format_percent(value).alias("shown"))
+
+
+ALERT = f""", shares AS (SELECT sum(CASE WHEN class_value IN (4, 5) THEN area_percent ELSE 0 END) AS high, sum(CASE WHEN class_value = 5 THEN area_percent ELSE 0 END) AS severe FROM ({RISK_AREA}) a),
+m AS (SELECT {MAXIMA.removeprefix('SELECT ').removesuffix(' FROM fx_stations')}, max(rainfall_trigger_score) AS mt FROM fx_stations)"""
+
+
+def cards(t: Tables) -> DataFrame:
+    """One row of headline numbers."""
+    shares = classes.capture_share(risk_table(t), "risk_label", RISK_LABELS[3:], {"area_percent": "area"})
+    top = rain.rain_maxima(stations(t))
+    row = top.select(F.struct(*top.columns)).scalar()
+    named = shares.withColumn("_m", row).select("_m.*", F.col("area_high").alias("highSevereArea"), F.col("area_top").alias("severeArea"))
+    names = {f"max_rain_{h}h_mm": f"maxRain{h}h" for h in (1, 3, 24, 72)} | {"max_trigger_score": "maxTrigger"}
+    return named.withColumnsRenamed(names)
+
+
+@query(
+    "p21_alert_level",
+    ALERT
+    + """
+SELECT CASE WHEN severe >= 1 OR high >= 12 OR mt >= 0.6::DOUBLE THEN 'Elevated' WHEN high >= 5 OR mt >= 0.3::DOUBLE OR m72 >= 60 THEN 'Watch' ELSE 'Normal' END AS label,
+  CASE WHEN severe >= 1 OR high >= 12 OR mt >= 0.6::DOUBLE THEN '#d7191c' WHEN high >= 5 OR mt >= 0.3::DOUBLE OR m72 >= 60 THEN '#f97316' ELSE '#0f766e' END AS color, round(high, 5) AS high, round(severe, 5) AS severe FROM shares, m""",
+    ("sq_risk", "fx_stations"),
+)
+def p21(t: Tables) -> DataFrame:
+    level = alert_level("highSevereArea", "severeArea", "maxTrigger", "maxRain72h")
+    found = cards(t).withColumn("a", level)
+    return found.select(
+        "a.label", "a.color", F.round("highSevereArea", 5).alias("high"), F.round("severeArea", 5).alias("severe")
+    )
+
+
+@query(
+    "k3_to_geojson",
+    """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || round(longitude, 6) || ',' || round(latitude, 6) || ']},"properties":{"sample_id":' || sample_id || ',"longitude":' || round(longitude, 6) || ',"latitude":' || round(latitude, 6) || '}}' AS feature FROM fx_points""",
+    ("fx_points",),
+)
+def k3(t: Tables) -> DataFrame:
+    points = t.view("fx_points").select("sample_id", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"))
+    return sinks.feature_lines(points, "longitude", "latitude", ["sample_id", "longitude", "latitude"])
+
+
+@query(
+    "k4_app_state",
+    ALERT
+    + f"""
+SELECT '{RUN_TIME}' AS generated_at, '2024-01-15T09:15:00' AS latest_time, round(m72, 6) AS max_rain_72h, round(mt, 6) AS max_trigger, round(high, 5) AS high_area,
+  (SELECT count(*) FROM fx_stations) AS stations, (SELECT CAST(sum(pixel_count) AS BIGINT) FROM ({RISK_AREA}) a) AS risk_pixels, (SELECT CAST(sum(landslide_count) AS BIGINT) FROM ({SUMMARY}) s) AS events FROM shares, m""",
+    ("sq_risk", "fx_stations", "fx_points"),
+)
+def k4(t: Tables) -> DataFrame:
+    tables = {"risk": risk_table(t), "susceptibility": score_table(t), "rainfall": stations(t)}
+    order = {"risk": "risk_min", "susceptibility": "class_value", "rainfall": "station_id"}
+    height, width = t.shape
+    bounds = [[28.5 - height * 0.001, 85.0], [28.5, 85.0 + width * 0.001]]
+    overlays = {"susceptibility": "assets/susceptibility.png", "risk": "assets/risk.png"}
+    latest = ANCHOR.replace(" ", "T")
+    state = sinks.app_state(cards(t), tables, order, bounds, overlays, RUN_TIME, latest)
+    doc = F.from_json(
+        "app_state",
+        "generatedAt string, rainfallLatestTime string, cards struct<maxRain72h: double, maxTrigger: double, highSevereArea: double>, "
+        "summaries struct<risk: array<struct<pixel_count: long>>, susceptibility: array<struct<landslide_count: long>>, rainfall: array<struct<station_id: int>>>",
+    )
+
+    def total(items, name: str):
+        return F.aggregate(items, F.lit(0).cast("long"), lambda acc, r: acc + r[name])
+
+    return state.select(doc.alias("d")).select(
+        F.col("d.generatedAt").alias("generated_at"),
+        F.col("d.rainfallLatestTime").alias("latest_time"),
+        F.round("d.cards.maxRain72h", 6).alias("max_rain_72h"),
+        F.round("d.cards.maxTrigger", 6).alias("max_trigger"),
+        F.round("d.cards.highSevereArea", 5).alias("high_area"),
+        F.size("d.summaries.rainfall").cast("long").alias("stations"),
+        total(F.col("d.summaries.risk"), "pixel_count").alias("risk_pixels"),
+        total(F.col("d.summaries.susceptibility"), "landslide_count").alias("events"),
+    )
+
+
+@query(
+    "k5_summary_markdown",
+    f"""SELECT 0::BIGINT AS line_no, '| class_value | class_label | probability_min | probability_max | pixel_count | area_percent | landslide_count | landslide_percent |' AS line UNION ALL SELECT 1, '| --- | --- | --- | --- | --- | --- | --- | --- |'
+UNION ALL SELECT class_value + 1, '| ' || class_value || ' | ' || class_label || ' | ' || printf('%.3f', probability_min) || ' | ' || printf('%.3f', probability_max) || ' | ' || pixel_count || ' | ' || printf('%.3f', area_percent) || ' | ' || landslide_count || ' | ' || printf('%.3f', landslide_percent) || ' |' FROM ({SUMMARY}) s""",
+    ("fx_grid", "fx_points"),
+)
+def k5(t: Tables) -> DataFrame:
+    return sinks.markdown_rows(tidy(score_table(t)), "class_value")
