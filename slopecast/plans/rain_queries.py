@@ -152,16 +152,14 @@ def p22(t: Tables) -> DataFrame:
 
 
 # One payload per event: an hour before, a missing entry, an hour ahead of the current time.
-PAYLOADS = """SELECT event_id, ts, value, '{"hourly":{"time":["' || {t0} || '","' || {t1} || '","' || {t2} || '"],"precipitation":[' || CAST(CAST(value * 100 AS INT) AS STRING) || ',null,7]},"current":{"time":"' || {t1} || '+05:45","precipitation":' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE 'null' END || '}}' AS payload FROM events"""
+PAYLOAD = """'{"hourly":{"time":["' || {t0} || '","' || {t1} || '","' || {t2} || '"],"precipitation":[' || CAST(CAST(value * 100 AS INT) AS STRING) || ',null,7]},"current":{"time":"' || {t1} || '+05:45","precipitation":' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE 'null' END || '}}' AS payload"""
 
 
 def _payloads(t: Tables) -> DataFrame:
-    stamp = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss\")"
-    text = PAYLOADS
-    for name, shift in (("{t0}", "ts - INTERVAL 1 HOUR"), ("{t1}", "ts"), ("{t2}", "ts + INTERVAL 1 HOUR")):
-        text = text.replace(name, stamp.format(shift))
-    body, table = text.rsplit(" FROM ", 1)
-    return t.base(table).selectExpr(*[p for p in [body.removeprefix("SELECT event_id, ts, value, "), "event_id"]])
+    text = PAYLOAD
+    for name, time in (("{t0}", "ts - INTERVAL 1 HOUR"), ("{t1}", "ts"), ("{t2}", "ts + INTERVAL 1 HOUR")):
+        text = text.replace(name, f"date_format({time}, \"yyyy-MM-dd'T'HH:mm:ss\")")
+    return t.base("events").selectExpr("event_id", text)
 
 
 @query(

@@ -16,10 +16,10 @@ from .registry import query
 from .surface_queries import RISK_AREA, SUMMARY, risk_table, score_table
 
 # A geocoder answer per customer; keys come and go with the customer number.
-ADDRESS = """SELECT c_custkey, '{"address":{' || CASE WHEN c_custkey % 3 = 0 THEN '"village":"' || c_name || '",' ELSE '"village":"",' END
+ADDRESS = """'{"address":{' || CASE WHEN c_custkey % 3 = 0 THEN '"village":"' || c_name || '",' ELSE '"village":"",' END
   || CASE WHEN c_custkey % 4 = 0 THEN '"town":"' || c_mktsegment || '",' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '"county":"County ' || c_nationkey || '",' ELSE '' END
   || '"state":"State ' || c_nationkey || '"}' || CASE WHEN c_custkey % 7 = 0 THEN ',"name":"Named ' || c_custkey || '"' ELSE '' END
-  || CASE WHEN c_custkey % 2 = 0 THEN ',"display_name":"Shown ' || c_custkey || '"' ELSE '' END || '}' AS payload FROM customer"""
+  || CASE WHEN c_custkey % 2 = 0 THEN ',"display_name":"Shown ' || c_custkey || '"' ELSE '' END || '}' AS payload"""
 PARTS = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS local_name,
   CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN 'County ' || c_nationkey END AS municipality,
   CASE WHEN c_custkey % 5 = 0 THEN 'County ' || c_nationkey END AS district, 'State ' || c_nationkey AS province,
@@ -31,7 +31,7 @@ DEFAULT_PLACE = "Unnamed place"
 @query("p18_first_present", f"SELECT c_custkey, coalesce(local_name, municipality) AS found FROM ({PARTS}) p")
 def p18(t: Tables) -> DataFrame:
     address = F.from_json("payload", "address map<string,string>")["address"]
-    return t.sql(ADDRESS).select("c_custkey", first_present(address, ["village", "town", "county"]).alias("found"))
+    return t.base("customer").selectExpr("c_custkey", ADDRESS).select("c_custkey", first_present(address, ["village", "town", "county"]).alias("found"))
 
 
 @query(
@@ -40,15 +40,15 @@ def p18(t: Tables) -> DataFrame:
 )
 def p19(t: Tables) -> DataFrame:
     fields = place_fields("payload", DEFAULT_PLACE)
-    return t.sql(ADDRESS).select("c_custkey", *[c.alias(name) for name, c in fields.items()])
+    return t.base("customer").selectExpr("c_custkey", ADDRESS).select("c_custkey", *[c.alias(name) for name, c in fields.items()])
 
 
 @query(
     "p23_format_percent",
-    """SELECT o_orderkey, CASE WHEN v > 0 AND v < 1 THEN printf('%.2f', v) ELSE printf('%.1f', v) END || '%' AS shown FROM (SELECT o_orderkey, CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 64 AS v FROM orders) x""",
+    """SELECT o_orderkey, CASE WHEN v > 0 AND v < 1 THEN printf('%.2f', v) ELSE printf('%.1f', v) END || '%' AS shown FROM (SELECT o_orderkey, CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 97 AS v FROM orders) x""",
 )
 def p23(t: Tables) -> DataFrame:
-    value = F.expr("CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 64")
+    value = F.expr("CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 97")
     return t.base("orders").select("o_orderkey", format_percent(value).alias("shown"))
 
 
