@@ -66,6 +66,11 @@ def balanced_weights(df: DataFrame, label: str = LABEL, name: str = "weight") ->
     return df.withColumn(name, weight)
 
 
+def right_sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Fewer partitions for a small training table, so that each training step is not all scheduling."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def one_hot(columns: list[str] = CATEGORICAL) -> list:
     """Stages that give every known level a slot and an unknown one none."""
     indexed, encoded = [f"{c}_index" for c in columns], [f"{c}_hot" for c in columns]
@@ -110,7 +115,7 @@ class Scorer:
 
 
 def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Scorer:
-    weighted = balanced_weights(train)
+    weighted = right_sized(balanced_weights(train))
     stages, _ = prepare(weighted, scale=False)
     forest = RandomForestClassifier(
         labelCol=LABEL,
@@ -119,7 +124,6 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
         maxDepth=depth,
         minInstancesPerNode=FOREST_MIN_LEAF,
         featureSubsetStrategy="sqrt",
-        maxBins=256,
         maxMemoryInMB=1024,
         seed=SEED,
     )
@@ -128,7 +132,7 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
 
 def fit_logistic(train: DataFrame) -> Scorer:
     """L2-penalised; Spark's mean loss matches a summed loss at lambda = 1 / (C * sum of weights)."""
-    weighted = balanced_weights(train)
+    weighted = right_sized(balanced_weights(train))
     stages, _ = prepare(weighted, scale=True)
     mass = weighted.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
@@ -214,7 +218,7 @@ def fit_svm(train: DataFrame, key: str = "sample_id") -> Scorer:
     inputs, gamma = _gamma(prepared)
     kernel = Kernel(inputs, gamma)
     folded = stratified_folds(prepared.select(key, LABEL, "weight", "features"), key, LABEL, SVM_CALIBRATION_FOLDS)
-    projected = materialise(folded.withColumn("kernel_features", kernel.column("features")), "svm")
+    projected = materialise(right_sized(folded).withColumn("kernel_features", kernel.column("features")), "svm")
     margins = None
     for fold in range(SVM_CALIBRATION_FOLDS):
         svm = _fit_svm(projected.where(F.col("fold") != fold))
