@@ -76,7 +76,7 @@ def one_hot(columns: list[str] = CATEGORICAL) -> list:
     indexed, encoded = [f"{c}_index" for c in columns], [f"{c}_hot" for c in columns]
     return [
         StringIndexer(inputCols=columns, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
     ]
 
 

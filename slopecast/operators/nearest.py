@@ -44,7 +44,7 @@ def _pyramid(sites: DataFrame) -> tuple[tuple[float, float, float], int]:
     side = max(e["x2"] - e["x1"], e["y2"] - e["y1"]) * (1 + 1e-9) or 1.0
     extent = (e["x1"], e["y1"], side)
     level, full = 0, e["n"]
-    while full > LEAF_SITES and level < MAX_LEVEL:
+    while level < 1 or (full > LEAF_SITES and level < MAX_LEVEL):
         level += 1
         if FAN ** (2 * level) * LEAF_SITES < e["n"]:
             continue  # too coarse even for an even spread
@@ -76,15 +76,16 @@ def nearest_neighbour(
     front = queries.select(
         F.col(query_id).alias("_query"), F.col(query_xy[0]).alias("qx"), F.col(query_xy[1]).alias("qy")
     ).where("qx is not null and qy is not null")
-    front = front.withColumn("ix", F.lit(0).cast("long")).withColumn("iy", F.lit(0).cast("long"))
+    top = F.explode(F.sequence(F.lit(0), F.lit(FAN - 1)))
+    front = front.withColumn("ix", top).withColumn("iy", top)  # the cells of level 1
     reach = F.lit(float("inf") if within is None else within * within)
     for level in range(1, depth + 1):
         cells = (
             _with_cell(unique, extent, level)
             .groupBy(F.col("ix").alias("cx"), F.col("iy").alias("cy"))
             .agg(F.min("sx").alias("x1"), F.max("sx").alias("x2"), F.min("sy").alias("y1"), F.max("sy").alias("y2"))
-            .withColumn("ix", F.floor(F.col("cx") / FAN))
-            .withColumn("iy", F.floor(F.col("cy") / FAN))
+            .withColumn("ix", F.floor(F.col("cx") / FAN) if level > 1 else F.col("cx"))
+            .withColumn("iy", F.floor(F.col("cy") / FAN) if level > 1 else F.col("cy"))
         )
         if level <= BROADCAST_LEVEL:
             cells = F.broadcast(cells)
