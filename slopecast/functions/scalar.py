@@ -53,12 +53,42 @@ def null_sentinels(value: Column | str, codes: Iterable[float] = NODATA_CODES, m
     if mode not in ("close", "exact"):
         raise ValueError(f"unknown sentinel mode: {mode}")
     x = as_col(value).cast("double")
-    hits = [F.isnan(x), F.abs(x) == F.lit(inf)]
-    for code in codes:
-        # Literal tolerance: NaN compares false, so no further guards are needed.
-        slack = 1e-8 + 1e-5 * abs(code) if mode == "close" else 0.0
-        hits.append(F.abs(x - F.lit(float(code))) <= F.lit(slack) if slack else x == F.lit(float(code)))
-    return F.when(~any_of(hits), x)
+    return F.when(_finite(x) & _no_code(x, codes, mode), x)
+
+
+def _finite(x: Column) -> Column:
+    """False for infinities and for NaN, which orders above them."""
+    return F.abs(x) < F.lit(inf)
+
+
+def _no_code(x: Column, codes: Iterable[float], mode: str = "close") -> Column:
+    """None of the codes, each under one literal tolerance; codes +c and -c share a test."""
+    kept = list(codes)
+    tests = []
+    for code in kept:
+        mirrored = code != 0 and -code in kept
+        if mirrored and code < 0:
+            continue
+        away = F.abs(F.abs(x) - F.lit(code)) if mirrored else F.abs(x - F.lit(float(code)))
+        tests.append(away > F.lit(1e-8 + 1e-5 * abs(code)) if mode == "close" else away != F.lit(0.0))
+    return all_of(tests)
+
+
+def usable(column: str, rules: dict[str, tuple[float, float]] = DOMAIN_RULES, codes: Iterable[float] = NODATA_CODES) -> Column:
+    """Present, finite, no NoData code and inside its domain, as one small condition.
+
+    Codes outside the domain need no test of their own, which keeps the filter on raw
+    pixels short enough to be compiled.
+    """
+    x = F.col(column).cast("double")
+    lo, hi = rules.get(column, (-inf, inf))
+    inside = [code for code in codes if lo - 1e-5 * abs(code) <= code <= hi + 1e-5 * abs(code)]
+    parts = [_no_code(x, inside)] if inside else []
+    if column in rules:
+        parts.append(_inside(column, lo, hi))
+    if isinf(hi):
+        parts.append(_finite(x))
+    return F.coalesce(all_of(parts), F.lit(False))
 
 
 def circular_encode(degrees: Column | str) -> tuple[Column, Column]:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pixel_to_lonlat
-from ..settings import FEATURES, MIN_BACKGROUND_DISTANCE, SEED, TEST_SHARE, Grid
-from .clean import XY, domain_rules, drop_missing
+from ..settings import DOMAIN_RULES, FEATURES, MIN_BACKGROUND_DISTANCE, SEED, TEST_SHARE, Grid
+from .clean import XY, domain_rules
 from .nearest import pixels_near_points
-from .pixels import PIXEL
+from .pixels import PIXEL, valid_mask
 from .ranking import sample_n, shuffle_position
 
 # --- fixed values: metric names of the build report --------------------------
@@ -28,9 +28,9 @@ def eligible_background(
     """Complete in-domain pixels with no positive within ``distance``, at their centres."""
     x, y = pixel_to_lonlat("row_id", "col_id", grid)
     near = pixels_near_points(positives, grid, distance, ("longitude", "latitude"))
-    free = pixels.select(*PIXEL, *features).join(near, PIXEL, "left_anti")
+    free = valid_mask(pixels.select(*PIXEL, *features), features).join(near, PIXEL, "left_anti")
     placed = free.withColumn("longitude", x).withColumn("latitude", y)
-    return domain_rules(drop_missing(placed, [*XY, *features]), strict=True)
+    return domain_rules(placed, strict=True, rules={c: DOMAIN_RULES[c] for c in XY})
 
 
 def sample_background(

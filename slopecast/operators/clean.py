@@ -91,18 +91,17 @@ def tag_removals(sampled: DataFrame, features: list[str] = FEATURES, outlier_fea
     """Add ``stage`` (first failed stage, NULL when clean) and ``removal_reason``."""
     missing = any_of(F.col(c).isNull() for c in [*XY, *features])
     bad_domain = {c: ~F.coalesce(ok, F.lit(True)) for c, ok in domain_conditions(sampled.columns).items()}
-    in_domain = ~missing & ~any_of(bad_domain.values())
-    bounds = iqr_bounds(sampled.where(in_domain), outlier_features)
+    checked = sampled.withColumn("_missing", missing).withColumn("_domain", reason_string(bad_domain, "outside_domain"))
+    bounds = iqr_bounds(checked.where("not _missing and _domain = ''"), outlier_features)
     bad_iqr = {c: ~ok for c, ok in iqr_conditions(bounds).items()}
-    stage = (
-        F.when(missing, MISSING).when(any_of(bad_domain.values()), DOMAIN).when(any_of(bad_iqr.values()), OUTLIERS)
-    )
+    checked = checked.withColumn("_iqr", reason_string(bad_iqr, "iqr_outlier"))
+    stage = F.when(F.col("_missing"), MISSING).when(F.col("_domain") != "", DOMAIN).when(F.col("_iqr") != "", OUTLIERS)
     reason = (
-        F.when(F.col("stage") == MISSING, F.lit(MISSING_REASON))
-        .when(F.col("stage") == DOMAIN, reason_string(bad_domain, "outside_domain"))
-        .when(F.col("stage") == OUTLIERS, reason_string(bad_iqr, "iqr_outlier"))
+        F.when(F.col("_missing"), F.lit(MISSING_REASON))
+        .when(F.col("_domain") != "", F.col("_domain"))
+        .when(F.col("_iqr") != "", F.col("_iqr"))
     )
-    return sampled.withColumn("stage", stage).withColumn("removal_reason", reason)
+    return checked.withColumns({"stage": stage, "removal_reason": reason}).drop("_missing", "_domain", "_iqr")
 
 
 def clean_inventory(points: DataFrame, pixels: DataFrame, grid: Grid, features: list[str] = FEATURES) -> DataFrame:

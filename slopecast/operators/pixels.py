@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_of, digitize, domain_conditions, lonlat_to_pixel, null_sentinels
+from ..functions.scalar import all_of, digitize, lonlat_to_pixel, null_sentinels, usable
 from ..settings import CATEGORICAL, FEATURES, NODATA_CODES, Grid
 
 PIXEL = ["row_id", "col_id"]
@@ -83,9 +83,8 @@ def sample_layers(
 
 
 def valid_mask(pixels: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """Pixels where every layer is present and inside its domain."""
-    present = [F.col(c).isNotNull() for c in columns]
-    return pixels.where(all_of([*present, *domain_conditions(columns).values()]))
+    """Raw or cleaned pixels where every layer is present and inside its domain."""
+    return pixels.where(all_of(usable(c) for c in columns))
 
 
 def classify_map(pixels: DataFrame, score: str = "score", name: str = "class_value") -> DataFrame:

@@ -21,29 +21,34 @@ Quantiles = dict[str, dict[float, float]]
 
 def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     pairs = [F.struct(F.lit(n).alias("_c"), c.cast("double").alias("_v")) for n, c in columns.items()]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("_v is not null")
+    return df.select(F.inline(F.array(*pairs))).where("_v is not null")
 
 
-def _per_rank(long: DataFrame, active: list[dict]) -> DataFrame:
-    """Values that lie in the interval of each active (column, rank) pair."""
-    rows = [(a["c"], a["rank"], a["lo"], a["hi"]) for a in active]
-    spans = long.sparkSession.createDataFrame(rows, "_c string, _rank long, _lo double, _hi double")
+def _spans(active: list[dict]) -> list[tuple]:
+    """Distinct (column, lo, hi); ranks of one column mostly share an interval."""
+    return sorted({(a["c"], a["lo"], a["hi"]) for a in active})
+
+
+def _inside(long: DataFrame, active: list[dict]) -> DataFrame:
+    spans = long.sparkSession.createDataFrame(_spans(active), "_c string, _lo double, _hi double")
     return long.join(F.broadcast(spans), "_c").where("_v between _lo and _hi")
 
 
 def _refine(long: DataFrame, active: list[dict]) -> None:
     width = (F.col("_hi") - F.col("_lo")) / F.lit(BINS)
     number = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))
-    bins = (
-        _per_rank(long, active)
+    found = (
+        _inside(long, active)
         .withColumn("_bin", number)
-        .groupBy("_c", "_rank", "_bin")
+        .groupBy("_c", "_lo", "_bin")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        .collect()  # at most BINS rows for each wanted rank
+        .collect()  # at most BINS rows for each interval
     )
+    bins: dict[tuple, list] = {}
+    for b in sorted(found, key=lambda b: b["_bin"]):
+        bins.setdefault((b["_c"], b["_lo"]), []).append(b)
     for a in active:
-        mine = sorted((b for b in bins if (b["_c"], b["_rank"]) == (a["c"], a["rank"])), key=lambda b: b["_bin"])
-        for b in mine:
+        for b in bins[a["c"], a["lo"]]:
             if a["below"] + b["n"] > a["rank"]:
                 a.update(lo=b["lo"], hi=b["hi"], n=b["n"])
                 break
@@ -51,16 +56,15 @@ def _refine(long: DataFrame, active: list[dict]) -> None:
 
 
 def _pick(long: DataFrame, active: list[dict]) -> dict[tuple[str, int], float]:
-    key = ["_c", "_rank"]
-    counts = _per_rank(long, active).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(W.partitionBy(*key).orderBy("_v"))
-    rows = [(a["c"], a["rank"], a["below"]) for a in active]
-    below = long.sparkSession.createDataFrame(rows, "_c string, _rank long, _below long")
+    counts = _inside(long, active).groupBy("_c", "_lo", "_v").agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(W.partitionBy("_c", "_lo").orderBy("_v"))
+    rows = [(a["c"], a["lo"], a["rank"], a["rank"] - a["below"]) for a in active]
+    ranks = long.sparkSession.createDataFrame(rows, "_c string, _lo double, _rank long, _at long")
     found = (
         counts.withColumn("_upto", running)
-        .join(F.broadcast(below), key)
-        .where(F.col("_below") + F.col("_upto") > F.col("_rank"))
-        .groupBy(*key)
+        .join(F.broadcast(ranks), ["_c", "_lo"])
+        .where(F.col("_upto") > F.col("_at"))
+        .groupBy("_c", "_rank")
         .agg(F.min("_v").alias("v"))
     )
     return {(r["_c"], r["_rank"]): r["v"] for r in found.collect()}  # one row per wanted rank
@@ -69,15 +73,22 @@ def _pick(long: DataFrame, active: list[dict]) -> dict[tuple[str, int], float]:
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], list_rows: int = LIST_ROWS) -> Quantiles:
     """Quantiles of each named column over its non-missing values; empty columns are left out."""
     long = _long(df, columns)
-    extent = long.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    facts = [
+        F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(c)
+        for c, v in ((c, v.cast("double")) for c, v in columns.items())
+    ]
+    extent = df.agg(*facts).first()
     wanted: dict[tuple[str, int], dict] = {}
     positions: dict[tuple[str, float], float] = {}
-    for r in extent.collect():  # one row per column
+    for c in columns:
+        r = extent[c]
+        if not r["n"]:
+            continue
         for p in probs:
             position = p * (r["n"] - 1)
-            positions[r["_c"], p] = position
+            positions[c, p] = position
             for rank in {floor(position), min(floor(position) + 1, r["n"] - 1)}:
-                wanted[r["_c"], rank] = dict(c=r["_c"], rank=rank, lo=r["lo"], hi=r["hi"], n=r["n"], below=0)
+                wanted[c, rank] = dict(c=c, rank=rank, lo=r["lo"], hi=r["hi"], n=r["n"], below=0)
     while wide := [a for a in wanted.values() if a["n"] > list_rows and a["lo"] < a["hi"]]:
         _refine(long, wide)
     values = {(a["c"], a["rank"]): a["lo"] for a in wanted.values() if a["lo"] == a["hi"]}

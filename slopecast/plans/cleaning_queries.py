@@ -9,6 +9,7 @@ from ..functions import all_of, domain_conditions, missing_flag, null_sentinels,
 from ..operators import background, clean, describe
 from ..operators.clean import XY
 from ..operators.pixels import PIXEL, clean_layers, sample_pixels
+from ..session import materialise
 from ..settings import FEATURES, FOLDS, TREND_PAIRS
 from .fixtures import ANY_BAD, ANY_MISSING, FEATURE_LIST, FENCED, GRID, RULES, Tables
 from .registry import query
@@ -28,12 +29,13 @@ def tagged(t: Tables) -> DataFrame:
 
 
 def positives(t: Tables) -> DataFrame:
-    return clean.kept_rows(tagged(t))
+    """The cleaned inventory, written once because several steps read it."""
+    return materialise(clean.kept_rows(tagged(t)), "clean")
 
 
 def training(t: Tables) -> DataFrame:
     known = positives(t)
-    drawn = background.sample_background(clean_layers(t.grid, FEATURES), known, GRID, known.count())
+    drawn = background.sample_background(t.grid, known, GRID, known.count())
     return background.training_table(known, drawn)
 
 
@@ -149,7 +151,7 @@ def u3(t: Tables) -> DataFrame:
 def l5(t: Tables) -> DataFrame:
     known = positives(t)
     n = known.count()
-    drawn = background.sample_background(clean_layers(t.grid, FEATURES), known, GRID, n)
+    drawn = background.sample_background(t.grid, known, GRID, n)
     return tidy(drawn.withColumn("lulc", F.col("lulc").cast("double")))
 
 
@@ -159,7 +161,7 @@ def l5(t: Tables) -> DataFrame:
     ("sq_eligible",),
 )
 def f14(t: Tables) -> DataFrame:
-    return background.eligible_background(clean_layers(t.grid, FEATURES), positives(t), GRID).select(*PIXEL)
+    return background.eligible_background(t.grid, positives(t), GRID).select(*PIXEL)
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import background, metrics, models
-from ..operators.pixels import clean_layers
 from ..session import materialise, shared_dir
 from ..settings import FEATURES, MODEL_NUMERIC
 from .cleaning_queries import tidy
@@ -174,7 +173,7 @@ def l2(t: Tables) -> DataFrame:
 @query("m10_score_pixels")
 def m10(t: Tables) -> DataFrame:
     train, _ = _parts(t)
-    return models.score_pixels(models.fit_logistic(train), clean_layers(t.grid, FEATURES), FEATURES)
+    return models.score_pixels(models.fit_logistic(train), t.grid, FEATURES)
 
 
 @query("k6_save_model")

@@ -174,7 +174,7 @@ VALID = "slope >= 0 AND slope <= 90 AND elevation >= 0 AND elevation <= 9000 AND
 
 @query("f4_pixel_valid_mask", f"SELECT row_id, col_id FROM fx_grid WHERE {VALID}", ("fx_grid",))
 def f4(t: Tables) -> DataFrame:
-    return pixels.valid_mask(pixels.clean_layers(t.grid, LAYERS)).select(*PIXEL)
+    return pixels.valid_mask(t.grid, LAYERS).select(*PIXEL)
 
 
 @query(
