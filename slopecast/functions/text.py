@@ -76,6 +76,7 @@ def alert_level(high_severe: Column | str, severe: Column | str, trigger: Column
             F.lit(name).alias("label"), F.lit(title).alias("title"), F.lit(color).alias("color"), reason.alias("reason")
         )
 
+    # --- fixed values: titles, colours and reason texts ----------------------
     elevated = level(
         "Elevated",
         "High attention needed",

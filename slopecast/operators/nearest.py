@@ -118,6 +118,8 @@ def distance_anti_join(
     candidates: DataFrame, sites: DataFrame, candidate_id: str, site_id: str, distance: float, **xy: tuple[str, str]
 ) -> DataFrame:
     """Candidates with no site within ``distance`` (inclusive)."""
+    if sites.isEmpty():
+        return candidates
     near = nearest_neighbour(candidates, sites, candidate_id, site_id, within=distance, **xy)
     return candidates.join(near.select(candidate_id), candidate_id, "left_anti")
 

@@ -16,8 +16,14 @@ from ..functions.scalar import as_col, hash_key
 from ..settings import SEED
 
 
-def range_bucket(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
-    """Add an ordered bucket number with about equally many rows of ``key`` per bucket."""
+HASH_PREFIX = 4  # hex digits: 65,536 even buckets
+
+
+def range_bucket(df: DataFrame, key: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Add an ordered bucket number with about equally many rows of ``key`` per bucket.
+
+    Equal keys share a bucket, so the key should be unique or already grouped.
+    """
     numeric = df.withColumn(name, F.col(key).cast("double"))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(numeric.approxQuantile(name, shares, 0.25 / buckets)))
@@ -68,7 +74,7 @@ def surrogate_id(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def _hash_buckets(df: DataFrame, key: Column | str, seed: int) -> DataFrame:
     hashed = df.withColumn("_hash", hash_key(key, seed))
-    return hashed.withColumn("_bucket", F.substring("_hash", 1, 3))
+    return hashed.withColumn("_bucket", F.substring("_hash", 1, HASH_PREFIX))
 
 
 def shuffle_position(

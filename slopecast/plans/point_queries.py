@@ -37,15 +37,9 @@ def k1(t: Tables) -> DataFrame:
     return tidy(sources.round_trip_csv(totals))
 
 
-@query(
-    "p1_surrogate_id",
-    "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS sample_id FROM orders",
-)
+@query("p1_surrogate_id", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_id FROM orders")
 def p1(t: Tables) -> DataFrame:
-    keyed = t.base("orders").select("o_orderkey", "o_totalprice")
-    bucketed = ranking.range_bucket(keyed, "o_totalprice", "_bucket")
-    placed = ranking.with_position(bucketed, "_bucket", ["o_totalprice", "o_orderkey"], "sample_id")
-    return placed.select("o_orderkey", "sample_id")
+    return ranking.surrogate_id(t.base("orders").select("o_orderkey"), "o_orderkey", "sample_id")
 
 
 @query(

@@ -154,3 +154,13 @@ def test_alert_level(spark, facts, label):
     assert found["label"] == label
     if facts[3] == 73.7:
         assert found["reason"].startswith("The strongest 72h rainfall total is 73.7 mm.")
+
+
+def test_risk_summary_carries_run_time_and_empty_classes(spark, stations):
+    risk = spark.createDataFrame([(0.1,), (0.2,), (0.85,), (None,)], "risk double")
+    maxima = rain.rain_maxima(rain.with_trigger(stations))
+    rows = classes.risk_summary(risk, maxima, RISK_SCHEME, "2026-07-31T09:23:22+05:45").orderBy("risk_min").collect()
+    assert [r["pixel_count"] for r in rows] == [1, 1, 0, 0, 1]
+    assert {r["generated_at"] for r in rows} == {"2026-07-31T09:23:22+05:45"}
+    assert {round(r["max_trigger_score"], 3) for r in rows} == {0.487}
+    assert sum(r["area_percent"] for r in rows) == pytest.approx(100.0)
