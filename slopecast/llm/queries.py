@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slopecast.session import shared_dir
 
-from . import byte_bpe, token_files
+from . import byte_bpe, quality_rules, secret_scan, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     token_files.write(docs, folder, WORD_BPE)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def of_kinds(*kinds: str):
+    return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+
+def joined_spans(kinds: tuple[str, ...]):
+    return F.array_join(F.transform(of_kinds(*kinds), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = secret_scan.KINDS[:3]
+    counts = [F.size(of_kinds(k)).cast("long").alias(f"n_{k}") for k in base]
+    return scanned.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(secret_scan.KINDS).alias("spans"))
