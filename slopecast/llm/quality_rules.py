@@ -116,22 +116,22 @@ def features() -> list[Column]:
     ]
 
 
-def chi2_quantile(p: float, k: int) -> float:
-    """By bisection on the series of the regularised incomplete gamma function."""
+def chi2_cdf(x: float, k: int) -> float:
+    """By the series of the regularised incomplete gamma function."""
+    term = total = 1.0 / (k / 2)
+    n = 0
+    while term > total * 1e-16:
+        n += 1
+        term *= x / 2 / (k / 2 + n)
+        total += term
+    return total * math.exp(-x / 2 + (k / 2) * math.log(x / 2) - math.lgamma(k / 2))
 
-    def cdf(x: float) -> float:
-        term = total = 1.0 / (k / 2)
-        n = 0
-        while term > total * 1e-16:
-            n += 1
-            term *= x / 2 / (k / 2 + n)
-            total += term
-        return total * math.exp(-x / 2 + (k / 2) * math.log(x / 2) - math.lgamma(k / 2))
 
+def chi2_quantile(p: float, k: int) -> float:
     low, high = 1e-9, 500.0
     for _ in range(200):
         middle = (low + high) / 2
-        low, high = (middle, high) if cdf(middle) < p else (low, middle)
+        low, high = (middle, high) if chi2_cdf(middle, k) < p else (low, middle)
     return low
 
 
@@ -225,8 +225,7 @@ class Groups:
         return self.fit(near.select(*self.rows.columns, "distance"), 0.5)
 
     def concentrate(self) -> DataFrame:
-        """Steps until the determinants no longer fall; then the scatter is scaled so that the median
-        distance of each group is that of a normal one."""
+        """Steps until the determinants no longer fall; then the scatter is made consistent for a normal group."""
         fitted, size = self.start(), math.inf
         for _ in range(MAX_STEPS):
             fitted = self.fit(self.distances(fitted), SUBSET)
@@ -234,10 +233,8 @@ class Groups:
             if size - now < 1e-4 * max(1.0, abs(now)):
                 break
             size = now
-        middle = cut_bins(self.distances(fitted), distance_bin(), 0.5)
-        scale = F.greatest(F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS) / chi2_quantile(0.5, DIMENSIONS), F.lit(1e-3))
-        scaled = self.join(fitted, middle).withColumn("scale", scale)
-        return landed(scaled.select("level", "key", "mean", F.expr("transform(inverse, v -> v / scale)").alias("inverse")), "quality-final")
+        scale = SUBSET / chi2_cdf(chi2_quantile(SUBSET, DIMENSIONS), DIMENSIONS + 2)
+        return landed(fitted.select("level", "key", "mean", F.transform("inverse", lambda v: v / scale).alias("inverse")), "quality-final")
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_columns: tuple[str, str] = ("lang", "source")) -> DataFrame:

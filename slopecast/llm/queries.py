@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slopecast.session import shared_dir
 
-from . import byte_bpe, quality_rules, secret_scan, token_files
+from . import byte_bpe, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,58 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = secret_scan.KINDS[:3]
     counts = [F.size(of_kinds(k)).cast("long").alias(f"n_{k}") for k in base]
     return scanned.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(secret_scan.KINDS).alias("spans"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents")).where(F.size("licenses") > 0)
+    spans = F.transform("licenses", lambda s: F.concat_ws(":", s["name"], s["first_word"].cast("string"), s["last_word"].cast("string")))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda s: s["name"])))
+    return scanned.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("names"), F.array_join(spans, ",").alias("spans"))
+
+
+@query(
+    "op4_line_dedup",
+    f"""
+WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+k AS (SELECT * FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+f AS (SELECT line, min((doc_id, line_no)) AS first, string_split(line, ' ') AS w FROM k GROUP BY line),
+n AS (SELECT * FROM f WHERE len(w) >= {line_dedup.MIN_WORDS}),
+d AS (SELECT line, first, w, unnest(range(1, len(w) + 1)) AS gap FROM n),
+v AS (SELECT line, first, gap, list_concat(w[1:gap - 1], w[gap + 1:]) AS rest FROM d),
+e AS (SELECT v.line FROM v JOIN (SELECT rest, gap, min(first) AS first FROM v GROUP BY rest, gap) g ON v.rest = g.rest AND v.gap = g.gap WHERE g.first < v.first
+  UNION SELECT v.line FROM v JOIN n ON v.rest = n.w WHERE n.first < v.first
+  UNION SELECT n.line FROM v JOIN n ON v.rest = n.w WHERE v.first < n.first),
+r AS (SELECT k.doc_id, k.line_no FROM k JOIN f USING (line) WHERE (k.doc_id, k.line_no) <> f.first OR k.line IN (SELECT line FROM e))
+SELECT l.doc_id, count(r.line_no) AS n_removed, coalesce(string_agg(r.line_no::VARCHAR, ',' ORDER BY r.line_no), '') AS removed,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE r.line_no IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.line_no = r.line_no GROUP BY l.doc_id""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return done.select(
+        "row.doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def plain_words(text: str) -> str:
+    """SQL for the words of ``decontaminate.words_of``."""
+    marks = decontaminate.PUNCTUATION.replace("'", "''")
+    return f"list_filter(string_split(translate(translate(lower(coalesce({text}, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), '{marks}', ''), ' '), x -> x <> '')"
+
+
+@query(
+    "op7_decontamination",
+    f"""
+WITH i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {plain_words('text')} AS w FROM benchmark) WHERE len(w) >= {decontaminate.MIN_ITEM_WORDS}),
+iw AS (SELECT item_id, n, generate_subscripts(w, 1) AS j, unnest(w) AS word FROM i),
+dw AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM (SELECT doc_id, {plain_words('text')} AS w FROM documents)),
+m AS (SELECT doc_id, item_id, n, p - j AS diagonal, j FROM dw JOIN iw USING (word)),
+c AS (SELECT doc_id, item_id, n, diagonal FROM m GROUP BY ALL HAVING count(*) >= least({decontaminate.MATCHES}, n)),
+s AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j RANGE BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS matched FROM m SEMI JOIN c USING (doc_id, item_id, diagonal))
+SELECT doc_id, item_id, max(matched) AS matched FROM s WHERE matched >= CASE WHEN n >= {decontaminate.WINDOW} THEN {decontaminate.MATCHES} ELSE n END GROUP BY doc_id, item_id""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
