@@ -109,7 +109,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_words(text: str) -> str:
     """SQL for the words of ``decontaminate.words_of``."""
     marks = decontaminate.PUNCTUATION.replace("'", "''")
-    return f"list_filter(string_split(translate(translate(lower(coalesce({text}, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), '{marks}', ''), ' '), x -> x <> '')"
+    blanks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"string_split_regex(trim(translate(translate(lower(coalesce({text}, '')), {blanks}, '     '), '{marks}', '')), ' +')"
 
 
 @query(
