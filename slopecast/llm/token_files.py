@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_or_plain, texts
+from .common import hash_sample, id_and_text, small_or_plain, texts
 
 END_ID = 1
 BLOCK_BYTES = 1 << 20
@@ -115,13 +115,7 @@ def word_ids(path: str) -> WordIds:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary from serialized id arrays of a bounded sample; empty if there is nothing to learn from."""
-    sample = (
-        docs.where(F.length("text").between(1, SAMPLE_CHARS))
-        .orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-        .limit(SAMPLE_DOCS)
-        .select("text")
-        .collect()
-    )
+    sample = hash_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id", "text").select("text").collect()
     words = word_ids(tokenizer_path)
     arrays = [x for x in words.texts([r.text for r in sample]) if x]
     try:
