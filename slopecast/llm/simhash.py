@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, landed, small_or_plain, texts
+from .common import landed, small_or_plain, texts
 
 WORDS, SEED = 4, 42
 RADIUS = 4
@@ -54,14 +54,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (the 64 bits as a long) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the long columns ``extra`` as they are, and ``fingerprint`` (the 64 bits as a long) of every row.
+
+    A null text has no words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words) for t in values], pa.int64())], ["doc_id", "fingerprint"])
+            found = pa.array([fingerprint(t, words) for t in values], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], ["doc_id", *extra, "fingerprint"])
 
-    return id_and_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, fingerprint long")
+    given = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"), *[docs[c].cast("long").alias(c) for c in extra])
+    return given.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in extra) + "fingerprint long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -247,13 +252,13 @@ def stars(pairs: DataFrame) -> DataFrame:
 
 
 def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fingerprint, component_id`` of every distinct fingerprint of ``doc_id, fingerprint``."""
+    """``fingerprint, root, component_id`` of every distinct fingerprint of ``doc_id, fingerprint``."""
     codes = landed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-codes")
     joined = stars(links(codes.select(F.col("fingerprint").alias("code")), radius))
     rooted = codes.join(joined.hint("merge"), codes["fingerprint"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = landed(rooted, "simhash-roots")
     smallest = landed(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
-    return landed(rooted.join(smallest.hint("merge"), "root").select("fingerprint", "component_id"), "simhash-classes")
+    return landed(rooted.join(smallest.hint("merge"), "root").select("fingerprint", "root", "component_id"), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -265,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     id are rows of their own. Other columns are not read; an empty table gives no rows.
     """
     marked = landed(fingerprints(docs, words, id_column, text_column), "simhash-fingerprints")
-    return marked.join(classes(marked, radius).hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(classes(marked, radius).drop("root").hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def as_hex(fingerprint: Column) -> Column:
