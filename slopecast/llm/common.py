@@ -32,6 +32,11 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_limit(share: float) -> int:
+    """The largest of the lowest share of all signed 64-bit hashes."""
+    return min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))
+
+
 def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """``rows`` rows by the order of a hash of some columns, the same on every layout.
 
@@ -40,7 +45,7 @@ def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """
     share = min(1.0, 2 * (rows + 50) / max(df.count(), 1))
     drawn = F.xxhash64(*by)
-    return df.where(drawn <= int(-(1 << 63) + share * ((1 << 64) - 1))).orderBy(drawn, *by).limit(rows)
+    return df.where(drawn <= hash_limit(share)).orderBy(drawn, *by).limit(rows)
 
 
 def landed(df: DataFrame, purpose: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import id_and_text, texts
+from .common import hash_limit, id_and_text, texts
 
 UNITS = 8
 STRIDE, CONTEXT = 128, 16
@@ -213,7 +213,7 @@ def training_rows(docs: DataFrame, id_column: str, text_column: str, lang_column
     if not counts:
         return []
     drawn = F.xxhash64("doc_id", "lang")
-    shares = [(n, int(-(1 << 63) + min(1.0, 2 * (DOCS_PER_LANGUAGE + 20) / c) * ((1 << 64) - 1))) for n, c in counts.items()]
+    shares = [(n, hash_limit(min(1.0, 2 * (DOCS_PER_LANGUAGE + 20) / c))) for n, c in counts.items()]
     limits = F.broadcast(given.sparkSession.createDataFrame(shares, "lang string, share_to long"))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - CHARS_PER_DOC, F.lit(1))).cast("int") + 1
     passage = F.substring("text", start, F.lit(CHARS_PER_DOC))

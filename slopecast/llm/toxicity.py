@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, texts
+from .common import hash_limit, id_and_text, texts
 
 ALPHABET, OPENING = 64, 63
 DECAY, SPREAD = 0.5, 5
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     drawn, chosen = F.xxhash64("labelled"), F.lit(False)
     for kind, most in ((1, TOXIC_DOCS), (0, OTHER_DOCS)):
         share = min(1.0, 1.5 * (most + 50) / max(counts.get(kind, 0), 1))
-        chosen = chosen | ((F.col("toxic") == kind) & (drawn <= int(-(1 << 63) + share * ((1 << 64) - 1))))
+        chosen = chosen | ((F.col("toxic") == kind) & (drawn <= hash_limit(share)))
     # At most some thousand ids by the shares above, so they may be broadcast.
     wanted = F.broadcast(own.where(chosen).select("labelled", "toxic", drawn.alias("drawn")))
     given = id_and_text(docs, id_column, text_column).where(F.length("text") <= DOC_CHARS)
