@@ -184,7 +184,7 @@ class Network:
         for at in range(0, len(owner), TOGETHER):
             some = owner[at : at + TOGETHER]
             parts = []
-            for n in range(some[0], some[-1] + 1):
+            for n in np.unique(some):  # texts without a byte have no window
                 first = ends[n] - counts[n]
                 parts.append(cut(raws[n], max(at - first, 0), min(at + TOGETHER - first, counts[n])))
             np.add.at(total, some, self.label(np.concatenate(parts)))
