@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pixel_to_lonlat
+from ..session import materialise
 from ..settings import DOMAIN_RULES, FEATURES, MIN_BACKGROUND_DISTANCE, SEED, TEST_SHARE, Grid
 from .clean import XY, domain_rules
 from .nearest import pixels_near_points
@@ -42,9 +43,12 @@ def sample_background(
     seed: int = SEED,
     features: list[str] = FEATURES,
 ) -> DataFrame:
-    """Exactly n random eligible pixels with ids bg_0..bg_{n-1} and label 0."""
-    eligible = eligible_background(pixels, positives, grid, distance, features)
-    keyed = eligible.withColumn("_pixel", F.concat_ws(":", *PIXEL))
+    """Exactly n random eligible pixels with ids bg_0..bg_{n-1} and label 0; an error if there are fewer.
+
+    The eligible pixels are written once, since the count and the draw both read them.
+    """
+    eligible = materialise(eligible_background(pixels, positives, grid, distance, features), "eligible")
+    keyed = require_rows(eligible, n).withColumn("_pixel", F.concat_ws(":", *PIXEL))
     drawn = sample_n(keyed, n, "_pixel", "_draw", seed)
     return drawn.select(
         F.concat(F.lit("bg_"), F.col("_draw").cast("string")).alias("sample_id"),
@@ -54,12 +58,12 @@ def sample_background(
     )
 
 
-def require_rows(sample: DataFrame, n: int) -> DataFrame:
-    """Raise when a sample came out smaller than asked for."""
-    found = sample.count()
+def require_rows(eligible: DataFrame, n: int) -> DataFrame:
+    """The rows themselves; raises when there are fewer than asked for."""
+    found = eligible.count()
     if found < n:
-        raise RuntimeError(f"Could not collect {n} valid background samples, found {found}.")
-    return sample
+        raise RuntimeError(f"{n} background pixels are asked for, but only {found} are eligible")
+    return eligible
 
 
 def training_table(positives: DataFrame, background: DataFrame, features: list[str] = FEATURES) -> DataFrame:

@@ -44,10 +44,13 @@ def correlation_matrix(sets: dict[str, DataFrame], columns: list[str]) -> DataFr
     return result
 
 
-def percentile_trim(df: DataFrame, column: str, limits: dict[float, float]) -> DataFrame:
-    """Rows whose value lies between two already known percentiles."""
-    lo, hi = min(limits), max(limits)
-    return df.where(F.col(column).between(F.lit(limits[lo]), F.lit(limits[hi])))
+def percentile_trim(long: DataFrame, limits: dict[str, dict[float, float]]) -> DataFrame:
+    """Rows of (layer, ..., value) whose value lies between the already known percentiles of its layer."""
+    low = high = F.lit(None).cast("double")
+    for layer, q in limits.items():
+        low = F.when(F.col("layer") == layer, F.lit(q[min(q)])).otherwise(low)
+        high = F.when(F.col("layer") == layer, F.lit(q[max(q)])).otherwise(high)
+    return long.where(F.col("value").between(low, high))
 
 
 def histogram(sets: dict[str, DataFrame], reference: str, columns: list[str], bins: int = 60) -> DataFrame:

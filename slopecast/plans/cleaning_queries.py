@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import all_of, domain_conditions, missing_flag, null_sentinels, r6, reason_string
 from ..operators import background, clean, describe
 from ..operators.clean import XY
-from ..operators.pixels import PIXEL, clean_layers, sample_pixels
+from ..operators.pixels import PIXEL, clean_layers, melt_layers, sample_pixels
 from ..session import materialise
 from ..settings import FEATURES, FOLDS, TREND_PAIRS
 from .fixtures import ANY_BAD, ANY_MISSING, FEATURE_LIST, FENCED, GRID, RULES, Tables
@@ -269,17 +269,18 @@ def j10(t: Tables) -> DataFrame:
     return tidy(both.agg(F.count(F.lit(1)).alias("n"), F.corr("slope", "score").alias("r")))
 
 
-@query(
-    "f6_percentile_trim",
-    """SELECT row_id, col_id, round(river_m, 6) AS river_m FROM fx_grid WHERE river_m BETWEEN (SELECT quantile_cont(river_m, 0.01) FROM fx_grid) AND (SELECT quantile_cont(river_m, 0.99) FROM fx_grid)""",
-    ("fx_grid",),
-)
+TRIM = "SELECT '{c}' AS layer, row_id, col_id, round({c}::DOUBLE, 6) AS value FROM fx_grid WHERE {c} BETWEEN (SELECT quantile_cont({c}::DOUBLE, 0.01) FROM fx_grid) AND (SELECT quantile_cont({c}::DOUBLE, 0.99) FROM fx_grid)"
+
+
+@query("f6_percentile_trim", " UNION ALL ".join(TRIM.format(c=c) for c in FEATURES), ("fx_grid",))
 def f6(t: Tables) -> DataFrame:
-    limits = describe.exact_quantiles(t.grid, {"river_m": F.col("river_m")}, [0.01, 0.99])["river_m"]
-    return tidy(describe.percentile_trim(t.grid, "river_m", limits).select(*PIXEL, "river_m"))
+    """Every layer inside its own limits; one pass finds the limits of all."""
+    layers = t.grid.withColumns({c: F.col(c).cast("double") for c in FEATURES})
+    limits = describe.exact_quantiles(layers, {c: F.col(c) for c in FEATURES}, [0.01, 0.99])
+    return tidy(describe.percentile_trim(melt_layers(layers, FEATURES), limits))
 
 
-HIST = ["slope", "elevation", "river_m"]
+HIST = FEATURES
 VALUES = " UNION ALL ".join(
     f"SELECT '{s}' AS \"set\", '{c}' AS feature, {c} AS v FROM {d} d WHERE {c} BETWEEN (SELECT quantile_cont({c}, 0.01) FROM cg) AND (SELECT quantile_cont({c}, 0.99) FROM cg)"
     for c in HIST
@@ -289,7 +290,7 @@ VALUES = " UNION ALL ".join(
 
 @query(
     "a12_histogram",
-    f""", cg AS (SELECT CASE WHEN slope > -9998 THEN slope END AS slope, elevation, river_m FROM fx_grid), vals AS ({VALUES}),
+    f""", cg AS (SELECT CASE WHEN slope > -9998 THEN slope END AS slope, {', '.join(c for c in HIST if c != 'slope')} FROM fx_grid), vals AS ({VALUES}),
 lim AS (SELECT "set", feature, min(v) AS lo, max(v) AS hi, count(*) AS n, avg(v) AS set_mean FROM vals GROUP BY "set", feature)
 SELECT v."set", v.feature, CAST(least(floor((v.v - lo) / ((hi - lo) / 60.0::DOUBLE)), 59) AS INTEGER) AS bin, round(max(lo) + least(floor((v.v - lo) / ((hi - lo) / 60.0::DOUBLE)), 59) * max((hi - lo) / 60.0::DOUBLE), 6) AS bin_left,
   count(*) AS "count", round(count(*) / (max(n) * max((hi - lo) / 60.0::DOUBLE)), 6) AS density, round(max(set_mean), 6) AS set_mean

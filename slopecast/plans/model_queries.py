@@ -86,16 +86,16 @@ def a20(t: Tables) -> DataFrame:
     return found.select(F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-SCALED = ["slope", "elevation", "ndvi", "rainfall", "river_m", "road_m", "twi"]
+INPUTS = "(SELECT *, sin(radians(aspect)) AS aspect_sin, cos(radians(aspect)) AS aspect_cos FROM fx_train)"
 
 
 @query(
     "m1_scale_numeric",
-    f"SELECT t.sample_id, {', '.join(f'round((t.{c} - m.{c}_m) / m.{c}_s, 6) + 0.0 AS {c}' for c in SCALED)} FROM fx_train t, (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in SCALED)} FROM fx_train) m",
+    f"SELECT t.sample_id, {', '.join(f'round((t.{c} - m.{c}_m) / m.{c}_s, 6) + 0.0 AS {c}' for c in MODEL_NUMERIC)} FROM {INPUTS} t, (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in MODEL_NUMERIC)} FROM {INPUTS} i) m",
     ("fx_train",),
 )
 def m1(t: Tables) -> DataFrame:
-    return tidy(models.scale_numeric(t.view("fx_train"), SCALED).select("sample_id", *SCALED))
+    return tidy(models.scale_numeric(models.engineer(t.view("fx_train"))).select("sample_id", *MODEL_NUMERIC))
 
 
 @query(

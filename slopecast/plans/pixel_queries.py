@@ -39,12 +39,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(
     "s1_scan_pixels",
-    f"SELECT row_id, col_id, CASE WHEN NOT ({CLOSE.format(c='slope')}) THEN round(slope, 6) END AS slope, round(elevation, 6) AS elevation FROM fx_grid",
+    f"SELECT row_id, col_id, {', '.join(f'CASE WHEN NOT ({CLOSE.format(c=c)}) THEN round({c}::DOUBLE, 6) END AS {c}' for c in LAYERS)} FROM fx_grid",
     ("fx_grid",),
 )
 def s1(t: Tables) -> DataFrame:
-    cleaned = pixels.clean_layers(t.grid, ["slope", "elevation"])
-    return _rounded(cleaned.select(*PIXEL, "slope", "elevation"), "slope", "elevation")
+    typed = t.grid.withColumns({c: F.col(c).cast("double") for c in LAYERS})
+    return _rounded(pixels.clean_layers(typed, LAYERS).select(*PIXEL, *LAYERS), *LAYERS)
 
 
 @query(
@@ -53,12 +53,13 @@ def s1(t: Tables) -> DataFrame:
   round(avg(CASE WHEN value IS NULL THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS missing_percent, 0.001::DOUBLE AS res_x, 0.001::DOUBLE AS res_y,
   85.0::DOUBLE AS "left", round(28.5::DOUBLE - 0.001::DOUBLE * (max(row_id) + 1), 6) AS bottom,
   round(85.0::DOUBLE + 0.001::DOUBLE * (max(col_id) + 1), 6) AS "right", 28.5::DOUBLE AS top
-FROM (SELECT 'slope' AS layer, row_id, col_id, CASE WHEN NOT ({CLOSE.format(c='slope')}) THEN slope END AS value FROM fx_grid
+FROM ({' UNION ALL '.join(f"SELECT '{c}' AS layer, row_id, col_id, CASE WHEN NOT ({CLOSE.format(c=c)}) THEN {c}::DOUBLE END AS value FROM fx_grid" for c in LAYERS)}
   UNION ALL SELECT 'score', row_id, col_id, score FROM fx_grid) l GROUP BY layer""",
     ("fx_grid",),
 )
 def s2(t: Tables) -> DataFrame:
-    long = pixels.melt_layers(pixels.clean_layers(t.grid, ["slope"]), ["slope", "score"])
+    typed = t.grid.withColumns({c: F.col(c).cast("double") for c in LAYERS})
+    long = pixels.melt_layers(pixels.clean_layers(typed, LAYERS), [*LAYERS, "score"])
     return _rounded(pixels.raster_meta(long, GRID), "missing_percent", "bottom", "right")
 
 
@@ -188,13 +189,13 @@ def f12(t: Tables) -> DataFrame:
 
 @query(
     "j2_stack_layers",
-    "SELECT row_id, col_id, slope, ndvi, CAST(lulc AS DOUBLE) AS lulc, round(score, 6) AS score FROM fx_grid",
+    f"SELECT row_id, col_id, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in [*LAYERS, 'score'])} FROM fx_grid",
     ("fx_grid",),
 )
 def j2(t: Tables) -> DataFrame:
-    columns = ["slope", "ndvi", "lulc", "score"]
+    columns = [*LAYERS, "score"]
     long = pixels.melt_layers(t.grid, columns)
-    return _rounded(pixels.stack_layers(long, columns), "score")
+    return _rounded(pixels.stack_layers(long, columns), *columns)
 
 
 @query(
@@ -286,25 +287,25 @@ def r4(t: Tables) -> DataFrame:
 
 @query(
     "w6_nearest_marked_cell",
-    """SELECT p.row_id, p.col_id, CAST(min(CASE WHEN abs(p.row_id - m.row_id) <= 40 THEN abs(p.row_id - m.row_id) END) AS INTEGER) AS gap
+    """SELECT p.row_id, p.col_id, CAST(min(abs(p.row_id - m.row_id)) AS INTEGER) AS gap
 FROM fx_grid p LEFT JOIN fx_grid m ON p.col_id = m.col_id AND m.elevation >= 4400 GROUP BY p.row_id, p.col_id""",
     ("fx_grid",),
 )
 def w6(t: Tables) -> DataFrame:
     marked = pixels.at_least(t.grid, "elevation", 4400.0, "is_river").select(*PIXEL, "is_river")
-    return proximity.nearest_marked_gap(marked, "is_river", 40).select(*PIXEL, "gap")
+    return proximity.nearest_marked_gap(marked, "is_river").select(*PIXEL, "gap")
 
 
 @query(
     "r6_proximity",
-    """SELECT p.row_id, p.col_id, round(30 * sqrt(min(CASE WHEN d2 <= 4096 THEN d2 END)), 6) AS distance FROM
+    """SELECT p.row_id, p.col_id, round(30 * sqrt(min(d2)), 6) AS distance FROM
  (SELECT p.row_id, p.col_id, CAST((p.row_id - m.row_id) * (p.row_id - m.row_id) + (p.col_id - m.col_id) * (p.col_id - m.col_id) AS DOUBLE) AS d2
-  FROM fx_grid p LEFT JOIN fx_grid m ON m.elevation >= 4450 AND abs(p.row_id - m.row_id) <= 64) p GROUP BY p.row_id, p.col_id""",
+  FROM fx_grid p LEFT JOIN fx_grid m ON m.elevation >= 4450) p GROUP BY p.row_id, p.col_id""",
     ("fx_grid",),
 )
 def r6_proximity(t: Tables) -> DataFrame:
     marked = pixels.at_least(t.grid, "elevation", 4450.0, "is_river")
-    return _rounded(proximity.proximity(marked, "is_river", 64), "distance")
+    return _rounded(proximity.proximity(marked, "is_river"), "distance")
 
 
 ROAD_STEPS = """SELECT DISTINCT CAST(floor((y1 + (y2 - y1) * (k / n) - 28.5::DOUBLE) / -0.001::DOUBLE) AS INTEGER) AS row_id, CAST(floor((x1 + (x2 - x1) * (k / n) - 85.0::DOUBLE) / 0.001::DOUBLE) AS INTEGER) AS col_id

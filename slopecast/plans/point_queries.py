@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo_cache_key
 from ..operators import classes, nearest, pixels, polygon, ranking
 from ..sources import points as sources
-from ..settings import SCORE_SCHEME, Grid
+from ..settings import FEATURES, SCORE_SCHEME, Grid
 from .cleaning_queries import PLACE, tidy
 from .fixtures import COARSE, GRID, Tables
 from .pixel_queries import CLASS, SCORE_LABEL
@@ -72,13 +72,17 @@ def p20(t: Tables) -> DataFrame:
     return keyed.groupBy("lat_key", "lon_key").agg(F.count(F.lit(1)).alias("lookups"), F.min("sample_id").alias("sample_id"))
 
 
+#: Layers on the fine grid; rainfall also comes on a coarser one.
+FINE = [c for c in FEATURES if c != "rainfall"]
+
+
 @query(
     "j1_sample_raster_at_points",
-    f"SELECT p.sample_id, round(g.slope, 6) AS slope, round(g.ndvi, 6) AS ndvi, g.lulc, round(c.value, 6) AS coarse_rainfall FROM fx_points p LEFT JOIN fx_grid g ON {PIXEL_OF.format(s='0.001', a='g')} LEFT JOIN fx_coarse c ON {PIXEL_OF.format(s='0.01', a='c')}",
+    f"SELECT p.sample_id, {', '.join('g.lulc' if c == 'lulc' else f'round(g.{c}, 6) AS {c}' for c in FEATURES)}, round(c.value, 6) AS coarse_rainfall FROM fx_points p LEFT JOIN fx_grid g ON {PIXEL_OF.format(s='0.001', a='g')} LEFT JOIN fx_coarse c ON {PIXEL_OF.format(s='0.01', a='c')}",
     ("fx_points", "fx_grid", "fx_coarse"),
 )
 def j1(t: Tables) -> DataFrame:
-    fine = pixels.sample_pixels(t.view("fx_points"), t.grid, GRID, ["slope", "ndvi", "lulc"])
+    fine = pixels.sample_pixels(t.view("fx_points"), t.grid, GRID, FEATURES)
     coarse = t.view("fx_coarse").withColumnRenamed("value", "coarse_rainfall")
     both = pixels.sample_pixels(fine, coarse, COARSE, ["coarse_rainfall"])
     return tidy(both.drop("longitude", "latitude"))
@@ -86,16 +90,16 @@ def j1(t: Tables) -> DataFrame:
 
 @query(
     "j1_sample_layers",
-    f"SELECT p.site_id, round(g.slope, 6) AS slope, round(c.value, 6) AS rainfall FROM fx_sites p LEFT JOIN fx_grid g ON {PIXEL_OF.format(s='0.001', a='g')} LEFT JOIN fx_coarse c ON {PIXEL_OF.format(s='0.01', a='c')}",
+    f"SELECT p.site_id, {', '.join(f'round(g.{c}::DOUBLE, 6) AS {c}' for c in FINE)}, round(c.value, 6) AS rainfall FROM fx_sites p LEFT JOIN fx_grid g ON {PIXEL_OF.format(s='0.001', a='g')} LEFT JOIN fx_coarse c ON {PIXEL_OF.format(s='0.01', a='c')}",
     ("fx_sites", "fx_grid", "fx_coarse"),
 )
 def j1_layers(t: Tables) -> DataFrame:
     """Every layer on its own grid."""
-    slope = pixels.melt_layers(t.grid, ["slope"])
+    fine = pixels.melt_layers(t.grid, FINE)
     rain = t.view("fx_coarse").select(F.lit("rainfall").alias("layer"), "row_id", "col_id", "value")
-    grids: dict[str, Grid] = {"slope": GRID, "rainfall": COARSE}
-    sampled = pixels.sample_layers(t.view("fx_sites"), slope.unionByName(rain), grids, "site_id")
-    return tidy(sampled.select("site_id", "slope", "rainfall"))
+    grids: dict[str, Grid] = {c: GRID for c in FINE} | {"rainfall": COARSE}
+    sampled = pixels.sample_layers(t.view("fx_sites"), fine.unionByName(rain), grids, "site_id")
+    return tidy(sampled.select("site_id", *FINE, "rainfall"))
 
 
 SCORED_POINTS = f"SELECT sample_id, longitude, latitude, g.score, {CLASS.format(v='g.score')} AS k FROM fx_points p LEFT JOIN fx_grid g ON {PIXEL_OF.format(s='0.001', a='g')}"

@@ -19,16 +19,29 @@ def _grid(spark, height, width, marked=()):
 
 
 def test_proximity_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(proximity, "BLOCK_COLS", 16)
+    monkeypatch.setattr(proximity, "CHUNK_ROWS", 7)
     monkeypatch.setattr(proximity, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(3)
-    marked = [(int(r), int(c)) for r, c in zip(rng.integers(0, 30, 9), rng.integers(0, 40, 9))]
-    found = proximity.proximity(_grid(spark, 30, 40, marked), "marked", 12, 30.0).toPandas()
-    cells = np.array(marked)
-    best = np.sqrt(((found[["row_id", "col_id"]].to_numpy()[:, None, :] - cells[None]) ** 2).sum(-1)).min(1)
-    expected = np.where(best <= 12, best * 30.0, np.nan)
-    assert len(found) == 1200
-    np.testing.assert_allclose(found["distance"].to_numpy(float), expected)
+    for marked in ([(int(r), int(c)) for r, c in zip(rng.integers(0, 30, 9), rng.integers(0, 40, 9))], [(29, 0)], []):
+        found = proximity.proximity(_grid(spark, 30, 40, marked), "marked", 30.0).toPandas()
+        assert len(found) == 1200
+        if marked:
+            cells = np.array(marked)
+            best = np.sqrt(((found[["row_id", "col_id"]].to_numpy()[:, None, :] - cells[None]) ** 2).sum(-1)).min(1)
+            np.testing.assert_allclose(found["distance"].to_numpy(float), best * 30.0)
+        else:
+            assert found["distance"].isna().all()
+
+
+def test_row_minimum_equals_all_pairs():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        rows, width = rng.integers(1, 6), rng.integers(1, 60)
+        costs = np.where(rng.random((rows, width)) < rng.random(), proximity.FAR, rng.integers(0, 400, (rows, width)) ** 2).astype(np.int64)
+        places = np.arange(width)
+        want = (costs[:, None, :] + (places[:, None] - places[None, :]) ** 2).min(2)
+        got = proximity.row_minimum(costs)
+        assert ((got == want) | ((got >= proximity.FAR) & (want >= proximity.FAR))).all()
 
 
 def test_bilinear_reproduces_a_plane(spark):
@@ -113,7 +126,7 @@ def test_removed_and_clean_make_up_the_input(spark, sf_dir):
 
 
 def test_shortfall_raises(spark):
-    with pytest.raises(RuntimeError, match="Could not collect 10"):
+    with pytest.raises(RuntimeError, match="10 background pixels .* only 3"):
         background.require_rows(spark.range(3), 10)
 
 
