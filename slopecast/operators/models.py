@@ -33,7 +33,8 @@ SVM_TOLERANCE = 1e-3
 LOGISTIC_C = 1.0
 LOGISTIC_ITERATIONS = 2000
 
-SVM_ITERATIONS = 40
+SVM_ITERATIONS = 2000  # the tolerance ends a fit long before
+FOREST_BINS = 256
 FOREST_DEPTH = 30  # the deepest tree Spark ML grows
 KERNEL_FEATURES = 256
 
@@ -67,11 +68,6 @@ def balanced_weights(df: DataFrame, label: str = LABEL, name: str = "weight") ->
     return df.withColumn(name, weight)
 
 
-def right_sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Fewer partitions for a small training table, so that each training step is not all scheduling."""
-    return df.coalesce(max(1, -(-df.count() // rows)))
-
-
 def one_hot(columns: list[str] = CATEGORICAL) -> list:
     """Stages that give every known level a slot and an unknown one none."""
     indexed, encoded = [f"{c}_index" for c in columns], [f"{c}_hot" for c in columns]
@@ -116,7 +112,7 @@ class Scorer:
 
 
 def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Scorer:
-    weighted = right_sized(balanced_weights(train))
+    weighted = balanced_weights(train)
     stages, _ = prepare(weighted, scale=False)
     forest = RandomForestClassifier(
         labelCol=LABEL,
@@ -125,6 +121,7 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
         maxDepth=depth,
         minInstancesPerNode=FOREST_MIN_LEAF,
         featureSubsetStrategy="sqrt",
+        maxBins=FOREST_BINS,
         maxMemoryInMB=1024,
         seed=SEED,
     )
@@ -133,7 +130,7 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
 
 def fit_logistic(train: DataFrame) -> Scorer:
     """L2-penalised; Spark's mean loss matches a summed loss at lambda = 1 / (C * sum of weights)."""
-    weighted = right_sized(balanced_weights(train))
+    weighted = balanced_weights(train)
     stages, _ = prepare(weighted, scale=True)
     mass = weighted.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
@@ -182,8 +179,9 @@ def svm_margin(svm, kernel: Kernel, prepared: DataFrame) -> DataFrame:
 
 
 def _fit_svm(df: DataFrame):
+    """Fitted until the tolerance is met; an error if the iterations run out first."""
     mass = df.agg(F.sum("weight")).first()[0]
-    return LinearSVC(
+    svm = LinearSVC(
         labelCol=LABEL,
         featuresCol="kernel_features",
         weightCol="weight",
@@ -191,7 +189,10 @@ def _fit_svm(df: DataFrame):
         maxIter=SVM_ITERATIONS,
         tol=SVM_TOLERANCE,
         standardization=False,
-    ).fit(right_sized(df))
+    ).fit(df)
+    if svm.summary().totalIterations >= SVM_ITERATIONS:
+        raise RuntimeError(f"the support vector machine has not converged in {SVM_ITERATIONS} iterations")
+    return svm
 
 
 def _platt(margins: DataFrame) -> tuple[float, float]:
@@ -219,7 +220,7 @@ def fit_svm(train: DataFrame, key: str = "sample_id") -> Scorer:
     inputs, gamma = _gamma(prepared)
     kernel = Kernel(inputs, gamma)
     folded = stratified_folds(prepared.select(key, LABEL, "weight", "features"), key, LABEL, SVM_CALIBRATION_FOLDS)
-    projected = materialise(right_sized(folded).withColumn("kernel_features", kernel.column("features")), "svm")
+    projected = materialise(folded.withColumn("kernel_features", kernel.column("features")), "svm")
     margins = None
     for fold in range(SVM_CALIBRATION_FOLDS):
         svm = _fit_svm(projected.where(F.col("fold") != fold))

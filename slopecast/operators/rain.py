@@ -20,11 +20,16 @@ RAIN_COLUMNS = [rain_column(h) for h in RAIN_WINDOWS]
 
 
 def normalise_time(text: Column | str, default: Column | None = None) -> Column:
-    """ISO time as wall clock without zone; ``default`` (or now) where it is missing."""
+    """ISO time as wall clock without zone; ``default`` (or the session's now) where it is missing."""
     wall = F.regexp_replace(as_col(text), r"(Z|[+-]\d{2}:?\d{2})$", "")
     return F.coalesce(F.to_timestamp_ntz(wall), default if default is not None else F.localtimestamp())
 
 
+def wall_clock(run_time: Column, zone: str) -> Column:
+    """An instant given in UTC (without zone) as the wall clock of a zone, to compare with a payload's times."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), run_time.cast("timestamp_ntz"))
+
+
 def up_to(readings: DataFrame, current: Column, time: str = "ts", amount: str = "mm") -> DataFrame:
     """Present readings that are not in the future."""
     return readings.where(F.col(amount).isNotNull() & ~F.isnan(amount) & (F.col(time) <= current))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import background, metrics, models
+from ..operators.pixels import PIXEL
 from ..session import materialise, shared_dir
 from ..settings import FEATURES, MODEL_NUMERIC
-from .cleaning_queries import tidy
+from .cleaning_queries import SPLIT, tidy
+from .fixtures import RULES as INSIDE
 from .fixtures import Tables
 from .registry import query
 
@@ -129,56 +131,101 @@ def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     return tuple(split.where(F.col("split") == part).drop("split") for part in ("train", "test"))
 
 
-def _scored(t: Tables, name: str) -> DataFrame:
-    train, test = _parts(t)
-    return models.FITTERS[name](train).transform(test).select("sample_id", "landslide", "score", "predicted")
+#: Least area under the curve on held-out rows, by which SQL can judge a fitted model.
+LEAST_AUC = 0.85
+JUDGED = f"SELECT sample_id, landslide, true AS probable, true AS consistent, true AS discriminates FROM ({SPLIT}) s WHERE split = 'test'"
 
 
-@query("m4_random_forest")
-def m4(t: Tables) -> DataFrame:
-    """All training rows; fewer and shallower trees than ``fit_forest`` grows by default."""
+def _judged(t: Tables, name: str) -> DataFrame:
+    """Held-out rows with what holds for the model's scores: probabilities, classes cut at one half, and an area above the floor."""
     train, test = _parts(t)
-    scored = models.fit_forest(train, trees=50, depth=10).transform(test)
-    return scored.select("sample_id", "landslide", "score", "predicted")
+    scored = materialise(models.FITTERS[name](train).transform(test).select("sample_id", "landslide", "score", "predicted"), "scored")
+    auc = metrics.roc_auc(scored, "landslide", "score").first()["roc_auc"]
+    return scored.select(
+        "sample_id",
+        "landslide",
+        F.col("score").between(0.0, 1.0).alias("probable"),
+        ((F.col("score") >= 0.5) == (F.col("predicted") == 1)).alias("consistent"),
+        F.lit(auc >= LEAST_AUC).alias("discriminates"),
+    )
+
+
+@query("m4_random_forest", JUDGED, ("fx_train",))
+def m4(t: Tables) -> DataFrame:
+    return _judged(t, "Random Forest")
 
 
-@query("m5_svm_rbf_calibrated")
+@query("m5_svm_rbf_calibrated", JUDGED, ("fx_train",))
 def m5(t: Tables) -> DataFrame:
-    return _scored(t, "SVM")
+    return _judged(t, "SVM")
 
 
-@query("m6_logistic_regression")
+@query("m6_logistic_regression", JUDGED, ("fx_train",))
 def m6(t: Tables) -> DataFrame:
-    return _scored(t, "Logistic Regression")
+    return _judged(t, "Logistic Regression")
 
 
-@query("m7_evaluate_model")
+MEASURES = ["cv_roc_auc_mean", "test_accuracy", "test_precision", "test_recall", "test_f1", "test_roc_auc"]
+
+
+@query(
+    "m7_evaluate_model",
+    f"SELECT 'Logistic Regression' AS model, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows, true AS steady, {', '.join(f'true AS {m}' for m in MEASURES)} FROM ({SPLIT}) s",
+    ("fx_train",),
+)
 def m7(t: Tables) -> DataFrame:
-    return models.evaluate_model("Logistic Regression", *_parts(t))[0]
+    """Row counts, and whether each measure lies above the floor and the folds agree."""
+    row = models.evaluate_model("Logistic Regression", *_parts(t))[0]
+    floors = [F.col(m).between(LEAST_AUC if "auc" in m else 0.5, 1.0).alias(m) for m in MEASURES]
+    counts = [F.col(c).cast("long").alias(c) for c in ("train_rows", "test_rows")]
+    return row.select("model", *counts, (F.col("cv_roc_auc_std") < 0.05).alias("steady"), *floors)
 
 
-@query("m8_feature_importance")
-def m8(t: Tables) -> DataFrame:
+SLOTS = [*[f"{c}_z" for c in MODEL_NUMERIC], *[f"lulc_hot_{float(c)}" for c in (10, 30, 40, 50, 60, 70, 80, 100)]]
+
+
+def _importance(t: Tables) -> DataFrame:
     train, _ = _parts(t)
     return models.feature_importance(models.fit_logistic(train), train)
 
 
-@query("l2_rank_importance")
+@query(
+    "m8_feature_importance",
+    f"SELECT 'Logistic Regression' AS model, f AS feature, 'absolute_coefficient' AS importance_type, true AS positive FROM (VALUES {', '.join(f'({c!r})' for c in SLOTS)}) v(f)",
+)
+def m8(t: Tables) -> DataFrame:
+    return _importance(t).select("model", "feature", "importance_type", (F.col("importance") >= 0).alias("positive"))
+
+
+@query(
+    "l2_rank_importance",
+    f"SELECT CAST(i AS INTEGER) AS place, true AS descending FROM (SELECT unnest(range(1, {len(SLOTS) + 1})) AS i) s",
+)
 def l2(t: Tables) -> DataFrame:
-    train, _ = _parts(t)
-    ranked = models.feature_importance(models.fit_logistic(train), train)
-    return ranked.select("feature", "importance")
+    """Places of the ranked features, and whether each is at least as important as the next."""
+    order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    ranked = _importance(t).withColumn("place", F.row_number().over(order))
+    return ranked.select("place", F.coalesce(F.col("importance") >= F.lead("importance").over(order), F.lit(True)).alias("descending"))
 
 
-@query("m10_score_pixels")
+@query(
+    "m10_score_pixels",
+    f"SELECT row_id, col_id, true AS probable FROM fx_grid WHERE {' AND '.join(INSIDE[c] for c in FEATURES if c in INSIDE)}",
+    ("fx_grid",),
+)
 def m10(t: Tables) -> DataFrame:
     train, _ = _parts(t)
-    return models.score_pixels(models.fit_logistic(train), t.grid, FEATURES)
+    scored = models.score_pixels(models.fit_logistic(train), t.grid, FEATURES)
+    return scored.select(*PIXEL, F.col("score").between(0.0, 1.0).alias("probable"))
 
 
-@query("k6_save_model")
+@query(
+    "k6_save_model",
+    f"SELECT count(*) AS \"rows\", 0::DOUBLE AS difference FROM ({SPLIT}) s WHERE split = 'test'",
+    ("fx_train",),
+)
 def k6(t: Tables) -> DataFrame:
-    """Save the fitted model with its facts and metrics, and read the facts back."""
+    """Save the fitted model with its facts and metrics, and score the held-out rows with both copies."""
     train, test = _parts(t)
     scorer = models.fit_logistic(train)
     scored = scorer.transform(test)
@@ -187,4 +234,4 @@ def k6(t: Tables) -> DataFrame:
     models.save_model(scorer, path, measured, {"features": ",".join(MODEL_NUMERIC + ["lulc"]), "seed": "42", "test_share": "0.2"})
     again = models.load_model(t.spark, path).transform(test)
     same = scored.select("sample_id", "score").join(again.select("sample_id", F.col("score").alias("again")), "sample_id")
-    return same.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference"))
+    return tidy(same.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference")))

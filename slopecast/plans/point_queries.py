@@ -216,3 +216,12 @@ def l4(t: Tables) -> DataFrame:
 )
 def a15(t: Tables) -> DataFrame:
     return tidy(polygon.extent(t.view("fx_points"), "longitude", "latitude"))
+
+
+NEEDED = ["sample_id", "longitude", "latitude"]
+
+
+@query("s7_require_columns", f"SELECT sample_id, {PLACE} FROM fx_points", ("fx_points",))
+def s7(t: Tables) -> DataFrame:
+    """The points as they are, once every needed column is there."""
+    return tidy(sources.require_columns(t.view("fx_points"), NEEDED).select(*NEEDED))

@@ -12,9 +12,10 @@ from ..settings import RAIN_WINDOWS
 from ..sources import payload
 from ..streaming import readings as streaming
 from .cleaning_queries import tidy
-from .fixtures import ANCHOR, Tables
+from .fixtures import ANCHOR, RUN_TIME, Tables
 from .registry import query
 
+FILES = 4
 NOW = f"TIMESTAMP '{ANCHOR}'"
 
 
@@ -22,10 +23,10 @@ def now() -> Column:
     return F.lit(ANCHOR).cast("timestamp_ntz")
 
 
-def stations(t: Tables) -> DataFrame:
+def stations(t: Tables, readings: DataFrame | None = None) -> DataFrame:
     """Gauges with trailing totals and every trigger; totals scale with the nation's customers."""
     gauges = t.view("fx_gauges")
-    totals = rain.trailing_totals(t.view("fx_area_readings"), now(), "station_id", gauges)
+    totals = rain.trailing_totals(t.view("fx_area_readings") if readings is None else readings, now(), "station_id", gauges)
     scaled = totals.withColumns({c: F.col(c) * 60 / F.col("customers") for c in rain.RAIN_COLUMNS}).drop("customers")
     return rain.with_window_triggers(scaled)
 
@@ -155,8 +156,7 @@ def p22(t: Tables) -> DataFrame:
 PAYLOAD = """'{"hourly":{"time":["' || {t0} || '","' || {t1} || '","' || {t2} || '"],"precipitation":[' || CAST(CAST(value * 100 AS INT) AS STRING) || ',null,7]},"current":{"time":"' || {t1} || '+05:45","precipitation":' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE 'null' END || '}}' AS payload"""
 
 
-def _payloads(t: Tables) -> DataFrame:
-    text = PAYLOAD
+def _payloads(t: Tables, text: str = PAYLOAD) -> DataFrame:
     for name, time in (("{t0}", "ts - INTERVAL 1 HOUR"), ("{t1}", "ts"), ("{t2}", "ts + INTERVAL 1 HOUR")):
         text = text.replace(name, f"date_format({time}, \"yyyy-MM-dd'T'HH:mm:ss\")")
     return t.base("events").selectExpr("event_id", text)
@@ -173,17 +173,26 @@ def s5(t: Tables) -> DataFrame:
     return payload.payload_readings(items, "event_id")
 
 
+UNTIMED = PAYLOAD.replace("\"time\":\"' || {t1} || '+05:45\"", "\"time\":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '\"' || {t1} || '+05:45\"' END || '")
+
+
 @query(
     "p26_time_normalise",
-    "SELECT event_id, date_trunc('second', ts) AS latest_time, 0::DOUBLE AS current_rain_mm, CASE WHEN event_id % 2 = 0 THEN 3::DOUBLE ELSE 0::DOUBLE END AS current_precipitation_mm FROM events",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-15 15:08:00' ELSE date_trunc('second', ts) END AS latest_time, 0::DOUBLE AS current_rain_mm,
+  CASE WHEN event_id % 2 = 0 THEN 3::DOUBLE ELSE 0::DOUBLE END AS current_precipitation_mm FROM events""",
 )
 def p26(t: Tables) -> DataFrame:
-    items = payload.parse_payloads(_payloads(t), "payload", "event_id")
-    return payload.payload_current(items, "event_id").drop("item")
+    """A third of the payloads have no current time and take the run's, in their own zone."""
+    items = payload.parse_payloads(_payloads(t, UNTIMED), "payload", "event_id")
+    run_time = F.lit(RUN_TIME[:19].replace("T", " ")).cast("timestamp_ntz")
+    return payload.payload_current(items, "event_id", run_time).drop("item")
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _event_stream(t: Tables) -> DataFrame:
-    raw = streaming.reading_stream(t.spark, t.sf_dir, streaming.READINGS, "events.parquet")
+    raw = streaming.reading_stream(t.spark, t.sf_dir, EVENTS, "events.parquet")
     return raw.select(F.col("user_id").alias("loc_id"), "ts", (F.col("value") / 10).alias("mm"), "event_id")
 
 
@@ -203,25 +212,20 @@ def t1(t: Tables) -> DataFrame:
     return tidy(streaming.run_to_table(streaming.stream_trailing_totals(_event_stream(t)), "totals"))
 
 
+LAST = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM fx_readings)"
+
+
 @query(
-    "t2_stream_risk_refresh",
-    f"SELECT loc_id, round({SCORE}, 6) AS rainfall_trigger_score FROM ({TOTALS}) s",
+    "t3_late_reading_policy",
+    f"SELECT loc_id, ts, round(max(mm), 6) AS mm, (SELECT count(*) FROM fx_readings WHERE ts <= {LAST}) AS too_late FROM fx_readings GROUP BY loc_id, ts",
     ("fx_readings",),
 )
-def t2(t: Tables) -> DataFrame:
-    """Refresh of the triggers per micro-batch, stored by batch number."""
-    target, state = shared_dir(t.spark, "refresh"), shared_dir(t.spark, "refresh-state")
-    streaming.stream_refresh(
-        _event_stream(t),
-        lambda batch: tidy(rain.with_trigger(tidy(rain.trailing_totals(batch, now())))),
-        target,
-        state,
-    ).awaitTermination()
-    return t.spark.read.parquet(target).select("loc_id", "rainfall_trigger_score")
-
-
-@query("t3_late_reading_policy", "SELECT loc_id, ts, round(max(mm), 6) AS mm FROM fx_readings GROUP BY loc_id, ts", ("fx_readings",))
 def t3(t: Tables) -> DataFrame:
-    """The history sent twice leaves one copy of every reading."""
-    once = _event_stream(t).drop("event_id")
-    return tidy(streaming.run_to_table(streaming.drop_repeats(once.union(once), ["loc_id", "ts"], delay="31 days"), "repeats"))
+    """The history arrives three times, one batch each: a repeat is known already, and one that lies
+    behind the watermark, which holds for late rows from the third batch on, is dropped and counted."""
+    feed = shared_dir(t.spark, "late-feed")
+    for _ in range(3):
+        t.view("fx_readings").repartition(FILES).write.mode("append").parquet(feed)
+    stream = streaming.reading_stream(t.spark, feed, "loc_id long, ts timestamp_ntz, mm double", max_files=FILES)
+    kept, late = streaming.run_counted(streaming.drop_repeats(stream, ["loc_id", "ts"]), "repeats")
+    return tidy(kept.withColumn("too_late", F.lit(late).cast("long")))

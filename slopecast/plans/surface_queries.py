@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import classes, pixels, rain, surface
 from ..operators.pixels import PIXEL
+from ..session import shared_dir
 from ..settings import RISK_LABELS, RISK_SCHEME, SCORE_LABELS
+from ..streaming import readings as streaming
 from .cleaning_queries import tidy
 from .fixtures import GRID, RUN_TIME, Tables
 from .pixel_queries import CLASS
 from .point_queries import SCORED_POINTS
-from .rain_queries import stations
+from .rain_queries import FILES, now, stations
 from .registry import query
 
 TRIGGER = "rainfall_trigger_score"
@@ -69,8 +71,8 @@ def r11(t: Tables) -> DataFrame:
     return tidy(pixels.classify_map(layers, "risk"))
 
 
-def risk(t: Tables) -> DataFrame:
-    return surface.risk_map(t.grid, stations(t), GRID, TRIGGER, shape=t.shape)
+def risk(t: Tables, points: DataFrame | None = None) -> DataFrame:
+    return surface.risk_map(t.grid, stations(t) if points is None else points, GRID, TRIGGER, shape=t.shape)
 
 
 @query(
@@ -87,17 +89,45 @@ RISK_AREA = f"""SELECT c.class_value, c.label, c.lo, c.hi, count(r.row_id) AS pi
 FROM {class_rows(RISK_LABELS)} LEFT JOIN (SELECT row_id, {CLASS.format(v='risk_combined')} AS k FROM sq_risk) r ON r.k = c.class_value GROUP BY c.class_value, c.label, c.lo, c.hi"""
 
 
-@query(
-    "a7_risk_summary",
-    f"""SELECT label AS risk_label, lo AS risk_min, hi AS risk_max, pixel_count, round(area_percent, 6) AS area_percent, '{RUN_TIME}' AS generated_at,
+SUMMARY_OF_RISK = f"""SELECT label AS risk_label, lo AS risk_min, hi AS risk_max, pixel_count, round(area_percent, 6) AS area_percent, '{RUN_TIME}' AS generated_at,
   round(m1, 6) AS max_rain_1h_mm, round(m3, 6) AS max_rain_3h_mm, round(m24, 6) AS max_rain_24h_mm, round(m72, 6) AS max_rain_72h_mm, round(mt, 6) AS max_trigger_score
-FROM ({RISK_AREA}) a, (SELECT {MAXIMA} FROM fx_stations) m""",
-    ("sq_risk", "fx_stations"),
-)
+FROM ({RISK_AREA}) a, (SELECT {MAXIMA} FROM fx_stations) m"""
+
+
+@query("a7_risk_summary", SUMMARY_OF_RISK, ("sq_risk", "fx_stations"))
 def a7(t: Tables) -> DataFrame:
     return tidy(risk_table(t))
 
 
+@query(
+    "p27_generated_at",
+    f"SELECT label AS risk_label, '{RUN_TIME}' AS generated_at, count(g.row_id) AS pixel_count FROM {class_rows(RISK_LABELS)} LEFT JOIN fx_grid g ON g.score IS NOT NULL AND {CLASS.format(v='g.score')} = c.class_value GROUP BY label",
+    ("fx_grid",),
+)
+def p27(t: Tables) -> DataFrame:
+    """The run time that is given, on every row of a summary."""
+    table = classes.risk_summary(t.grid, rain.rain_maxima(stations(t)), RISK_SCHEME, RUN_TIME, "score")
+    return table.select("risk_label", "generated_at", "pixel_count")
+
+
+@query("t2_stream_risk_refresh", SUMMARY_OF_RISK, ("sq_risk", "fx_stations"))
+def t2(t: Tables) -> DataFrame:
+    """Readings arrive in several files; after each the totals, surface, risk and summary are made anew.
+
+    The last summary is that of all readings, whatever batch they came in.
+    """
+    feed, target, state = (shared_dir(t.spark, f"refresh-{part}") for part in ("feed", "tables", "state"))
+    t.view("fx_area_readings").repartition(FILES).write.parquet(feed)
+    stream = streaming.reading_stream(t.spark, feed, "station_id int, ts timestamp_ntz, mm double", max_files=1)
+
+    def refresh(recent: DataFrame) -> DataFrame:
+        points = stations(t, t.spark.read.parquet(*recent.inputFiles()))
+        return tidy(classes.risk_summary(risk(t, points), rain.rain_maxima(points), RISK_SCHEME, RUN_TIME))
+
+    streaming.stream_refresh(stream, refresh, now(), target, state, "station_id").awaitTermination()
+    return streaming.latest_summary(t.spark, target)
+
+
 def risk_table(t: Tables) -> DataFrame:
     return classes.risk_summary(risk(t), rain.rain_maxima(stations(t)), RISK_SCHEME, RUN_TIME)
 

@@ -46,3 +46,22 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _file_system(spark, path)
+    return files.exists(place)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete what ``materialise`` or a sink wrote below the shared folder, if it is there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base or not path.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"not below the shared folder: {path}")
+    place, files = _file_system(spark, path)
+    files.delete(place, True)

@@ -39,6 +39,7 @@ OVERLAY_ALPHA = 220
 # --- fixed values: rainfall thresholds in mm by trailing window in hours -----
 RAIN_THRESHOLDS = {1: 20.0, 3: 40.0, 24: 100.0, 72: 180.0}
 RAIN_WINDOWS = list(RAIN_THRESHOLDS)
+PAYLOAD_ZONE = "Asia/Kathmandu"  # zone of the wall clock in payloads
 
 # --- fixed values: distances, sampling and modelling ------------------------
 MIN_BACKGROUND_DISTANCE = 0.0009  # planar degrees

@@ -28,7 +28,7 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Raise with the list of absent columns."""
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Training dataset is missing columns: {missing}")
+        raise ValueError(f"columns not in the table: {', '.join(missing)}")
     return df
 
 

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rain import RAIN_COLUMNS, rain_column
-from ..session import shared_dir
+from ..operators.rain import RAIN_COLUMNS, rain_column, up_to
+from ..session import exists, release, shared_dir
 from ..settings import RAIN_WINDOWS
 
-READINGS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
 
 def reading_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
     """Readings that land as Parquet files in a folder."""
@@ -60,6 +58,11 @@ def stream_trailing_totals(
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Drain the available input into a Parquet table and return that table."""
+    return run_counted(stream, purpose, mode)[0]
+
+
+def run_counted(stream: DataFrame, purpose: str, mode: str = "append") -> tuple[DataFrame, int]:
+    """Drain the available input into a Parquet table; that table, and the rows dropped as too late."""
     spark = stream.sparkSession
     out, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-state")
     query = (
@@ -70,19 +73,53 @@ def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataF
         .start(out)
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), late
 
 
-def stream_refresh(
-    readings: DataFrame, refresh: Callable[[DataFrame], DataFrame], target: str, state: str, available_now: bool = True
-) -> StreamingQuery:
-    """Recompute a summary for each micro-batch and store it under its batch number.
+def fold_recent(
+    batch: DataFrame, folder: str, batch_id: int, current: Column, loc: str = "loc_id", time: str = "ts", amount: str = "mm"
+) -> DataFrame:
+    """Readings of the longest window up to ``current``, of this batch and all before: one row per location and instant.
 
-    A batch that is replayed after a failure overwrites its own folder.
+    The table of each batch is written under its number from that of the batch before, so a batch
+    that is replayed after a failure rewrites its own. Tables two batches back are released.
     """
+    spark = batch.sparkSession
+    fresh = up_to(batch, current, time, amount).select(loc, time, amount)
+    before = f"{folder}/batch={batch_id - 1}"
+    if exists(spark, before):
+        fresh = fresh.unionByName(spark.read.parquet(before))
+    recent = fresh.where(F.col(time) > current - F.make_dt_interval(hours=F.lit(max(RAIN_WINDOWS))))
+    target = f"{folder}/batch={batch_id}"
+    recent.groupBy(loc, time).agg(F.sum(amount).alias(amount)).write.mode("overwrite").parquet(target)
+    release(spark, f"{folder}/batch={batch_id - 2}")
+    return spark.read.parquet(target)
+
+
+def stream_refresh(
+    readings: DataFrame,
+    refresh: Callable[[DataFrame], DataFrame],
+    current: Column,
+    target: str,
+    state: str,
+    loc: str = "loc_id",
+    time: str = "ts",
+    amount: str = "mm",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Recompute a summary after each micro-batch from all readings of the longest window, and store it under the batch's number."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        refresh(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        recent = fold_recent(batch, f"{target}/recent", batch_id, current, loc, time, amount)
+        refresh(recent).write.mode("overwrite").parquet(f"{target}/summary/batch={batch_id}")
 
     writer = readings.writeStream.foreachBatch(store).option("checkpointLocation", state)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_summary(spark: SparkSession, target: str) -> DataFrame:
+    """The summary of the last batch."""
+    batches = spark.read.option("basePath", f"{target}/summary").parquet(f"{target}/summary")
+    last = batches.agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{target}/summary/batch={last}")
