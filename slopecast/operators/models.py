@@ -19,7 +19,7 @@ from ..functions.scalar import circular_encode
 from ..session import materialise
 from ..settings import CATEGORICAL, FOLDS, MODEL_NUMERIC, SEED
 from .background import stratified_folds
-from .metrics import binary_metrics, confusion_matrix, mean_std, roc_auc
+from .metrics import binary_metrics, confusion_matrix, roc_auc
 from .pixels import PIXEL, valid_mask
 
 LABEL = "landslide"
@@ -236,17 +236,17 @@ FITTERS = {"Random Forest": fit_forest, "SVM": fit_svm, "Logistic Regression": f
 def evaluate_model(name: str, train: DataFrame, test: DataFrame, folds: int = FOLDS, key: str = "sample_id") -> tuple[DataFrame, Scorer]:
     """One metrics row (cross-validated and hold-out) and the model fitted on all training rows.
 
-    Preparation is refitted inside every fold.
+    Preparation is refitted inside every fold; without folds the cross-validated columns are NULL.
     """
     fit = FITTERS[name]
-    folded = materialise(stratified_folds(train, key, LABEL, folds, name="cv"), "folds")
-    aucs = None
-    for fold in range(folds):
-        model = fit(folded.where(F.col("cv") != fold).drop("cv"))
-        scored = model.transform(folded.where(F.col("cv") == fold).drop("cv"))
-        part = roc_auc(scored, LABEL, "score")
-        aucs = part if aucs is None else aucs.unionByName(part)
-    cv = mean_std(aucs, "roc_auc").first()  # one row
+    aucs = []
+    if folds:
+        folded = materialise(stratified_folds(train, key, LABEL, folds, name="cv"), "folds")
+        for fold in range(folds):
+            model = fit(folded.where(F.col("cv") != fold).drop("cv"))
+            scored = model.transform(folded.where(F.col("cv") == fold).drop("cv"))
+            aucs.append(roc_auc(scored, LABEL, "score").first()["roc_auc"])
+    cv = {"mean": float(np.mean(aucs)), "std": float(np.std(aucs))} if aucs else {"mean": None, "std": None}
     final = fit(train)
     scored = materialise(final.transform(test).select(key, LABEL, "score", "predicted"), "holdout")
     hold_out = binary_metrics(confusion_matrix(scored, LABEL, "predicted"))
@@ -255,8 +255,8 @@ def evaluate_model(name: str, train: DataFrame, test: DataFrame, folds: int = FO
         F.lit(name).alias("model"),
         F.lit(train.count()).alias("train_rows"),
         F.lit(test.count()).alias("test_rows"),
-        F.lit(cv["mean"]).alias("cv_roc_auc_mean"),
-        F.lit(cv["std"]).alias("cv_roc_auc_std"),
+        F.lit(cv["mean"]).cast("double").alias("cv_roc_auc_mean"),
+        F.lit(cv["std"]).cast("double").alias("cv_roc_auc_std"),
         *[F.col(c).alias(f"test_{c}") for c in ("accuracy", "precision", "recall", "f1")],
         F.lit(auc).alias("test_roc_auc"),
         "true_negative",

@@ -18,6 +18,11 @@ ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in FEATURE_LIST.split(", ") if
 PLACE = "round(longitude, 7) AS longitude, round(latitude, 7) AS latitude"
 
 
+def landed_sample(t: Tables) -> DataFrame:
+    """The sampled points, written once for steps that read them several times."""
+    return materialise(sampled(t), "sampled")
+
+
 def sampled(t: Tables) -> DataFrame:
     """Distinct points with every layer's value."""
     drawn = sample_pixels(clean.dedupe_points(t.view("fx_points")), t.grid, GRID, [*FEATURES, "score"])
@@ -74,7 +79,7 @@ def p14(t: Tables) -> DataFrame:
 
 
 def _in_domain(t: Tables) -> DataFrame:
-    return clean.domain_rules(clean.drop_missing(sampled(t), [*XY, *FEATURES]))
+    return clean.domain_rules(clean.drop_missing(landed_sample(t), [*XY, *FEATURES]))
 
 
 IN_DOMAIN = f"SELECT * FROM sq_sampled WHERE NOT ({ANY_MISSING}) AND NOT ({ANY_BAD})"
@@ -255,7 +260,7 @@ CORR = "SELECT '{s}' AS \"set\", '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS
     ("fx_grid", "sq_sampled"),
 )
 def a11(t: Tables) -> DataFrame:
-    sets = {"background": clean_layers(t.grid, FEATURES), "points": sampled(t)}
+    sets = {"background": clean_layers(t.grid, FEATURES), "points": landed_sample(t)}
     return tidy(describe.correlation_matrix(sets, FEATURES))
 
 
@@ -298,7 +303,7 @@ FROM vals v JOIN lim USING ("set", feature) GROUP BY v."set", v.feature, least(f
     ("fx_grid", "sq_sampled"),
 )
 def a12(t: Tables) -> DataFrame:
-    sets = {"raster": clean_layers(t.grid, HIST).select(*HIST), "points": sampled(t).select(*HIST)}
+    sets = {"raster": clean_layers(t.grid, HIST).select(*HIST), "points": landed_sample(t).select(*HIST)}
     return tidy(describe.histogram(sets, "raster", HIST))
 
 
@@ -310,7 +315,7 @@ FROM (SELECT CAST({c} AS DOUBLE) AS v FROM sq_sampled), (SELECT quantile_cont(CA
 
 @query("a13_boxplot_stats", " UNION ALL ".join(BOX.format(c=c) for c in FEATURES), ("sq_sampled",))
 def a13(t: Tables) -> DataFrame:
-    return tidy(describe.boxplot_stats(sampled(t), FEATURES))
+    return tidy(describe.boxplot_stats(landed_sample(t), FEATURES))
 
 
 TREND = "SELECT '{a}' AS x, '{b}' AS y, regr_slope({b}, {a}) AS slope, regr_intercept({b}, {a}) AS intercept, corr({a}, {b}) AS r, min({a}) AS x_min, max({a}) AS x_max, count(*) AS n FROM sq_sampled WHERE {a} IS NOT NULL AND {b} IS NOT NULL"

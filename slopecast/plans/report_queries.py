@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alert_level, first_present, format_percent, place_fields
-from ..operators import classes, rain
-from ..settings import RISK_LABELS
+from ..operators import classes, rain, workflow
+from ..session import materialise
+from ..settings import FEATURES, RISK_LABELS
 from ..sources import sinks
 from .cleaning_queries import tidy
-from .fixtures import ANCHOR, RUN_TIME, Tables
+from .fixtures import ANCHOR, GRID, RUN_TIME, RULES, Tables
 from .rain_queries import MAXIMA, stations
 from .registry import query
-from .surface_queries import RISK_AREA, SUMMARY, risk_table, score_table
+from .surface_queries import RISK_AREA, SUMMARY, class_rows, risk_table, score_table
 
 # A geocoder answer per customer; keys come and go with the customer number.
 ADDRESS = """'{"address":{' || CASE WHEN c_custkey % 3 = 0 THEN '"village":"' || c_name || '",' ELSE '"village":"",' END
@@ -56,9 +57,9 @@ ALERT = f""", shares AS (SELECT sum(CASE WHEN class_value IN (4, 5) THEN area_pe
 m AS (SELECT {MAXIMA.removeprefix('SELECT ').removesuffix(' FROM fx_stations')}, max(rainfall_trigger_score) AS mt FROM fx_stations)"""
 
 
-def cards(t: Tables) -> DataFrame:
-    """One row of headline numbers."""
-    shares = classes.capture_share(risk_table(t), "risk_label", RISK_LABELS[3:], {"area_percent": "area"})
+def cards(t: Tables, risk: DataFrame) -> DataFrame:
+    """One row of headline numbers from the risk summary."""
+    shares = classes.capture_share(risk, "risk_label", RISK_LABELS[3:], {"area_percent": "area"})
     top = rain.rain_maxima(stations(t))
     row = top.select(F.struct(*top.columns)).scalar()
     named = shares.withColumn("_m", row).select("_m.*", F.col("area_high").alias("highSevereArea"), F.col("area_top").alias("severeArea"))
@@ -76,7 +77,7 @@ SELECT CASE WHEN severe >= 1 OR high >= 12 OR mt >= 0.6::DOUBLE THEN 'Elevated'
 )
 def p21(t: Tables) -> DataFrame:
     level = alert_level("highSevereArea", "severeArea", "maxTrigger", "maxRain72h")
-    found = cards(t).withColumn("a", level)
+    found = cards(t, risk_table(t)).withColumn("a", level)
     return found.select(
         "a.label", "a.color", F.round("highSevereArea", 5).alias("high"), F.round("severeArea", 5).alias("severe")
     )
@@ -101,13 +102,14 @@ SELECT '{RUN_TIME}' AS generated_at, '2024-01-15T09:15:00' AS latest_time, round
     ("sq_risk", "fx_stations", "fx_points"),
 )
 def k4(t: Tables) -> DataFrame:
-    tables = {"risk": risk_table(t), "susceptibility": score_table(t), "rainfall": stations(t)}
+    risk = materialise(risk_table(t), "risk")  # the cards and the tables both read it
+    tables = {"risk": risk, "susceptibility": score_table(t), "rainfall": stations(t)}
     order = {"risk": "risk_min", "susceptibility": "class_value", "rainfall": "station_id"}
     height, width = t.shape
     bounds = [[28.5 - height * 0.001, 85.0], [28.5, 85.0 + width * 0.001]]
     overlays = {"susceptibility": "assets/susceptibility.png", "risk": "assets/risk.png"}
     latest = ANCHOR.replace(" ", "T")
-    state = sinks.app_state(cards(t), tables, order, bounds, overlays, RUN_TIME, latest)
+    state = sinks.app_state(cards(t, risk), tables, order, bounds, overlays, RUN_TIME, latest)
     doc = F.from_json(
         "app_state",
         "generatedAt string, rainfallLatestTime string, cards struct<maxRain72h: double, maxTrigger: double, highSevereArea: double>, "
@@ -137,3 +139,33 @@ UNION ALL SELECT class_value + 1, '| ' || class_value || ' | ' || class_label ||
 )
 def k5(t: Tables) -> DataFrame:
     return sinks.markdown_rows(tidy(score_table(t)), "class_value")
+
+
+VALID = f"SELECT count(*) FROM fx_grid WHERE {' AND '.join(RULES[c] for c in FEATURES if c in RULES)}"
+
+
+@query(
+    "m9_composed_run",
+    f"SELECT class_value AS place, label AS risk_label, '{RUN_TIME}' AS generated_at, ({VALID}) AS scored_pixels, ({VALID}) AS classed_pixels, 3::BIGINT AS models, true AS best_chosen FROM {class_rows(RISK_LABELS)}",
+    ("fx_grid",),
+)
+def m9_run(t: Tables) -> DataFrame:
+    """The whole run from raw points: three fitted models, the best one's scores, classes and risk.
+
+    Each of the three is fitted once; ``m7`` covers cross-validation.
+    """
+    done = workflow.run(t.view("fx_points"), t.grid, stations(t), GRID, t.shape, RUN_TIME, folds=0)
+    areas = {r.model: r.test_roc_auc for r in done.metrics.collect()}  # one row per model
+    summary = materialise(done.risk_summary, "risk-summary")
+    scored = summary.agg(F.sum("pixel_count").alias("n")).scalar()
+    classed = done.class_summary.agg(F.sum("pixel_count").alias("n")).scalar()
+    place = F.array_position(F.array(*[F.lit(label) for label in RISK_LABELS]), F.col("risk_label")).cast("int")
+    return summary.select(
+        place.alias("place"),
+        "risk_label",
+        "generated_at",
+        scored.cast("long").alias("scored_pixels"),
+        classed.cast("long").alias("classed_pixels"),
+        F.lit(len(areas)).cast("long").alias("models"),
+        F.lit(areas[done.best.name] == max(areas.values())).alias("best_chosen"),
+    )
