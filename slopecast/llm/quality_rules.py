@@ -35,7 +35,7 @@ REJECT_P = 1e-5
 MAX_STEPS = 20
 #: Added to each variance, in squared units of the transformed statistics. A statistic that most
 #: documents of a group share exactly (no symbols, no repeats) would otherwise have none.
-VARIANCE_FLOOR = np.array([0.04, 0.04, 0.25, 0.25, 0.25])
+VARIANCE_FLOOR = np.array([0.04, 0.04, 0.25, 0.25, 0.5])
 DIMENSIONS = len(VARIANCE_FLOOR)
 #: Bins of a doubling of the distance, for the quantiles of a group.
 BINS = 64
