@@ -16,14 +16,16 @@ from ..functions.scalar import as_col, hash_key
 from ..settings import SEED
 
 
-HASH_PREFIX = 4  # hex digits: 65,536 even buckets
+HASH_PREFIX = 4  # hex digits: 65,536 even buckets, a million rows each for 65 billion rows
+LEAST_BUCKETS, BUCKET_ROWS = 1024, 1_000_000
 
 
-def range_bucket(df: DataFrame, key: str, name: str, buckets: int = 1024) -> DataFrame:
-    """Add an ordered bucket number with about equally many rows of ``key`` per bucket.
+def range_bucket(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add an ordered bucket number with about equally many rows of ``key`` per bucket, at most about ``BUCKET_ROWS``.
 
     Equal keys share a bucket, so the key should be unique or already grouped.
     """
+    buckets = max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     numeric = df.withColumn(name, F.col(key).cast("double"))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(numeric.approxQuantile(name, shares, 0.25 / buckets)))
