@@ -20,7 +20,7 @@ from ..functions import (
 )
 from ..operators import classes, pixels, polygon, proximity, resample
 from ..operators.pixels import PIXEL
-from ..settings import ACCUMULATION_THRESHOLD, COARSE_RATIO, RISK_SCHEME, SCORE_NODATA, SCORE_SCHEME
+from ..settings import ACCUMULATION_THRESHOLD, CLASS_NODATA, COARSE_RATIO, RISK_SCHEME, SCORE_NODATA, SCORE_SCHEME
 from ..sources import sinks
 from .fixtures import COARSE, GRID, MEDIUM, Tables
 from .registry import query
@@ -237,6 +237,26 @@ def k2(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select(*PIXEL, "score")
 
 
+@query("k2_write_classes", f"SELECT row_id, col_id, CAST({CLASS.format(v='score')} AS TINYINT) AS class_value FROM fx_grid", ("fx_grid",))
+def k2_classes(t: Tables) -> DataFrame:
+    """The class raster: one byte, 0 where there is no score."""
+    classed = pixels.classify_map(t.grid.select(*PIXEL, "score"))
+    path = sinks.write_pixels(classed.select(*PIXEL, "class_value"), t.spark, "class_value", CLASS_NODATA, kind="byte")
+    return t.spark.read.parquet(path).select(*PIXEL, "class_value")
+
+
+@query(
+    "k2_read_region",
+    "SELECT row_id, col_id, CAST(coalesce(score, -9999) AS FLOAT) AS score FROM fx_grid WHERE row_id BETWEEN (SELECT (max(row_id) + 1) // 4 FROM fx_grid) AND (SELECT (max(row_id) + 1) // 2 FROM fx_grid) AND col_id BETWEEN 25 AND 70",
+    ("fx_grid",),
+)
+def k2_region(t: Tables) -> DataFrame:
+    """A window over the written scores: tiles outside it are not opened."""
+    path = sinks.write_pixels(t.grid.select(*PIXEL, "score"), t.spark, "score", SCORE_NODATA, side=16)
+    height = t.shape[0]
+    return sinks.read_region(t.spark, path, (height // 4, height // 2), (25, 70), 16).select(*PIXEL, "score")
+
+
 @query(
     "r1_resample_rule",
     """SELECT layer, CASE WHEN layer = 'lulc' THEN 'nearest' WHEN (0.001::DOUBLE * 100 / n_cols) >= 0.001::DOUBLE * 10 THEN 'cubic_spline' ELSE 'bilinear' END AS kernel, round(0.1::DOUBLE / n_cols, 6) AS a

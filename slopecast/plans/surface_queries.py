@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import classes, pixels, rain, surface
 from ..operators.pixels import PIXEL
 from ..session import shared_dir
-from ..settings import RISK_LABELS, RISK_SCHEME, SCORE_LABELS
+from ..settings import RISK_LABELS, RISK_SCHEME, SCORE_LABELS, SCORE_NODATA
+from ..sources import sinks
 from ..streaming import readings as streaming
 from .cleaning_queries import tidy
 from .fixtures import GRID, RUN_TIME, Tables
@@ -84,6 +85,14 @@ def r13(t: Tables) -> DataFrame:
     return tidy(risk(t))
 
 
+@query("k2_write_risk", "SELECT g.row_id, g.col_id, round(coalesce(risk_combined, -9999::DOUBLE), 6) AS risk FROM fx_grid g LEFT JOIN sq_risk r ON g.row_id = r.row_id AND g.col_id = r.col_id", ("fx_grid", "sq_risk"))
+def k2_risk(t: Tables) -> DataFrame:
+    """The risk raster over the whole grid, with the sentinel where there is no score."""
+    whole = t.grid.select(*PIXEL).join(risk(t).select(*PIXEL, "risk"), PIXEL, "left")
+    path = sinks.write_pixels(whole, t.spark, "risk", SCORE_NODATA, kind="double")
+    return tidy(t.spark.read.parquet(path).select(*PIXEL, "risk"))
+
+
 MAXIMA = "max(rain_1h_mm) AS m1, max(rain_3h_mm) AS m3, max(rain_24h_mm) AS m24, max(rain_72h_mm) AS m72, max(rainfall_trigger_score) AS mt"
 RISK_AREA = f"""SELECT c.class_value, c.label, c.lo, c.hi, count(r.row_id) AS pixel_count, 100.0::DOUBLE * count(r.row_id) / (SELECT count(*) FROM sq_risk) AS area_percent
 FROM {class_rows(RISK_LABELS)} LEFT JOIN (SELECT row_id, {CLASS.format(v='risk_combined')} AS k FROM sq_risk) r ON r.k = c.class_value GROUP BY c.class_value, c.label, c.lo, c.hi"""

@@ -22,18 +22,34 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def with_tile(pixels: DataFrame, side: int = TILE) -> DataFrame:
-    row, col = F.floor(F.col("row_id") / side), F.floor(F.col("col_id") / side)
-    return pixels.withColumn("tile", F.concat_ws("_", row, col))
+    """Add the row and column of the map tile that a pixel lies in."""
+    place = {"tile_row": "row_id", "tile_col": "col_id"}
+    return pixels.withColumns({tile: F.floor(F.col(at) / side).cast("int") for tile, at in place.items()})
 
 
-def write_pixels(pixels: DataFrame, spark: SparkSession, value: str, nodata: float, path: str | None = None, kind: str = "float") -> str:
-    """Pixel table as Parquet, range-partitioned by position, missing values as the sentinel."""
+def write_pixels(
+    pixels: DataFrame, spark: SparkSession, value: str, nodata: float, path: str | None = None, kind: str = "float", side: int = TILE
+) -> str:
+    """Pixel table as Parquet, tile by tile, missing values as the sentinel.
+
+    Files hold ranges of tiles and rows lie in tile order, so the statistics of files and row
+    groups bound a region; ``read_region`` opens only those that meet it.
+    """
     path = path or shared_dir(spark, "pixels")
     filled = pixels.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float(nodata))).cast(kind))
-    filled.repartitionByRange(*PIXEL).sortWithinPartitions(*PIXEL).write.mode("overwrite").parquet(path)
+    order = ["tile_row", "tile_col", *PIXEL]
+    with_tile(filled, side).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return path
 
 
+def read_region(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int], side: int = TILE) -> DataFrame:
+    """Pixels of a window of rows and columns, both ends included, pruned by tile."""
+    found = spark.read.parquet(path)
+    for tile, at, (low, high) in (("tile_row", "row_id", rows), ("tile_col", "col_id", cols)):
+        found = found.where(F.col(tile).between(low // side, high // side) & F.col(at).between(low, high))
+    return found.drop("tile_row", "tile_col")
+
+
 def point_feature(lon: str, lat: str, properties: list[str]) -> Column:
     """One GeoJSON point feature as JSON text."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon).cast("double"), F.col(lat).cast("double")).alias("coordinates"))
