@@ -87,6 +87,7 @@ def _strictly_inside(pairs: DataFrame, edges: DataFrame, point_id: str, band: fl
     met = (
         pairs.withColumn("_band", F.floor(py / F.lit(band)).cast("long"))
         .join(banded, ["feature_id", "_band"])
+        .where(px <= F.greatest(x1, x2))  # an edge wholly to the left of a point neither crosses its ray nor holds it
         .select(point_id, "feature_id", F.coalesce(crosses, F.lit(False)).alias("crosses"), on_edge.alias("on_edge"))
         .where("crosses or on_edge")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import polygon
+from ..session import materialise
 from ..sources import polygons, sinks
 from .cleaning_queries import tidy
 from .fixtures import GRID, ORIGIN, Tables
@@ -73,7 +74,7 @@ def a16(t: Tables) -> DataFrame:
 )
 def j6(t: Tables) -> DataFrame:
     """Every service area that holds each site."""
-    edges = polygon.ring_edges(t.view("fx_rings"))
+    edges = materialise(polygon.ring_edges(t.view("fx_rings")), "edges")
     return polygon.points_in_polygons(t.view("fx_sites"), edges, "site_id", BAND).select("site_id", "feature_id")
 
 
@@ -86,7 +87,7 @@ def j6(t: Tables) -> DataFrame:
     ("fx_polygon", "fx_points"),
 )
 def f10(t: Tables) -> DataFrame:
-    edges = polygon.ring_edges(t.view("fx_polygon"))
+    edges = materialise(polygon.ring_edges(t.view("fx_polygon")), "edges")
     return polygon.points_in_polygons(t.view("fx_points"), edges, "sample_id", BAND).select("sample_id")
 
 
@@ -99,7 +100,7 @@ def f10(t: Tables) -> DataFrame:
     ("fx_polygon", "fx_grid"),
 )
 def f13(t: Tables) -> DataFrame:
-    edges = polygon.ring_edges(t.view("fx_polygon"))
+    edges = materialise(polygon.ring_edges(t.view("fx_polygon")), "edges")
     return polygon.clip_to_polygon(t.grid, edges, GRID).select("row_id", "col_id")
 
 

@@ -79,10 +79,12 @@ FROM fx_gauges g LEFT JOIN (SELECT * FROM fx_area_readings WHERE ts > TIMESTAMP
         """SELECT *, greatest(least(rain_1h_mm / 20, 1), least(rain_3h_mm / 40, 1), least(rain_24h_mm / 100, 1), least(rain_72h_mm / 180, 1)) AS rainfall_trigger_score
 FROM fx_station_totals""",
     ),
-    # One non-convex district ring, used against the whole grid.
+    # One non-convex district ring over the grid's real height.
     "fx_polygon": (
         (),
-        """SELECT CAST(0 AS INT) AS feature_id, part_id, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES (0,0,85.0102,28.4981),(0,1,85.0903,28.4982),(0,2,85.0904,28.4021),(0,3,85.0502,28.4603),(0,4,85.0101,28.4022)) AS t(part_id, seq, x, y)""",
+        """SELECT CAST(0 AS INT) AS feature_id, part_id, seq, CAST(x AS DOUBLE) AS x,
+  28.5D - CAST(down AS DOUBLE) * (SELECT CAST(floor(max(o_orderkey) / 100.0) + 1 AS DOUBLE) FROM orders) / 100 AS y
+FROM (VALUES (0,0,85.0102,0.0019),(0,1,85.0903,0.0018),(0,2,85.0904,0.0979),(0,3,85.0502,0.0397),(0,4,85.0101,0.0978)) AS t(part_id, seq, x, down)""",
     ),
     # A notched five-vertex service area around every supplier.
     "fx_rings": (
