@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.session import materialise, tune
+from slopecast.session import release, shared_dir, tune
 
 #: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
 TEXTS_PER_BATCH = 128
@@ -48,9 +50,33 @@ def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(drawn <= hash_limit(share)).orderBy(drawn, *by).limit(rows)
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``landed`` writes inside are deleted at the end.
+
+    What a lazy result still reads must be written by ``materialise`` instead.
+    """
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            release(spark, path)
+
+
 def landed(df: DataFrame, purpose: str) -> DataFrame:
     """Written below the shared folder and read again: cuts lineage and survives lost executors."""
-    return materialise(df, purpose)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

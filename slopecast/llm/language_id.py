@@ -25,9 +25,9 @@ STRIDE, CONTEXT = 128, 16
 TOGETHER = 1024
 UNKNOWN = "und"
 
-#: Training: at most so many documents of a language, drawn by hash, and so many characters from
-#: somewhere in each.
-DOCS_PER_LANGUAGE, CHARS_PER_DOC = 400, 1500
+#: Training: at most so many documents of a language and of all, drawn by hash, and so many characters
+#: from somewhere in each.
+DOCS_PER_LANGUAGE, DOCS_IN_ALL, CHARS_PER_DOC = 400, 20_000, 1500
 STEPS, BATCH, LENGTH, RATE, SEED = 400, 192, 64, 0.02, 7
 
 LETTERS = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
@@ -212,15 +212,16 @@ def training_rows(docs: DataFrame, id_column: str, text_column: str, lang_column
     counts = {r.lang: r["count"] for r in given.groupBy("lang").count().collect()}
     if not counts:
         return []
+    most = min(DOCS_PER_LANGUAGE, max(1, DOCS_IN_ALL // len(counts)))
     drawn = F.xxhash64("doc_id", "lang")
-    shares = [(n, hash_limit(min(1.0, 2 * (DOCS_PER_LANGUAGE + 20) / c))) for n, c in counts.items()]
+    shares = [(n, hash_limit(min(1.0, 2 * (most + 20) / c))) for n, c in counts.items()]
     limits = F.broadcast(given.sparkSession.createDataFrame(shares, "lang string, share_to long"))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - CHARS_PER_DOC, F.lit(1))).cast("int") + 1
     passage = F.substring("text", start, F.lit(CHARS_PER_DOC))
     rows = given.join(limits, "lang").where(drawn <= F.col("share_to")).select("lang", drawn.alias("drawn"), passage.alias("passage")).collect()
     kept: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.drawn, r.passage)):
-        if len(own := kept.setdefault(r.lang, [])) < DOCS_PER_LANGUAGE:
+        if len(own := kept.setdefault(r.lang, [])) < most:
             own.append((r.lang, r.passage))
     return [x for own in kept.values() for x in own]
 

@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, landed, small_or_plain
+from slopecast.session import materialise
+
+from .common import id_and_text, landed, scratch, small_or_plain
 
 MIN_WORDS = 8
 
@@ -106,10 +108,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = distinct.select("h1", "h2", "doc_id", "line_no", F.explode("keys").alias("half"))
     shared = landed(keyed.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"), "line-halves")
     hopeful = landed(keyed.join(small_or_plain(shared), "half", "left_semi").select("h1", "h2", "doc_id", "line_no").distinct(), "line-hopeful")
-    wanted = small_or_plain(hopeful.withColumnsRenamed({"doc_id": "d", "line_no": "n", "h2": "other"}))
-    lines = numbered_lines(docs).select("doc_id", "line_no", "line", *line_hashes())
-    met = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("line_no") == F.col("n")) & (lines["h1"] == wanted["h1"])
-    lines = lines.join(wanted.withColumnRenamed("h1", "own"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("n")) & (F.col("h1") == F.col("own")) & (F.col("h2") == F.col("other")))
+    wanted = small_or_plain(hopeful.withColumnsRenamed({"doc_id": "d", "line_no": "n", "h1": "own", "h2": "other"}))
+    met = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("n")) & (F.col("h1") == F.col("own")) & (F.col("h2") == F.col("other"))
+    lines = numbered_lines(docs).select("doc_id", "line_no", "line", *line_hashes()).join(wanted, met)
     lines = landed(lines.select("h1", "h2", "doc_id", "line_no", "line").distinct(), "line-texts")
     pairs = candidates(landed(variants(lines), "line-variants"))
     text = lines.select("h1", "h2", F.split("line", " ", -1).alias("words"))
@@ -156,7 +157,8 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     ``kept_text`` is null where the text is. A row without a removed line keeps its text as it is.
     """
-    gone = landed(removed_lines(docs, id_column, text_column), "line-removed")
+    with scratch(docs.sparkSession):
+        gone = materialise(removed_lines(docs, id_column, text_column), "line-removed")
     rows = docs.select(
         F.struct("*").alias("row"), docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"),
         F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit(""))).alias("text_key"),

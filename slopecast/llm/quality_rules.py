@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, landed, texts
+from slopecast.session import materialise
+
+from .common import BROADCAST_ROWS, landed, scratch, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -234,7 +236,7 @@ class Groups:
                 break
             size = now
         scale = SUBSET / chi2_cdf(chi2_quantile(SUBSET, DIMENSIONS), DIMENSIONS + 2)
-        return landed(fitted.select("level", "key", "mean", F.transform("inverse", lambda v: v / scale).alias("inverse")), "quality-final")
+        return materialise(fitted.select("level", "key", "mean", F.transform("inverse", lambda v: v / scale).alias("inverse")), "quality-final")
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_columns: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -246,7 +248,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     whole corpus; with fewer usable documents than that in the whole corpus nothing is an outlier
     and ``distance`` is null. An empty table gives no rows.
     """
-    measured = landed(statistics(docs, id_column, text_column, group_columns), "quality-statistics")
+    measured = materialise(statistics(docs, id_column, text_column, group_columns), "quality-statistics")
     named = F.to_json(F.struct("group_0", "group_1"), {"ignoreNullFields": "false"})
     language = F.to_json(F.struct("group_0"), {"ignoreNullFields": "false"})
     usable = measured.where(~base_failed()).withColumns({"k0": named, "k1": language, "k2": F.lit("all")})
@@ -254,7 +256,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sizes = usable.groupBy("k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n0"))
     sizes = sizes.withColumn("n1", F.sum("n0").over(Window.partitionBy("k1"))).withColumn("n2", F.sum("n0").over(Window.partitionBy("k2")))
     level = F.when(F.col("n0") >= MIN_GROUP, 0).when(F.col("n1") >= MIN_GROUP, 1).when(F.col("n2") >= MIN_GROUP, 2)
-    levels = landed(sizes.select("k0", level.alias("level")).where("level is not null"), "quality-levels")
+    levels = materialise(sizes.select("k0", level.alias("level")).where("level is not null"), "quality-levels")
     x = {f"x{i}": c for i, c in enumerate(features())}
     each = usable.withColumns(x).select("doc_id", "k0", "k1", "k2", *x)
     used = [r.level for r in levels.select("level").distinct().collect()]
@@ -264,8 +266,9 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    groups = Groups(landed(rows, "quality-features"), levels.count())
-    fitted = groups.concentrate()
+    with scratch(docs.sparkSession):
+        groups = Groups(landed(rows, "quality-features"), levels.count())
+        fitted = groups.concentrate()
     keyed = measured.withColumns({"k0": named, "k1": language, "k2": F.lit("all")} | x)
     keyed = keyed.join(groups.small(levels), "k0", "left")
     key = F.when(F.col("level") == 0, F.col("k0")).when(F.col("level") == 1, F.col("k1")).when(F.col("level") == 2, F.col("k2"))

@@ -28,7 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import landed, small_or_plain, texts
+from slopecast.session import materialise
+
+from .common import landed, scratch, small_or_plain, texts
 
 WORDS, SEED = 4, 42
 RADIUS = 4
@@ -253,12 +255,17 @@ def stars(pairs: DataFrame) -> DataFrame:
 
 def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fingerprint, root, component_id`` of every distinct fingerprint of ``doc_id, fingerprint``."""
+    with scratch(marked.sparkSession):
+        return materialise(_classes(marked, radius), "simhash-classes")
+
+
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
     codes = landed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-codes")
     joined = stars(links(codes.select(F.col("fingerprint").alias("code")), radius))
     rooted = codes.join(joined.hint("merge"), codes["fingerprint"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = landed(rooted, "simhash-roots")
     smallest = landed(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
-    return landed(rooted.join(smallest.hint("merge"), "root").select("fingerprint", "root", "component_id"), "simhash-classes")
+    return rooted.join(smallest.hint("merge"), "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -269,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, i
     id is never smallest; a class of null ids alone has a null component. Rows that repeat an
     id are rows of their own. Other columns are not read; an empty table gives no rows.
     """
-    marked = landed(fingerprints(docs, words, id_column, text_column), "simhash-fingerprints")
+    marked = materialise(fingerprints(docs, words, id_column, text_column), "simhash-fingerprints")
     return marked.join(classes(marked, radius).drop("root").hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
