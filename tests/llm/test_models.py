@@ -221,3 +221,25 @@ def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
     right = [r.predicted == r.toxic for r in rows.join(labels, "doc_id").collect()]
     assert len(right) > 500 and np.mean(right) > 0.95
+
+
+def test_every_value_in_context_is_weighed():
+    def found(text):
+        return [text[s:e] for s, _, e in secret_scan.guessed_spans(text, secret_scan.base_spans(text))]
+
+    assert found("password is XkQzLmWpTrVbNh, passphrase: correct-horse-battery-staple") == ["XkQzLmWpTrVbNh", "correct-horse-battery-staple"]
+    assert found("secret password: Tr#9vk!x2Qz&") == ["Tr#9vk!x2Qz&"]
+    long = "".join("x7Kq92hvT0pLzQ4"[n * n % 15] + "_-~"[n % 3] for n in range(300))
+    assert found(f"authorization: bearer {long}.") == [long]
+    assert found("bearer " + "aB3$" * 100_000) == ["aB3$" * 100_000]
+
+
+def test_stopping_early_decides_as_the_whole_cost():
+    for value in ("a" * 500, "password" * 20, "qwertyuiop" * 9, "x7Kq92hvT0pLzQ4" * 8, "summer2024", "aB3$" * 40):
+        assert (secret_scan.guess_cost(value, enough=10.0) >= 10) == (secret_scan.guess_cost(value) >= 10)
+
+
+def test_words_of_the_table_are_plain(docs_of):
+    rows = [(n, "documents need protected storage") for n in range(6)] + [(9, "the password protected and secret mqzkwvxjrt")]
+    got = {r.doc_id: [s.kind for s in r.found] for r in secret_scan.scan(docs_of(rows)).collect()}
+    assert got[9] == ["guess"] and not any(got[n] for n in range(6))
