@@ -75,14 +75,15 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     pieces: dict[int, list[tuple[int, str]]] = {}
     for n, word in enumerate(words):
         own = plain(word)
+        readings = [own]
         if not own.isalnum() and own:  # read with and without signs inside
-            bare = "".join(filter(str.isalnum, own))[:LONGEST]
-            if len(bare) >= 3:
-                pieces.setdefault(len(bare), []).append((n, bare))
-        for at in range(0, max(1, len(own) - LONGEST // 2), LONGEST // 2) if len(own) > LONGEST else (0,):
-            part = own[at : at + LONGEST]
-            if len(part) >= 3:
-                pieces.setdefault(len(part), []).append((n, part))
+            bare = "".join(filter(str.isalnum, own))
+            readings += [bare] if len(bare) >= 3 else []
+        for read in readings:
+            for at in range(0, max(1, len(read) - LONGEST // 2), LONGEST // 2) if len(read) > LONGEST else (0,):
+                part = read[at : at + LONGEST]
+                if len(part) >= 3:
+                    pieces.setdefault(len(part), []).append((n, part))
     for length, own in pieces.items():
         at_places, weight = PLACES[length + 1]
         for at in range(0, len(own), 4096):

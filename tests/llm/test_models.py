@@ -243,3 +243,10 @@ def test_words_of_the_table_are_plain(docs_of):
     rows = [(n, "documents need protected storage") for n in range(6)] + [(9, "the password protected and secret mqzkwvxjrt")]
     got = {r.doc_id: [s.kind for s in r.found] for r in secret_scan.scan(docs_of(rows)).collect()}
     assert got[9] == ["guess"] and not any(got[n] for n in range(6))
+
+
+def test_long_words_are_read_without_signs_to_their_end():
+    word = "-".join("abcdefgh" * 6 + "idiot")  # the insult stands behind the first 40 letters
+    bare = word.replace("-", "")
+    windows = {n for _, numbers, _ in toxicity.subsequences([bare]) for n in numbers.ravel()}
+    assert windows <= {n for _, numbers, _ in toxicity.subsequences([word]) for n in numbers.ravel()}
