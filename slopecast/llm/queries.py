@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slopecast.session import shared_dir
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, simhash, token_files, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
