@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slopecast.session import shared_dir
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, simhash, token_files, toxicity, whitening
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality_rules, secret_scan, simhash, spelling, token_files, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
