@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopecast.llm import byte_bpe, decontaminate, language_id, line_dedup, queries, shingle_join
+from slopecast.llm import byte_bpe, decontaminate, language_id, line_dedup, queries, simhash
 from slopecast.llm.common import landed, prepare, scratch, small_or_plain, table
 from slopecast.session import materialise, release, shared_dir
 
@@ -68,14 +68,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, a null id last.
 
-    A group is held together by pairs with a Jaccard similarity of 0.8 or more of their five-word shingles.
+    Groups are those of ``op2_simhash``: fingerprints of four-word shingles, linked at four bits or fewer.
     Rows that share that id are told apart by the hash of their texts. Rows that share both are one.
     """
     prepare(spark)
     given = packed(docs)
     with scratch(spark):
-        rows = shingle_join.rooted(given.select("doc_id", "text_key", "text"))
-        rows = rows.groupBy("doc_id", "text_key", "root").agg(F.count(F.lit(1)).alias("n"))
+        marked = landed(simhash.fingerprints(given, extra=("text_key",)), "pipeline-fingerprints")
+        groups = simhash.classes(marked).select("fingerprint", "root").hint("merge")
+        rows = marked.groupBy("doc_id", "text_key", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(groups, "fingerprint")
         rows = landed(rows.select("root", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key").alias("place"), "n"), "pipeline-places")
         first = landed(rows.groupBy("root").agg(F.min("place").alias("first")), "pipeline-first").hint("merge")
         compared = rows.join(first, "root")
