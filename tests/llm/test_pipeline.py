@@ -105,42 +105,3 @@ def test_query_equals_sql(spark, sf_dir, name):
     columns = [d[0] for d in cursor.description]
     want = sorted(map(str, (dict(sorted(zip(columns, r))) for r in cursor.fetchall())))
     assert sorted(str(dict(sorted(r.asDict().items()))) for r in queries.QUERIES[name](spark, sf_dir).collect()) == want
-
-
-def plain_shingles(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def alike(a, b):
-    return 5 * len(a & b) >= 4 * len(a | b)
-
-
-def test_near_stage_follows_the_similarity_of_five_words(spark, sf_dir):
-    """Pairs of 0.8 whose fingerprints are further apart than the radius of ``op2_simhash`` go; less similar ones stay."""
-    given = {}
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(400).collect():
-        given[4 * r.doc_id] = r.text or ""
-        words = given[4 * r.doc_id].split()
-        if len(words) > 60:
-            for k, changed in ((1, range(20, 23)), (2, range(0, len(words), 40)), (3, range(0, len(words), 12))):
-                given[4 * r.doc_id + k] = " ".join(f"changed{r.doc_id}x{k}" if n in changed else w for n, w in enumerate(words))
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    own = {i: plain_shingles(t) for i, t in given.items()}
-    root = {i: i for i in own}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    far = 0
-    ids = sorted(own)
-    for i in ids:
-        for j in ids:
-            if i < j and 5 * min(len(own[i]), len(own[j])) >= 4 * max(len(own[i]), len(own[j])) and alike(own[i], own[j]):
-                far += (plain_fingerprint(given[i]) ^ plain_fingerprint(given[j])).bit_count() > 4
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    got = {r.doc_id for r in stage("near duplicates")(spark, docs, sf_dir).collect()}
-    assert far > 50 and got == {i for i in ids if find(i) == i}
