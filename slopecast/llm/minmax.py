@@ -103,7 +103,7 @@ def fits(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def confirmed(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, unique: DataFrame, marked: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
     Signatures go first; then each whole set is sent once, and once more for each pair in which it is ``b``.
@@ -112,8 +112,8 @@ def confirmed(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     right = unique.select(F.col("rid").alias("b"), F.col("sketch").alias("y"))
     agreeing = F.size(F.filter(F.zip_with("x", "y", lambda u, v: u == v), lambda e: e)) >= AGREE
     likely = landed(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(agreeing).select("a", "b"), "minmax-likely")
-    needed = landed(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "minmax-needed")
-    sets = landed(unique.select("rid", "own").join(small_or_plain(needed), "rid"), "minmax-sets")
+    needed = small_or_plain(landed(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "minmax-needed"))
+    sets = marked.select("rid", "own").join(needed, "rid", "left_semi")
     left, right = sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), sets.select(F.col("rid").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= LEAST * (F.size("x") + F.size("y") - both)
@@ -158,7 +158,7 @@ def near_duplicates(
     with scratch(docs.sparkSession):
         marked = landed(marks(id_and_text(docs, id_column, text_column), words), "minmax-marks")
         sets = landed(marked.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first")), "minmax-digests")
-        unique = marked.join(small_or_plain(sets.select("rid")), "rid").select("rid", "n", "bands", "sketch", "own")
+        unique = marked.join(small_or_plain(sets.select("rid")), "rid").select("rid", "n", "bands", "sketch")
         unique = landed(unique, "minmax-unique")
 
         keyed = unique.select(F.explode("bands").alias("h"), "rid", "n")
@@ -166,10 +166,10 @@ def near_duplicates(
         least = small_or_plain(landed(least.select("h", "x"), "minmax-least"))
         tried = keyed.join(least, "h").where(F.expr("x.rid < rid") & fits(F.col("x.n"), F.col("n")))
         tried = landed(tried.select(F.col("x.rid").alias("a"), F.col("rid").alias("b")).distinct(), "minmax-tried")
-        links = confirmed(tried, unique)
+        links = confirmed(tried, unique, marked)
         roots = landed(stars(links), "minmax-roots")
         rest = proposed(unique, roots, bucket, splits).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        links = links.unionAll(confirmed(landed(rest, "minmax-rest"), unique))
+        links = links.unionAll(confirmed(landed(rest, "minmax-rest"), unique, marked))
         roots = landed(stars(links), "minmax-roots")
 
         rooted = sets.join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
