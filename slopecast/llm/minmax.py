@@ -4,13 +4,15 @@ A text's set holds the hashes of its distinct word shingles. Each of ``PERMUTATI
 and gives two signature values, the set's minimum and its maximum under it, so a signature of 64 values
 costs 32 evaluations; the share of equal values is an unbiased estimate of the Jaccard similarity.
 Bands of ``BAND`` values propose pairs: two sets of similarity 0.8 share none of the 21 bands with a probability of
-3e-7. Before whole sets are sent to be compared, pairs of which under half the signature agrees are
-dropped (at 0.8 that is six standard deviations off), as are pairs whose sizes exclude the similarity.
-
-Equal sets fold first. In every band bucket the members are compared with the least one and the confirmed links
-contracted; only members that are then in different classes are paired with each other, and a
-bucket that still holds many is split by a second and a third band that the pair must share as well. So a
-large class costs a pair for each member, not a square.
+3e-7. Before whole sets are compared, pairs whose signatures agree in fewer than ``AGREE`` of 64 values are
+dropped (at 0.8 with a probability of 1e-6), as are pairs whose sizes exclude the similarity.
+
+Equal sets fold first. Three rounds confirm links and contract them. The first compares every member of a bucket
+with its least one. The second goes through the buckets that still hold several classes and takes as leaders the
+members that agree with most of a sample. The last compares every two members of different classes, so
+a class costs pairs only with what is outside it. Buckets are read in tasks by their signatures alone and only likely pairs leave
+them; a bucket of more than ``BUCKET`` members is first divided by a second band that a pair must share as
+well (which a pair at 0.8 fails with a probability of 6e-6).
 """
 
 from __future__ import annotations
@@ -34,9 +36,13 @@ BANDS = 2 * PERMUTATIONS // BAND
 #: Least Jaccard similarity, in percent.
 LEAST = 80
 #: Of the signature's 64 values, so many must agree before sets are compared.
-AGREE = PERMUTATIONS
-#: Members of different classes in a bucket from which it is split by further bands, and how often.
-BUCKET, SPLITS = 256, 2
+AGREE = 36
+#: Members of a bucket of several classes from which it is divided by a second band.
+BUCKET = 2048
+#: Members that others are held against when leaders are chosen, and leaders of a bucket. They decide the order of the work only.
+JURY, LEADERS = 256, 8
+#: Pairs that a task compares at once.
+PAIRS_AT_ONCE = 1 << 16
 _RANDOM = np.random.default_rng(SEED)
 FLIPS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
 FACTORS = _RANDOM.integers(0, 1 << 64, (2, PERMUTATIONS), dtype=np.uint64) | np.uint64(1)
@@ -73,13 +79,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(raw)], np.uint64)
 
 
-MARKED = "rid long, doc_id long, n long, digest binary, bands array<long>, sketch array<int>, own array<long>"
+MARKED = "rid long, doc_id long, n long, digest binary, bands array<long>, sketch array<smallint>, own array<long>"
 
 
 def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Of every row its number, id, set size, set digest, band hashes, signature and whole set.
 
-    The signature is kept as 32 bits of each value, the band hashes are of whole values.
+    The signature is kept as 16 bits of each value, the band hashes are of whole values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,7 @@ def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([band_keys(v).view(np.int64) if len(s) else [] for s, v in zip(sets, signatures)], pa.list_(pa.int64())),
-                pa.array([(v >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) else [] for s, v in zip(sets, signatures)], pa.list_(pa.int32())),
+                pa.array([(v >> np.uint64(48)).astype(np.uint16).view(np.int16) if len(s) else [] for s, v in zip(sets, signatures)], pa.list_(pa.int16())),
                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [c.split()[0] for c in MARKED.split(", ")])
@@ -111,41 +117,113 @@ def confirmed(pairs: DataFrame, unique: DataFrame, marked: DataFrame) -> DataFra
     left = unique.select(F.col("rid").alias("a"), F.col("sketch").alias("x"))
     right = unique.select(F.col("rid").alias("b"), F.col("sketch").alias("y"))
     agreeing = F.size(F.filter(F.zip_with("x", "y", lambda u, v: u == v), lambda e: e)) >= AGREE
-    likely = landed(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(agreeing).select("a", "b"), "minmax-likely")
-    needed = small_or_plain(landed(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "minmax-needed"))
+    alike = landed(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(agreeing).select("a", "b"), "minmax-alike")
+    needed = small_or_plain(landed(alike.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "minmax-needed"))
     sets = marked.select("rid", "own").join(needed, "rid", "left_semi")
     left, right = sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), sets.select(F.col("rid").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= LEAST * (F.size("x") + F.size("y") - both)
-    return landed(likely.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(similar).select("a", "b"), "minmax-links")
-
+    return landed(alike.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(similar).select("a", "b"), "minmax-links")
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal signature values of every row of x with every row of y."""
+    out = np.empty((len(x), len(y)), np.int16)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+    for at in range(0, len(x), step):
+        out[at : at + step] = (x[at : at + step, None, :] == y[None, :, :]).sum(axis=2, dtype=np.int16)
+    return out
+
+
+def likely(agreeing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where signatures and sizes leave the similarity possible."""
+    return (agreeing >= AGREE) & (100 * np.minimum.outer(n, m) >= LEAST * np.maximum.outer(n, m))
+
+
+def led(rid: np.ndarray, n: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a few leaders and the members of other classes that are likely to be linked to them."""
+    jury = np.argsort(rid * np.int64(-7046029254386353131))[:JURY]  # as good as random, the same on every layout
+    standing = (agreement(sketch, sketch[jury]) >= 64 * LEAST // 100).sum(axis=1)
+    open_ = np.ones(len(rid), bool)
+    for _ in range(LEADERS):
+        if not open_.any():
+            return
+        leader = int(np.flatnonzero(open_)[np.argmax(standing[open_])])
+        near = likely(agreement(sketch[leader : leader + 1], sketch), n[leader : leader + 1], n)[0]
+        other = np.flatnonzero(near & (root != root[leader]))
+        yield np.full(len(other), leader), other
+        open_ &= ~near
+        open_[leader] = False
+
+
+def across(h: int, n: np.ndarray, root: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all likely pairs of different classes; a pair that an earlier band also holds is left to that one."""
+    kinds, sizes = np.unique(root, return_counts=True)
+    rest = np.flatnonzero(root != kinds[np.argmax(sizes)])
+    place = np.full(len(root), len(root))
+    place[rest] = np.arange(len(rest))
+    band = np.flatnonzero(bands[0] == h)  # none in a divided bucket
+    step = max(1, PAIRS_AT_ONCE // len(root))
+    for at in range(0, len(rest), step):
+        own = rest[at : at + step]
+        good = likely(agreement(sketch[own], sketch), n[own], n) & (root[own, None] != root) & (place[own, None] < place)
+        a, b = np.nonzero(good)
+        a = own[a]
+        if len(band) and len(a):
+            first = ~(bands[a, : band[0]] == bands[b, : band[0]]).any(axis=1)
+            a, b = a[first], b[first]
+        yield a, b
+
+
+def proposed(unique: DataFrame, roots: DataFrame, bucket: int, every: bool) -> DataFrame:
+    """Likely pairs ``a < b`` of different classes that share a bucket: those of leaders, or all."""
 
-def proposed(unique: DataFrame, roots: DataFrame, bucket: int, splits: int) -> DataFrame:
-    """Pairs ``a < b`` of different classes that share a bucket; crowded buckets ask for further shared bands."""
-    rooted = unique.select("rid", "n", "bands").join(small_or_plain(roots.select(F.col("node").alias("rid"), "root")), "rid", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "rid"))
-    members = rooted.select(F.explode("bands").alias("h"), "rid", "n", "root", "bands")
-    pairs = None
-    for split in range(splits + 1):
-        # Only buckets with more than one class matter.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(h: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            rid, n, root = (whole.column(c).to_numpy() for c in (1, 2, 3))
+            sketch, bands = (whole.column(c).combine_chunks().flatten().to_numpy().reshape(len(rid), -1) for c in (4, 5))
+            found = list(across(h, n, root, sketch, bands) if every else led(rid, n, root, sketch))
+            a, b = (rid[np.concatenate([p[k] for p in found] or [np.empty(0, int)])] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        last, held = None, []
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1), len(h)]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    if held and h[start] != last:
+                        yield pairs(last, held)
+                        held = []
+                    last = h[start]
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield pairs(last, held)
+
+    rooted = unique.join(small_or_plain(roots.select(F.col("node").alias("rid"), "root")), "rid", "left")
+    rooted = rooted.select("rid", "n", F.coalesce("root", "rid").alias("root"), "sketch", "bands")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Buckets of more than one class."""
         sized = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        sized = landed(sized.where("r0 < r1").select("h", "size"), "minmax-buckets")
-        crowded = (F.col("size") > bucket) & F.lit(split < splits)
-        members = landed(members.join(small_or_plain(sized), "h").withColumn("crowded", crowded).drop("size"), "minmax-members")
-        own = members.where("NOT crowded").select("h", F.struct("rid", "n", "root").alias("x"))
-        met = fits(F.col("x.n"), F.col("y.n")) & F.expr("x.rid < y.rid AND x.root <> y.root")
-        part = own.join(own.withColumnRenamed("x", "y").hint("merge"), "h").where(met).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-        part = landed(part, "minmax-pairs")
-        pairs = part if pairs is None else pairs.unionAll(part)
-        members = members.where("crowded")
-        if split == splits or members.limit(1).count() == 0:
-            return pairs.distinct()
+        return landed(sized.where("r0 < r1").select("h", "size"), "minmax-buckets")
+
+    members = rooted.select(F.explode("bands").alias("h"), *rooted.columns)
+    found = mixed(members.select("h", "root"))
+    plain = members.join(small_or_plain(found.where(F.col("size") <= bucket).select("h")), "h")
+    crowded = found.where(F.col("size") > bucket).select("h")
+    if crowded.limit(1).count():
         further = F.explode(F.array_except("bands", F.array("h"))).alias("also")
-        members = members.select("h", "rid", "n", "root", "bands", further).select(F.xxhash64("h", "also").alias("h"), "rid", "n", "root", "bands")
+        divided = members.join(small_or_plain(crowded), "h").select(further, "h", *rooted.columns)
+        divided = divided.select(F.xxhash64(F.least("h", "also"), F.greatest("h", "also")).alias("h"), *rooted.columns).distinct()
+        plain = plain.unionAll(divided.join(small_or_plain(mixed(divided.select("h", "root")).select("h")), "h"))
+    ordered = plain.select("h", *rooted.columns).repartition("h").sortWithinPartitions("h")
+    return landed(ordered.mapInArrow(run, "a long, b long").distinct(), "minmax-pairs")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET, splits: int = SPLITS
+    docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``kept`` (the id is its class's) of every row.
 
@@ -167,9 +245,11 @@ def near_duplicates(
         tried = keyed.join(least, "h").where(F.expr("x.rid < rid") & fits(F.col("x.n"), F.col("n")))
         tried = landed(tried.select(F.col("x.rid").alias("a"), F.col("rid").alias("b")).distinct(), "minmax-tried")
         links = confirmed(tried, unique, marked)
-        roots = landed(stars(links), "minmax-roots")
-        rest = proposed(unique, roots, bucket, splits).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        links = links.unionAll(confirmed(landed(rest, "minmax-rest"), unique, marked))
+        for every in (False, True):
+            roots = landed(stars(links), "minmax-roots")
+            rest = proposed(unique, roots, bucket, every).join(tried.hint("merge"), ["a", "b"], "left_anti")
+            rest = landed(rest, "minmax-rest")
+            links, tried = links.unionAll(confirmed(rest, unique, marked)), tried.unionAll(rest)
         roots = landed(stars(links), "minmax-roots")
 
         rooted = sets.join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))

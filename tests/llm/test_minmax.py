@@ -63,8 +63,8 @@ def edited(seed, text, share):
     return " ".join(f"new{seed}x{n}" if rng.random() < share else w for n, w in enumerate(words))
 
 
-@pytest.mark.parametrize("bucket, splits", [(minmax.BUCKET, minmax.SPLITS), (2, 1)])
-def test_edited_texts(docs_of, bucket, splits):
+@pytest.mark.parametrize("bucket", [minmax.BUCKET, 2])
+def test_edited_texts(docs_of, bucket):
     """Chains, classes that meet only between other members, and pairs on both sides of the bound."""
     rows = []
     for base in range(6):
@@ -75,7 +75,7 @@ def test_edited_texts(docs_of, bucket, splits):
             rows.append((100 * base + 50 + k, " ".join(chain[k * 6 :] + [f"tail{n}" for n in range(k * 6)])))
     rows += [(1000 + n, passage(7, 30 + n)) for n in range(20)] + [(2000, "one two"), (2001, "ONE two"), (2002, "one two three"), (2003, "é a b c"), (2004, "É a b c")]
     want = plain_near(rows)
-    assert found(minmax.near_duplicates(docs_of(rows), bucket=bucket, splits=splits)) == want
+    assert found(minmax.near_duplicates(docs_of(rows), bucket=bucket)) == want
     assert len({c for *_, c in want}) < len(rows) / 2
 
 
