@@ -9,15 +9,15 @@ dropped (at 0.8 with a probability of 1e-6), as are pairs whose sizes exclude th
 
 Equal sets fold first. Three rounds confirm links and contract them. The first compares every member of a bucket
 with its least one. The second goes through the buckets that still hold several classes and takes as leaders the
-members that agree with most of a sample. The last compares every two members of different classes, so
-a class costs pairs only with what is outside it. Buckets are read in tasks by their signatures alone and only likely pairs leave
-them; a bucket of more than ``BUCKET`` members is first divided by a second band that a pair must share as
+members that agree with most of a sample. The last compares every two members of different classes: signatures
+alone tell which members have a likely pair, and only their whole sets are sent, once for a bucket, not for
+each pair. A bucket of more than ``BUCKET`` members is first divided by a second band that a pair must share as
 well (which a pair at 0.8 fails with a probability of 6e-6).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,18 +175,30 @@ def across(h: int, n: np.ndarray, root: np.ndarray, sketch: np.ndarray, bands: n
         yield a, b
 
 
-def proposed(unique: DataFrame, roots: DataFrame, bucket: int, every: bool) -> DataFrame:
-    """Likely pairs ``a < b`` of different classes that share a bucket: those of leaders, or all."""
+def held_against(a: np.ndarray, b: np.ndarray, own: pa.ListArray) -> np.ndarray:
+    """Which of the pairs of places are similar enough, by their whole sets."""
+    ends = np.cumsum(np.diff(own.offsets.to_numpy()))
+    codes = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
+    starts = np.append(0, ends[:-1])
+    size = ends - starts
+    marked = np.zeros(codes.max() + 1, bool)
+    good = np.zeros(len(a), bool)
+    for one in np.unique(a):
+        at = np.flatnonzero(a == one)
+        mine = codes[starts[one] : ends[one]]
+        marked[mine] = True
+        others = b[at]
+        spread = np.repeat(starts[others] - np.append(0, np.cumsum(size[others])[:-1]), size[others]) + np.arange(size[others].sum())
+        both = np.add.reduceat(marked[codes[spread]], np.append(0, np.cumsum(size[others])[:-1]), dtype=np.int64)
+        good[at] = 100 * both >= LEAST * (size[one] + size[others] - both)
+        marked[mine] = False
+    return good
+
+
+def by_bucket(members: DataFrame, made: Callable[[int, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``made`` gives for every bucket, of rows that begin with ``h``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(h: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            rid, n, root = (whole.column(c).to_numpy() for c in (1, 2, 3))
-            sketch, bands = (whole.column(c).combine_chunks().flatten().to_numpy().reshape(len(rid), -1) for c in (4, 5))
-            found = list(across(h, n, root, sketch, bands) if every else led(rid, n, root, sketch))
-            a, b = (rid[np.concatenate([p[k] for p in found] or [np.empty(0, int)])] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
         last, held = None, []
         for batch in batches:
             h = batch.column(0).to_numpy()
@@ -194,13 +206,54 @@ def proposed(unique: DataFrame, roots: DataFrame, bucket: int, every: bool) -> D
             for start, end in zip(cuts, cuts[1:]):
                 if end > start:
                     if held and h[start] != last:
-                        yield pairs(last, held)
+                        yield made(last, pa.Table.from_batches(held).combine_chunks())
                         held = []
                     last = h[start]
                     held.append(batch.slice(start, end - start))
         if held:
-            yield pairs(last, held)
+            yield made(last, pa.Table.from_batches(held).combine_chunks())
+
+    return members.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+
+
+def columns_of(bucket: pa.Table) -> tuple[np.ndarray, ...]:
+    """``rid, n, root`` and the matrices of signatures and band hashes."""
+    rid, n, root = (bucket.column(c).to_numpy() for c in ("rid", "n", "root"))
+    return rid, n, root, *(bucket.column(c).combine_chunks().flatten().to_numpy().reshape(len(rid), -1) for c in ("sketch", "bands"))
+
+
+def joined(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = zip(*found) if (found := list(found)) else ((), ())
+    return tuple(np.concatenate([np.empty(0, np.int64), *p]) for p in (a, b))
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def pairs_of_leaders(h: int, bucket: pa.Table) -> pa.RecordBatch:
+    rid, n, root, sketch, _ = columns_of(bucket)
+    a, b = joined(led(rid, n, root, sketch))
+    return pair_batch(rid[a], rid[b])
+
+
+def undecided(h: int, bucket: pa.Table) -> pa.RecordBatch:
+    """The bucket's members that a likely pair of different classes needs."""
+    rid, *rest = columns_of(bucket)
+    own = rid[np.unique(np.concatenate(joined(across(h, *rest))))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h)), pa.array(own)], ["h", "rid"])
+
+
+def links_across(h: int, bucket: pa.Table) -> pa.RecordBatch:
+    """The links of different classes in a bucket, by the whole sets of its undecided members."""
+    rid, *rest = columns_of(bucket)
+    a, b = joined(across(h, *rest))
+    good = held_against(a, b, bucket.column("own").combine_chunks()) if len(a) else np.zeros(0, bool)
+    return pair_batch(rid[a[good]], rid[b[good]])
+
 
+def mixed_buckets(unique: DataFrame, roots: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``h, rid, n, root, sketch, bands`` of the members of buckets of more than one class, and their rows without ``h``."""
     rooted = unique.join(small_or_plain(roots.select(F.col("node").alias("rid"), "root")), "rid", "left")
     rooted = rooted.select("rid", "n", F.coalesce("root", "rid").alias("root"), "sketch", "bands")
 
@@ -218,8 +271,7 @@ def proposed(unique: DataFrame, roots: DataFrame, bucket: int, every: bool) -> D
         divided = members.join(small_or_plain(crowded), "h").select(further, "h", *rooted.columns)
         divided = divided.select(F.xxhash64(F.least("h", "also"), F.greatest("h", "also")).alias("h"), *rooted.columns).distinct()
         plain = plain.unionAll(divided.join(small_or_plain(mixed(divided.select("h", "root")).select("h")), "h"))
-    ordered = plain.select("h", *rooted.columns).repartition("h").sortWithinPartitions("h")
-    return landed(ordered.mapInArrow(run, "a long, b long").distinct(), "minmax-pairs")
+    return plain.select("h", *rooted.columns), rooted
 
 
 def near_duplicates(
@@ -245,11 +297,16 @@ def near_duplicates(
         tried = keyed.join(least, "h").where(F.expr("x.rid < rid") & fits(F.col("x.n"), F.col("n")))
         tried = landed(tried.select(F.col("x.rid").alias("a"), F.col("rid").alias("b")).distinct(), "minmax-tried")
         links = confirmed(tried, unique, marked)
-        for every in (False, True):
-            roots = landed(stars(links), "minmax-roots")
-            rest = proposed(unique, roots, bucket, every).join(tried.hint("merge"), ["a", "b"], "left_anti")
-            rest = landed(rest, "minmax-rest")
-            links, tried = links.unionAll(confirmed(rest, unique, marked)), tried.unionAll(rest)
+        members, _ = mixed_buckets(unique, landed(stars(links), "minmax-roots"), bucket)
+        more = by_bucket(members, pairs_of_leaders, "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+        links = links.unionAll(confirmed(landed(more, "minmax-led"), unique, marked))
+
+        members, rooted = mixed_buckets(unique, landed(stars(links), "minmax-roots"), bucket)
+        open_ = landed(by_bucket(members, undecided, "h long, rid long"), "minmax-undecided")
+        needed = small_or_plain(landed(open_.select("rid").distinct(), "minmax-needed"))
+        whole = rooted.join(marked.select("rid", "own").join(needed, "rid", "left_semi"), "rid")
+        whole = open_.join(whole.hint("merge"), "rid").select("h", *rooted.columns, "own")
+        links = links.unionAll(landed(by_bucket(whole, links_across, "a long, b long").distinct(), "minmax-across"))
         roots = landed(stars(links), "minmax-roots")
 
         rooted = sets.join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
