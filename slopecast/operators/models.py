@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import pi, sqrt
+from math import ceil, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ SVM_ITERATIONS = 2000  # the tolerance ends a fit long before
 FOREST_BINS = 256
 FOREST_DEPTH = 30  # the deepest tree Spark ML grows
 KERNEL_FEATURES = 256
+#: Rows from which the forest's rows are dealt over several tasks, and at most how many; memory of one task's histograms.
+FOREST_TASK_ROWS, FOREST_TASKS, FOREST_MEMORY_MB = 1500, 4096, 256
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -111,9 +113,12 @@ class Scorer:
         return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*df.columns, "score", "predicted")
 
 
-def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Scorer:
+def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, key: str = "sample_id") -> Scorer:
     weighted = balanced_weights(train)
     stages, _ = prepare(weighted, scale=False)
+    # A landed table of few rows is one file and would grow all trees in one task.
+    slices = min(ceil(weighted.count() / FOREST_TASK_ROWS), FOREST_TASKS)
+    weighted = weighted.repartition(max(slices, 1), key)
     forest = RandomForestClassifier(
         labelCol=LABEL,
         weightCol="weight",
@@ -122,7 +127,9 @@ def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_
         minInstancesPerNode=FOREST_MIN_LEAF,
         featureSubsetStrategy="sqrt",
         maxBins=FOREST_BINS,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=FOREST_MEMORY_MB,
+        cacheNodeIds=True,  # node ids stay with the rows, so tasks carry no tree
+        checkpointInterval=10,
         seed=SEED,
     )
     return Scorer("Random Forest", Pipeline(stages=[*stages, forest]).fit(weighted))

@@ -8,48 +8,44 @@ from slopecast.functions import alert_level, trigger_score
 from slopecast.operators import classes, clean, metrics, rain, surface
 from slopecast.settings import RAIN_WINDOWS, RISK_LABELS, RISK_SCHEME, SCORE_LABELS
 
-# --- fixed values: lattice station, 1/3/24/72 h totals in mm, trigger --------
-XS = [85.53066953342864, 85.61971280485722, 85.7087560762858, 85.79779934771437, 85.88684261914295, 85.97588589057153]
-YS = [27.695128703143023, 27.779838198285884, 27.86454769342874, 27.9492571885716, 28.033966683714457, 28.118676178857317]
+# --- fixed values: station, longitude, latitude, 1/3/24/72 h totals in mm, trigger ---
 STATIONS = [
-    (2, 0, 0.1, 0.7, 14.1, 25.8, 0.14333333),
-    (3, 0, 0.1, 1.2, 17.6, 40.1, 0.22277778),
-    (4, 0, 0.3, 0.5, 14.9, 49.0, 0.27222222),
-    (1, 1, 0.1, 0.5, 6.4, 27.8, 0.15444444),
-    (2, 1, 0.1, 1.3, 13.9, 33.5, 0.18611111),
-    (3, 1, 0.1, 1.3, 13.9, 33.5, 0.18611111),
-    (4, 1, 0.1, 0.7, 14.1, 25.8, 0.14333333),
-    (5, 1, 0.2, 1.6, 16.0, 23.9, 0.16),
-    (0, 2, 0.0, 0.2, 3.3, 33.0, 0.18333333),
-    (1, 2, 0.5, 1.6, 15.9, 47.4, 0.26333333),
-    (2, 2, 0.3, 2.0, 34.7, 73.7, 0.40944444),
-    (3, 2, 0.2, 1.7, 29.7, 36.4, 0.297),
-    (4, 2, 0.2, 1.6, 16.0, 23.9, 0.16),
-    (5, 2, 1.3, 2.5, 48.7, 72.6, 0.487),
-    (0, 3, 0.2, 1.0, 17.4, 32.0, 0.17777778),
-    (1, 3, 0.2, 1.4, 31.4, 56.2, 0.314),
-    (2, 3, 0.3, 2.0, 34.7, 73.7, 0.40944444),
-    (3, 3, 0.3, 2.0, 35.2, 70.0, 0.38888889),
-    (4, 3, 0.1, 0.8, 24.4, 39.5, 0.244),
-    (0, 4, 0.2, 1.0, 17.4, 32.0, 0.17777778),
-    (1, 4, 0.0, 0.7, 7.3, 32.5, 0.18055556),
-    (2, 4, 0.2, 0.8, 4.3, 37.5, 0.20833333),
-    (3, 4, 0.0, 0.8, 9.0, 39.3, 0.21833333),
-    (4, 4, 0.1, 0.6, 4.8, 17.2, 0.09555556),
-    (0, 5, 0.5, 1.2, 14.1, 54.0, 0.3),
-    (1, 5, 0.2, 0.2, 3.7, 36.9, 0.205),
-    (2, 5, 0.5, 0.9, 3.0, 28.5, 0.15833333),
-    (3, 5, 0.4, 1.0, 5.3, 26.5, 0.14722222),
+    (1, 85.7087560762858, 27.695128703143023, 0.1, 0.7, 14.1, 25.8, 0.14333333),
+    (2, 85.79779934771437, 27.695128703143023, 0.1, 1.2, 17.6, 40.1, 0.22277778),
+    (3, 85.88684261914295, 27.695128703143023, 0.3, 0.5, 14.9, 49.0, 0.27222222),
+    (4, 85.61971280485722, 27.779838198285884, 0.1, 0.5, 6.4, 27.8, 0.15444444),
+    (5, 85.7087560762858, 27.779838198285884, 0.1, 1.3, 13.9, 33.5, 0.18611111),
+    (6, 85.79779934771437, 27.779838198285884, 0.1, 1.3, 13.9, 33.5, 0.18611111),
+    (7, 85.88684261914295, 27.779838198285884, 0.1, 0.7, 14.1, 25.8, 0.14333333),
+    (8, 85.97588589057153, 27.779838198285884, 0.2, 1.6, 16.0, 23.9, 0.16),
+    (9, 85.53066953342864, 27.86454769342874, 0.0, 0.2, 3.3, 33.0, 0.18333333),
+    (10, 85.61971280485722, 27.86454769342874, 0.5, 1.6, 15.9, 47.4, 0.26333333),
+    (11, 85.7087560762858, 27.86454769342874, 0.3, 2.0, 34.7, 73.7, 0.40944444),
+    (12, 85.79779934771437, 27.86454769342874, 0.2, 1.7, 29.7, 36.4, 0.297),
+    (13, 85.88684261914295, 27.86454769342874, 0.2, 1.6, 16.0, 23.9, 0.16),
+    (14, 85.97588589057153, 27.86454769342874, 1.3, 2.5, 48.7, 72.6, 0.487),
+    (15, 85.53066953342864, 27.9492571885716, 0.2, 1.0, 17.4, 32.0, 0.17777778),
+    (16, 85.61971280485722, 27.9492571885716, 0.2, 1.4, 31.4, 56.2, 0.314),
+    (17, 85.7087560762858, 27.9492571885716, 0.3, 2.0, 34.7, 73.7, 0.40944444),
+    (18, 85.79779934771437, 27.9492571885716, 0.3, 2.0, 35.2, 70.0, 0.38888889),
+    (19, 85.88684261914295, 27.9492571885716, 0.1, 0.8, 24.4, 39.5, 0.244),
+    (20, 85.53066953342864, 28.033966683714457, 0.2, 1.0, 17.4, 32.0, 0.17777778),
+    (21, 85.61971280485722, 28.033966683714457, 0.0, 0.7, 7.3, 32.5, 0.18055556),
+    (22, 85.7087560762858, 28.033966683714457, 0.2, 0.8, 4.3, 37.5, 0.20833333),
+    (23, 85.79779934771437, 28.033966683714457, 0.0, 0.8, 9.0, 39.3, 0.21833333),
+    (24, 85.88684261914295, 28.033966683714457, 0.1, 0.6, 4.8, 17.2, 0.09555556),
+    (25, 85.53066953342864, 28.118676178857317, 0.5, 1.2, 14.1, 54.0, 0.3),
+    (26, 85.61971280485722, 28.118676178857317, 0.2, 0.2, 3.7, 36.9, 0.205),
+    (27, 85.7087560762858, 28.118676178857317, 0.5, 0.9, 3.0, 28.5, 0.15833333),
+    (28, 85.79779934771437, 28.118676178857317, 0.4, 1.0, 5.3, 26.5, 0.14722222),
+    (29, 85.73951107592136, 27.9148969304763, 0.3, 2.0, 34.7, 73.7, 0.40944444),
 ]
-CENTROID = (85.73951107592136, 27.9148969304763, 0.3, 2.0, 34.7, 73.7, 0.40944444)
 
 
 @pytest.fixture(scope="module")
 def stations(spark):
-    rows = [(n, XS[i], YS[j], *rest) for n, (i, j, *rest) in enumerate(STATIONS, start=1)]
-    rows.append((len(rows) + 1, *CENTROID))
     totals = ", ".join(f"rain_{h}h_mm double" for h in RAIN_WINDOWS)
-    return spark.createDataFrame(rows, f"station_id int, x double, y double, {totals}, expected double")
+    return spark.createDataFrame(STATIONS, f"station_id int, x double, y double, {totals}, expected double")
 
 
 def test_trigger_scores(stations):
