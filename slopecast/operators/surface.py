@@ -1,14 +1,14 @@
-"""Piecewise-linear surfaces over a bounded set of stations, on a pixel table of any size.
+"""Piecewise-linear surfaces over a station network, on a pixel table; both of any size.
 
-Stations are triangulated once. A small tile index lists for every map tile the
-triangles that can contain its pixels and the stations that can be nearest to
-them; pixels look up their tile by a broadcast join and are never shuffled.
+Stations are triangulated block by block. Every triangle is cut into runs of pixel centres, row by row, and the
+runs of a stretch of ``STRETCH`` pixels of a row are one short list, because nearly every pixel lies in one triangle only
+and triangles between pixel centres leave no run. A pixel finds its triangle in the list of its stretch
+by one equi-join, whose side Spark chooses by size. Pixels outside the hull take the nearest station.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -16,236 +16,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, pixel_to_lonlat, risk_formula
+from ..session import materialise
 from ..settings import Grid
+from . import delaunay
+from .nearest import nearest_neighbour
 from .pixels import PIXEL
 
-MAX_STATIONS = 20_000
-TIE_SHARE = 1e-6  # of the mean area per station
-TIE_RATIO = 0.6180339887
+STRETCH = 64
 EDGE_SLACK = 1e-9
+#: Stations up to which they are one broadcast row for the nearest search; more go through the cell pyramid.
+FEW_STATIONS = 256
 
+triangulate, hidden_stations = delaunay.triangulate, delaunay.hidden_stations
 
-def load_stations(stations: DataFrame, values: list[str]) -> pd.DataFrame:
-    """Stations (station_id, x, y, values) on the driver, after a check of their number."""
-    unique = stations.groupBy("x", "y").agg(F.min(F.struct("station_id", *values)).alias("s")).select("s.*", "x", "y")
-    rows = unique.limit(MAX_STATIONS + 1).toPandas()
-    if len(rows) > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} interpolation stations; aggregate them to a coarser network first")
-    return rows.sort_values("station_id", ignore_index=True)
-
-
-def _lift(stations: pd.DataFrame) -> np.ndarray:
-    """Tiny per-station term that settles which diagonal cocircular stations get."""
-    x, y = stations["x"].to_numpy(float), stations["y"].to_numpy(float)
-    ids = stations["station_id"].to_numpy(float)
-    scale = TIE_SHARE * np.ptp(x) * np.ptp(y) / max(len(x), 1)
-    return scale * np.mod(ids * ids * TIE_RATIO, 1.0)
-
-
-def _hull(points: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[int]:
-    """Counter-clockwise hull of a few points by index (monotone chain)."""
-    order = sorted(points.tolist(), key=lambda i: (u[i], v[i]))
-
-    def chain(seq: list[int]) -> list[int]:
-        out: list[int] = []
-        for i in seq:
-            while len(out) > 1:
-                a, b = out[-2], out[-1]
-                if (u[b] - u[a]) * (v[i] - v[a]) - (v[b] - v[a]) * (u[i] - u[a]) > 0:
-                    break
-                out.pop()
-            out.append(i)
-        return out
-
-    return chain(order)[:-1] + chain(order[::-1])[:-1]
-
-
-def _star(p: int, x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> list[tuple[int, int]]:
-    """Opposite edges of the Delaunay triangles around station p.
-
-    Inverting the other stations about p turns their empty circles into hull edges
-    that see p's image (the origin) on the inside.
-    """
-    dx, dy = x - x[p], y - y[p]
-    w = dx * dx + dy * dy + lift - lift[p]
-    w[p] = np.inf
-    u, v = dx / w, dy / w
-    others = np.flatnonzero(np.arange(len(x)) != p)
-    seeds = {int(others[f(a[others])]) for f in (np.argmin, np.argmax) for a in (u, v)}
-    while True:
-        hull = _hull(np.array(sorted(seeds)), u, v)
-        added = set()
-        for a, b in zip(hull, hull[1:] + hull[:1]):
-            side = (u[b] - u[a]) * (v[others] - v[a]) - (v[b] - v[a]) * (u[others] - u[a])
-            far = int(others[np.argmin(side)])
-            if side.min() < 0 and far not in seeds:
-                added.add(far)
-        if not added:
-            break
-        seeds |= added
-    flat = 1e-9 * np.ptp(x) * np.ptp(y) / max(len(x), 1)
-    return [
-        (a, b)
-        for a, b in zip(hull, hull[1:] + hull[:1])
-        if u[a] * v[b] - u[b] * v[a] > 0 and abs(dx[a] * dy[b] - dx[b] * dy[a]) > flat
-    ]
-
-
-def triangulate(stations: DataFrame) -> DataFrame:
-    """Delaunay triangles (i < j < k) of at most MAX_STATIONS stations.
-
-    Each task finds the triangles whose lowest station it holds.
-    """
-    table = load_stations(stations.select("station_id", "x", "y"), [])
-    return _triangulate(stations, table)
-
-
-def _triangulate(stations: DataFrame, table: pd.DataFrame) -> DataFrame:
-    spark = stations.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (table["station_id"].to_numpy(), table["x"].to_numpy(float), table["y"].to_numpy(float), _lift(table))
-    )
-
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, y, lift = shared.value
-        for batch in batches:
-            found = []
-            for p in batch["id"]:
-                for a, b in _star(int(p), x, y, lift):
-                    if p < min(a, b):
-                        found.append((ids[p], ids[min(a, b)], ids[max(a, b)]))
-            yield pd.DataFrame(found, columns=["i", "j", "k"])
-
-    slices = max(1, min(len(table) // 64, 512))
-    return spark.range(0, len(table), 1, slices).mapInPandas(stars, "i int, j int, k int")
+
+def network(stations: DataFrame, values: list[str]) -> DataFrame:
+    """``station_id, x, y`` and the values of one station for each position, landed."""
+    kept = delaunay.positions(stations).select("station_id")
+    return materialise(stations.select("station_id", "x", "y", *values).join(kept, "station_id"), "network")
 
 
 def triangle_vertices(triangles: DataFrame, stations: DataFrame, values: list[str]) -> DataFrame:
     """Triangles with the coordinates and values of their three stations."""
     out = triangles
     for n, corner in enumerate(("i", "j", "k")):
-        named = [F.col(c).alias(f"{c}{n}") for c in ("x", "y", *values)]
+        at = F.array(*[F.col(c).cast("double") for c in values]) if values else F.array().cast("array<double>")
+        named = [F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), at.alias(f"v{n}")]
         out = out.join(stations.select(F.col("station_id").alias(corner), *named), corner)
     return out
 
 
+def pixel_runs(t: pd.Series, grid: Grid, shape: tuple[int, int]) -> pd.DataFrame:
+    """Rows and column ranges of the pixel centres in a triangle, its edges included."""
+    x0, y0 = t["x0"], t["y0"]
+    det = (t["x1"] - x0) * (t["y2"] - y0) - (t["x2"] - x0) * (t["y1"] - y0)
+    a1, b1, a2, b2 = (t["y2"] - y0) / det, (x0 - t["x2"]) / det, (y0 - t["y1"]) / det, (t["x1"] - x0) / det
+    ends = (np.array([t["y0"], t["y1"], t["y2"]]) - grid.f) / grid.e
+    rows = np.arange(max(0, int(np.floor(ends.min())) - 1), min(shape[0] - 1, int(np.ceil(ends.max())) + 1) + 1)
+    dy = grid.f + (rows + 0.5) * grid.e - y0
+    start = grid.c + 0.5 * grid.a - x0
+    low, high = np.zeros(len(rows)), np.full(len(rows), shape[1] - 1.0)
+    # Each of the three weights is at least -EDGE_SLACK: slope * column + rest >= 0.
+    for a, b, plus in ((a1, b1, 0.0), (a2, b2, 0.0), (-a1 - a2, -b1 - b2, 1.0)):
+        slope, rest = a * grid.a, a * start + b * dy + plus + EDGE_SLACK
+        if slope > 0:
+            low = np.maximum(low, np.ceil(-rest / slope))
+        elif slope < 0:
+            high = np.minimum(high, np.floor(-rest / slope))
+        else:
+            high = np.where(rest >= 0, high, -1.0)
+    good = low <= high
+    rows, low, high = rows[good], low[good].astype(np.int64), high[good].astype(np.int64)
+    pieces = high // STRETCH - low // STRETCH + 1
+    at = np.repeat(np.arange(len(rows)), pieces)
+    stretch = low[at] // STRETCH + np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return pd.DataFrame(
+        {
+            "row_id": rows[at], "stretch": stretch, "c0": np.maximum(low[at], stretch * STRETCH), "c1": np.minimum(high[at], stretch * STRETCH + STRETCH - 1),
+            "a1": a1, "b1": b1, "a2": a2, "b2": b2,
+        }
+    )
+
+
 class SurfaceIndex:
-    """Tile index of one station network: candidate triangles and stations per tile."""
+    """Runs of one station network's triangles over a grid, and its stations."""
 
     def __init__(self, stations: DataFrame, values: list[str], grid: Grid, shape: tuple[int, int]):
         self.values, self.grid = values, grid
-        table = load_stations(stations, values)
-        triangles = _triangulate(stations, table).toPandas()  # at most twice the stations
-        per_axis = min(256, max(8, 4 * ceil(sqrt(len(table)))))
-        self.side = max(1, ceil(max(shape) / per_axis))
-        self.frame = self._build(stations, table, triangles, shape)
-
-    def _build(self, stations: DataFrame, table: pd.DataFrame, triangles: pd.DataFrame, shape) -> DataFrame:
-        spark = stations.sparkSession
-        side, grid, values = self.side, self.grid, self.values
-        tile_rows, tile_cols = ceil(shape[0] / side), ceil(shape[1] / side)
-        place = pd.Series(range(len(table)), index=table["station_id"])
-        corners = np.stack([place.loc[triangles[c]].to_numpy() for c in "ijk"], axis=1).reshape(-1, 3)
-        xy = table[["x", "y"]].to_numpy(float)
-        measures = table[values].to_numpy(float).reshape(len(table), len(values))
-        shared = spark.sparkContext.broadcast((triangles.to_numpy(), corners, xy, measures, table["station_id"].to_numpy()))
-
-        def describe(t: int) -> tuple:
-            ids, corners, xy, measures, _ = shared.value
-            (x0, y0), (x1, y1), (x2, y2) = xy[corners[t]]
-            det = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
-            weights = ((y2 - y0) / det, (x0 - x2) / det, (y0 - y1) / det, (x1 - x0) / det)
-            at = [[float(m) for m in measures[c]] for c in corners[t]]
-            return (*[int(i) for i in ids[t]], float(x0), float(y0), *[float(w) for w in weights], *at)
-
-        def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, corners, xy, measures, station_ids = shared.value
-            tri = xy[corners]
-            low, high = tri.min(axis=1), tri.max(axis=1)
+        self.stations = network(stations, values)
+        corners = triangle_vertices(triangulate(self.stations), self.stations, values)
+        kind = corners.schema["i"].dataType.simpleString()
+        named = [c for c in corners.columns if c not in ("x1", "y1", "x2", "y2")]
+
+        def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = []
-                for tile in batch["id"]:
-                    tr, tc = divmod(int(tile), tile_cols)
-                    xs = sorted(grid.c + grid.a * edge for edge in (tc * side, (tc + 1) * side))
-                    ys = sorted(grid.f + grid.e * edge for edge in (tr * side, (tr + 1) * side))
-                    meets = (low[:, 0] <= xs[1]) & (high[:, 0] >= xs[0]) & (low[:, 1] <= ys[1]) & (high[:, 1] >= ys[0])
-                    gap = np.hypot(
-                        np.maximum(0, np.maximum(xs[0] - xy[:, 0], xy[:, 0] - xs[1])),
-                        np.maximum(0, np.maximum(ys[0] - xy[:, 1], xy[:, 1] - ys[1])),
-                    )
-                    far = np.hypot(
-                        np.maximum(abs(xy[:, 0] - xs[0]), abs(xy[:, 0] - xs[1])),
-                        np.maximum(abs(xy[:, 1] - ys[0]), abs(xy[:, 1] - ys[1])),
-                    )
-                    near = np.flatnonzero(gap <= far.min() * (1 + 1e-9))
-                    out.append(
-                        (
-                            tr,
-                            tc,
-                            sorted(describe(t) for t in np.flatnonzero(meets)),
-                            [
-                                (int(station_ids[s]), float(xy[s, 0]), float(xy[s, 1]), [float(m) for m in measures[s]])
-                                for s in near
-                            ],
-                        )
-                    )
-                yield pd.DataFrame(out, columns=["_tr", "_tc", "_triangles", "_near"])
-
-        triangle = "i int, j int, k int, x0 double, y0 double, a1 double, b1 double, a2 double, b2 double"
-        at = ", ".join(f"v{n} array<double>" for n in range(3))
-        schema = (
-            f"_tr int, _tc int, _triangles array<struct<{_struct(triangle)}, {_struct(at)}>>, "
-            f"_near array<struct<{_struct('station_id int, x double, y double, v array<double>')}>>"
-        )
-        slices = max(1, min(tile_rows * tile_cols // 128, 512))
-        return spark.range(0, tile_rows * tile_cols, 1, slices).mapInPandas(tiles, schema)
+                for _, t in batch.iterrows():
+                    found = pixel_runs(t, grid, shape)
+                    if len(found):
+                        for c in named:
+                            found[c] = [t[c]] * len(found)
+                        yield found
+
+        kinds = dict(corners.dtypes)
+        schema = "row_id int, stretch int, c0 int, c1 int, a1 double, b1 double, a2 double, b2 double, " + ", ".join(f"{c} {kind if c in 'ijk' else kinds[c]}" for c in named)
+        order = ["i", "j", "k", "c0", "c1", "x0", "y0", "a1", "b1", "a2", "b2", "v0", "v1", "v2"]
+        lists = corners.mapInPandas(runs, schema).groupBy("row_id", "stretch").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_runs"))
+        self.frame = materialise(lists, "runs")
 
     def locate(self, pixels: DataFrame) -> DataFrame:
-        """Add ``_hit`` (containing triangle or NULL) and the lookups of the pixel's tile."""
+        """Add ``_hit``, the containing triangle (of several the least i, j, k) or NULL."""
         x, y = pixel_to_lonlat("row_id", "col_id", self.grid)
-        keyed = (
-            pixels.withColumn("_x", x)
-            .withColumn("_y", y)
-            .withColumn("_tr", F.floor(F.col("row_id") / self.side).cast("int"))
-            .withColumn("_tc", F.floor(F.col("col_id") / self.side).cast("int"))
-        )
+        keyed = pixels.withColumns({"_x": x, "_y": y, "_stretch": F.floor(F.col("col_id") / STRETCH).cast("int")})
+        lists = self.frame.select(F.col("row_id").alias("_row"), F.col("stretch").alias("_stretch"), "_runs")
+        found = keyed.join(lists, (F.col("row_id") == F.col("_row")) & (keyed["_stretch"] == lists["_stretch"]), "left")
+        hit = F.get(F.filter("_runs", lambda r: (F.col("col_id") >= r["c0"]) & (F.col("col_id") <= r["c1"])), F.lit(0))
+        return found.select(*keyed.columns[:-1], hit.alias("_hit"))
+
+    def nearest(self, outside: DataFrame) -> DataFrame:
+        """Add ``_values``, those of the station nearest to each pixel centre; ties go to the lowest id."""
+        values = F.array(*[F.col(c).cast("double") for c in self.values]) if self.values else F.array().cast("array<double>")
+        if self.stations.limit(FEW_STATIONS + 1).count() <= FEW_STATIONS:
+            sites = self.stations.agg(F.collect_list(F.struct("station_id", "x", "y", values.alias("v"))).alias("_sites"), F.min("station_id").bitwiseAND(0).alias("_all"))
 
-        def inside(t: Column) -> Column:
-            w1, w2 = _weights(t)
-            slack = F.lit(EDGE_SLACK)
-            return (w1 >= -slack) & (w2 >= -slack) & (w1 + w2 <= F.lit(1.0) + slack)
+            def ranked(s: Column) -> Column:
+                dx, dy = F.col("_x") - s["x"], F.col("_y") - s["y"]
+                return F.struct((dx * dx + dy * dy).alias("d"), s["station_id"].alias("id"), s["v"].alias("v"))
 
-        tiles = keyed.join(F.broadcast(self.frame), ["_tr", "_tc"], "left")
-        return tiles.withColumn("_hit", F.get(F.filter("_triangles", inside), F.lit(0)))
+            # One key for all, but no constant on either side: that would turn the join into a nested loop.
+            one = outside.withColumn("_all", F.col("row_id").bitwiseAND(0)).join(F.broadcast(sites), "_all")
+            return one.select(*outside.columns, F.array_min(F.transform("_sites", ranked))["v"].alias("_values"))
+        asked = outside.withColumn("_pixel", F.shiftleft(F.col("row_id").cast("long"), 32) + F.col("col_id"))
+        found = nearest_neighbour(asked, self.stations, "_pixel", "station_id", ("_x", "_y"), ("x", "y")).drop("distance")
+        return asked.join(found.join(self.stations.select("station_id", values.alias("_values")), "station_id"), "_pixel").select(*outside.columns, "_values")
 
     def interpolate(self, pixels: DataFrame, nearest: bool = True) -> DataFrame:
         """Add every value, linear inside the hull and, if asked, from the nearest station elsewhere."""
         located = self.locate(pixels)
-        if nearest:
-
-            def ranked(s: Column) -> Column:
-                dx, dy = F.col("_x") - s["x"], F.col("_y") - s["y"]
-                return F.struct((dx * dx + dy * dy).alias("d"), s["station_id"].alias("id"), s["v"].alias("v"))
-
-            closest = F.when(F.col("_hit").isNull(), F.array_min(F.transform("_near", ranked)))
-            located = located.withColumn("_closest", closest)
-        w1, w2 = _weights(F.col("_hit"))
-        values = {}
-        for n, name in enumerate(self.values):
-            v0, v1, v2 = (F.col(f"_hit.v{c}")[n] for c in range(3))
-            linear = v0 + w1 * (v1 - v0) + w2 * (v2 - v0)
-            values[name] = F.coalesce(linear, F.col("_closest.v")[n]) if nearest else linear
+        t = F.col("_hit")
+        dx, dy = F.col("_x") - t["x0"], F.col("_y") - t["y0"]
+        w1, w2 = t["a1"] * dx + t["b1"] * dy, t["a2"] * dx + t["b2"] * dy
         keep = [F.col(c) for c in pixels.columns]
-        return located.select(*keep, *[v.alias(n) for n, v in values.items()], F.col("_hit").isNotNull().alias("in_hull"))
-
-
-def _struct(ddl: str) -> str:
-    return ", ".join(f"{part.split()[0]}: {part.split()[1]}" for part in ddl.split(", "))
-
-
-def _weights(t: Column) -> tuple[Column, Column]:
-    dx, dy = F.col("_x") - t["x0"], F.col("_y") - t["y0"]
-    return t["a1"] * dx + t["b1"] * dy, t["a2"] * dx + t["b2"] * dy
+        linear = [(t["v0"][n] + w1 * (t["v1"][n] - t["v0"][n]) + w2 * (t["v2"][n] - t["v0"][n])).alias(c) for n, c in enumerate(self.values)]
+        if not nearest:
+            return located.select(*keep, *linear, t.isNotNull().alias("in_hull"))
+        inside = located.where(t.isNotNull()).select(*keep, *linear, F.lit(True).alias("in_hull"))
+        outside = self.nearest(located.where(t.isNull()).drop("_hit"))
+        taken = [F.col("_values")[n].alias(c) for n, c in enumerate(self.values)]
+        return inside.unionAll(outside.select(*keep, *taken, F.lit(False).alias("in_hull")))
 
 
 def grid_shape(pixels: DataFrame) -> tuple[int, int]:

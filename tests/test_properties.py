@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopecast.functions import first_present, isclose, null_sentinels, place_fields, risk_formula, significance
-from slopecast.operators import background, clean, describe, models, nearest, polygon, proximity, quantiles, rain, ranking, resample, surface
+from slopecast.operators import background, clean, delaunay, describe, models, nearest, polygon, proximity, quantiles, rain, ranking, resample, surface
 from slopecast.settings import Grid
 from slopecast.sources import payload, points, polygons, sinks
 
@@ -185,11 +185,60 @@ def test_triangulation_equals_empty_circles(spark):
     assert got == want
 
 
-def test_too_many_stations_raise(spark, monkeypatch):
-    monkeypatch.setattr(surface, "MAX_STATIONS", 3)
-    stations = spark.range(5).selectExpr("CAST(id AS INT) station_id", "CAST(id AS DOUBLE) x", "CAST(id * id AS DOUBLE) y")
-    with pytest.raises(ValueError, match="stations"):
-        surface.triangulate(stations)
+def _triangulated(spark, xy, block):
+    stations = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "station_id int, x double, y double")
+    return np.array([tuple(r) for r in delaunay.triangulate(stations, block).collect()])
+
+
+@pytest.mark.parametrize("kind", ["cluster of five", "dense cluster", "lattice", "even"])
+def test_triangulation_tiles_the_hull_with_empty_circles(spark, kind):
+    """Many blocks, stations 11 m apart among distant ones, and equal circles."""
+    rng = np.random.default_rng(4)
+    far = rng.uniform(0, 1, (24, 2))
+    lattice = np.stack(np.meshgrid(np.arange(30) * 0.1, np.arange(20) * 0.07), -1).reshape(-1, 2)
+    xy = {
+        "cluster of five": np.r_[far, 0.5 + rng.uniform(0, 1e-4, (5, 2))], "dense cluster": np.r_[far, 0.5 + rng.uniform(0, 1e-4, (1000, 2))],
+        "lattice": lattice, "even": rng.uniform(0, 1, (1500, 2)),
+    }[kind]
+    got = _triangulated(spark, xy, 64)
+    corners = delaunay.hull(np.arange(len(xy)), *xy.T)
+    assert len({tuple(t) for t in got}) == len(got) == (2 * 29 * 19 if kind == "lattice" else 2 * len(xy) - 2 - len(corners))
+    a, b, c = (xy[got[:, n]] for n in range(3))
+    area = np.abs((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]).sum()
+    hx, hy = xy[corners].T
+    assert area == pytest.approx(abs(np.dot(hx, np.roll(hy, -1)) - np.dot(hy, np.roll(hx, -1))), rel=1e-9)
+    for t in got[:: max(1, len(got) // 500)]:
+        x, y, radius = delaunay.circles(int(t[0]), t[None, 1:], *xy.T)
+        away = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        away[t] = np.inf
+        assert away.min() >= radius[0] * (1 - 1e-5)
+
+
+def test_few_or_hidden_or_missing_stations(spark):
+    schema = "station_id int, x double, y double"
+    for rows in ([], [(1, 0.0, 0.0)], [(1, 0.0, 0.0), (2, 1.0, 1.0)], [(n, float(n), 2.0 * n) for n in range(6)]):
+        assert delaunay.triangulate(spark.createDataFrame(rows, schema)).count() == 0
+    rows = [(3, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (7, 0.0, 0.0), (5, 1.0, 0.0), (8, None, 1.0)]
+    stations = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in delaunay.triangulate(stations).collect()] == [(1, 2, 3)]
+    assert sorted(tuple(r) for r in delaunay.hidden_stations(stations).collect()) == [(5, 1), (7, 3)]
+
+
+def test_surface_of_many_stations_in_one_tile(spark, monkeypatch):
+    """The same surface whether the nearest search holds the stations or goes through the pyramid."""
+    rng = np.random.default_rng(6)
+    xy = np.r_[rng.uniform([20, -30], [20.5, -29.5], (300, 2)), rng.uniform([5, -35], [55, -5], (12, 2))]
+    rows = [(i, float(x), float(y), float(2 * x - y)) for i, (x, y) in enumerate(xy)]
+    stations = spark.createDataFrame(rows, "station_id int, x double, y double, v double")
+    grid = _grid(spark, 40, 60).select("row_id", "col_id")
+    plain = sorted(tuple(r) for r in surface.interpolate(grid, stations, ["v"], UNIT).collect())
+    monkeypatch.setattr(surface, "FEW_STATIONS", 1000)
+    assert sorted(tuple(r) for r in surface.interpolate(grid, stations, ["v"], UNIT).collect()) == plain
+    for r, c, v, inside in plain:
+        x, y = c + 0.5, -(r + 0.5)
+        want = 2 * x - y if inside else rows[int(((xy - [x, y]) ** 2).sum(1).argmin())][3]
+        assert v == pytest.approx(want, abs=1e-9)
+    assert 0 < sum(r[3] for r in plain) < len(plain) == 2400
 
 
 def test_polygon_strictness_and_multi_parts(spark):
