@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_and_text, small_or_plain, texts
+from .common import hash_sample, id_and_text, landed, scratch, small_or_plain, texts
 
 END_ID = 1
 BLOCK_BYTES = 1 << 20
@@ -132,17 +132,24 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_column: str = "d
     """Encode every row and write the three tables.
 
     A null text counts as empty: the end id alone. Rows that repeat an id lie side by side,
-    ordered by text; rows without an id come first. An empty table gives tables without blocks.
+    ordered by their number of ids and a hash of the text; rows without an id come first. An empty table gives tables without blocks.
     """
     docs = id_and_text(docs, id_column, text_column)
     raw = train_dictionary(docs, tokenizer_path)
     sha = hashlib.sha256(raw).hexdigest()
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One frame for each text, made where the text is read: only frames are sorted."""
         words, shared = word_ids(tokenizer_path), compression(raw)
         pack = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
-        shard, start = TaskContext.get().partitionId(), 0
         end = np.asarray([END_ID], "<u4").tobytes()
+        for batch, values in texts(batches):
+            arrays = [array + end for array in words.texts(values)]
+            columns = [pa.array([len(a) // 4 for a in arrays], pa.int64()), pa.array([pack.compress(a) for a in arrays], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_key", "n_tokens", "frame"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, start = TaskContext.get().partitionId(), 0
         ids, starts, counts, offsets, frames, size = [], [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -152,12 +159,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_column: str = "d
             names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for batch, values in texts(batches):
-            for doc_id, array in zip(batch.column(0).to_pylist(), words.texts(values)):
-                array += end
-                frame = pack.compress(array)
-                ids.append(doc_id), starts.append(start), counts.append(len(array) // 4), offsets.append(size), frames.append(frame)
-                start, size = start + len(array) // 4, size + len(frame)
+        for batch in batches:
+            for doc_id, n_tokens, frame in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids.append(doc_id), starts.append(start), counts.append(n_tokens), offsets.append(size), frames.append(frame)
+                start, size = start + n_tokens, size + len(frame)
                 if size >= BLOCK_BYTES:
                     yield block()
                     ids, starts, counts, offsets, frames, size = [], [], [], [], [], 0
@@ -166,8 +171,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_column: str = "d
 
     spark = docs.sparkSession
     spark.createDataFrame([(sha, bytearray(raw))], "sha256 string, raw binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    with scratch(spark):
+        keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+        frames = landed(keyed.mapInArrow(framed, "doc_id long, text_key long, n_tokens long, frame binary"), "token-frames")
+        order = ["doc_id", "n_tokens", "text_key"]
+        ordered = frames.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
+        ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     # One row for each shard, so one task can number them.
     sums = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
