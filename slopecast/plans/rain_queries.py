@@ -217,15 +217,19 @@ LAST = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM fx_re
 
 @query(
     "t3_late_reading_policy",
-    f"SELECT loc_id, ts, round(max(mm), 6) AS mm, (SELECT count(*) FROM fx_readings WHERE ts <= {LAST}) AS too_late FROM fx_readings GROUP BY loc_id, ts",
+    f"""SELECT loc_id, ts, CASE WHEN ts <= {LAST} THEN 2 ELSE 3 END AS pull, round(max(mm) + CASE WHEN ts <= {LAST} THEN 1 ELSE 2 END, 6) AS mm,
+  (SELECT count(*) FROM (SELECT DISTINCT loc_id, ts FROM fx_readings WHERE ts <= {LAST}) d) AS too_late FROM fx_readings GROUP BY loc_id, ts""",
     ("fx_readings",),
 )
 def t3(t: Tables) -> DataFrame:
-    """The history arrives three times, one batch each: a repeat is known already, and one that lies
-    behind the watermark, which holds for late rows from the third batch on, is dropped and counted."""
+    """The history is pulled three times, one batch each, with other amounts: the last pull replaces what was known.
+
+    What lies behind the watermark, which holds for late rows from the third batch on, is dropped and counted.
+    """
     feed = shared_dir(t.spark, "late-feed")
-    for _ in range(3):
-        t.view("fx_readings").repartition(FILES).write.mode("append").parquet(feed)
-    stream = streaming.reading_stream(t.spark, feed, "loc_id long, ts timestamp_ntz, mm double", max_files=FILES)
-    kept, late = streaming.run_counted(streaming.drop_repeats(stream, ["loc_id", "ts"]), "repeats")
+    for pull in (1, 2, 3):
+        given = t.view("fx_readings").select("loc_id", "ts", (F.col("mm") + (pull - 1)).alias("mm"), F.lit(pull).alias("pull"))
+        given.repartition(FILES).write.mode("append").parquet(feed)
+    stream = streaming.reading_stream(t.spark, feed, "loc_id long, ts timestamp_ntz, mm double, pull int", max_files=FILES)
+    kept, late = streaming.run_upserts(streaming.last_pulls(stream, ["loc_id"]), ["loc_id", "ts"], "pulls")
     return tidy(kept.withColumn("too_late", F.lit(late).cast("long")))

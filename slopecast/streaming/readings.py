@@ -21,11 +21,37 @@ def reading_stream(spark: SparkSession, folder: str, schema: str, pattern: str =
     return reader.parquet(folder)
 
 
-def drop_repeats(readings: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """First copy of each reading; a re-sent history inside the watermark changes nothing."""
-    timed = readings.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need an instant
-    kept = timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    return kept.withColumn(time, F.col(time).cast("timestamp_ntz"))
+def last_pulls(readings: DataFrame, keys: list[str], pull: str = "pull", time: str = "ts", amount: str = "mm", delay: str = "1 hour") -> DataFrame:
+    """(keys, time, pull, amount) of the last pull of each reading, for update mode: a later pull replaces an earlier one.
+
+    A pull that comes again, or an older one that comes late, changes nothing; of several amounts in one
+    pull the largest stands. A reading behind the watermark is dropped, which the state operator counts.
+    """
+    timed = readings.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    last = timed.groupBy(*keys, time).agg(F.max(F.struct(pull, amount)).alias("_last"))
+    return last.select(*keys, F.col(time).cast("timestamp_ntz").alias(time), f"_last.{pull}", f"_last.{amount}")
+
+
+def run_upserts(stream: DataFrame, keys: list[str], purpose: str) -> tuple[DataFrame, int]:
+    """Drain the available input in update mode; the row of the last batch for each key, and the rows dropped as too late.
+
+    Every batch writes its changed rows under its own number, so one that is replayed rewrites its own.
+    """
+    spark = stream.sparkSession
+    out, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-state")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if not exists(spark, out):  # nothing to read, so no batch
+        return spark.createDataFrame([], stream.schema), late
+    rest = [c for c in stream.columns if c not in keys]
+    changes = spark.read.option("basePath", out).parquet(out)
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, "_last.*"), late
 
 
 def stream_trailing_totals(
