@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_and_text, landed, scratch, small_or_plain, texts
+from .common import hash_limit, id_and_text, landed, scratch, small_or_plain, texts
 
 END_ID = 1
 BLOCK_BYTES = 1 << 20
@@ -115,7 +115,11 @@ def word_ids(path: str) -> WordIds:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary from serialized id arrays of a bounded sample; empty if there is nothing to learn from."""
-    sample = hash_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id", "text").select("text").collect()
+    # Drawn by hashes that need no pass over the texts; rows are counted from the files' footers.
+    drawn = F.xxhash64("doc_id", F.octet_length("text"))
+    share = min(1.0, 2 * (SAMPLE_DOCS + 50) / max(docs.count(), 1))
+    few = docs.where(drawn <= hash_limit(share)).where(F.length("text").between(1, SAMPLE_CHARS))
+    sample = few.orderBy(drawn, "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()
     words = word_ids(tokenizer_path)
     arrays = [x for x in words.texts([r.text for r in sample]) if x]
     try:
