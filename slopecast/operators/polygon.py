@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import lonlat_to_pixel
 from ..settings import Grid
 from .pixels import PIXEL
 
@@ -193,17 +192,35 @@ def bbox_filter(segments: DataFrame, box: tuple[float, float, float, float]) ->
 
 
 def line_cells(segments: DataFrame, grid: Grid) -> DataFrame:
-    """Distinct pixels that segments pass through, by steps of at most half a pixel."""
-    reach = F.greatest(
-        F.abs(F.col("x2") - F.col("x1")) / F.lit(abs(grid.a)), F.abs(F.col("y2") - F.col("y1")) / F.lit(abs(grid.e))
+    """Distinct pixels that segments pass through, however short the cut corner.
+
+    A segment is clipped to each pixel row that it meets, and the columns of the clipped part
+    follow from its two ends. A pixel holds its first row and column edge and not its last, so
+    a line through a corner burns the pixel that owns the corner. A segment with a missing
+    coordinate burns nothing; one of no length burns its own pixel.
+    """
+    ends = segments.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in EDGE)).select(
+        *[((F.col(x) - F.lit(grid.c)) / F.lit(grid.a)).alias(u) for x, u in (("x1", "u1"), ("x2", "u2"))],
+        *[((F.col(y) - F.lit(grid.f)) / F.lit(grid.e)).alias(v) for y, v in (("y1", "v1"), ("y2", "v2"))],
     )
-    stepped = segments.withColumn("_n", F.greatest(F.ceil(reach * 2), F.lit(1)).cast("int"))
-    stepped = stepped.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    t = F.col("_k") / F.col("_n").cast("double")
-    x = F.col("x1") + (F.col("x2") - F.col("x1")) * t
-    y = F.col("y1") + (F.col("y2") - F.col("y1")) * t
-    row, col = lonlat_to_pixel(x, y, grid)
-    return stepped.select(row.alias("row_id"), col.alias("col_id")).distinct()
+    down = F.col("v1") <= F.col("v2")
+    upper, lower = F.struct(F.col("v1").alias("v"), F.col("u1").alias("u")), F.struct(F.col("v2").alias("v"), F.col("u2").alias("u"))
+    turned = ends.select(F.when(down, upper).otherwise(lower).alias("s"), F.when(down, lower).otherwise(upper).alias("t"))
+    rows = F.sequence(F.floor("s.v").cast("int"), F.floor("t.v").cast("int"))
+    cut = turned.select("s", "t", F.explode(rows).alias("row_id"))
+
+    def across(v: Column) -> Column:
+        return F.col("s.u") + (F.col("t.u") - F.col("s.u")) * ((v - F.col("s.v")) / (F.col("t.v") - F.col("s.v")))
+
+    # Only a row's last edge is open, and only where the segment goes on below it.
+    level = F.col("s.v") == F.col("t.v")
+    enters = F.when(F.col("row_id") <= F.col("s.v"), F.col("s.u")).otherwise(across(F.col("row_id")))
+    goes_on = ~level & (F.col("row_id") + 1 <= F.col("t.v"))
+    leaves = F.when(goes_on, across(F.col("row_id") + 1)).otherwise(F.col("t.u"))
+    met = cut.select("row_id", enters.alias("a"), leaves.alias("b"), goes_on.alias("open"))
+    first = F.floor(F.least("a", "b"))
+    last = F.when(F.col("open") & (F.col("b") > F.col("a")), F.greatest(F.ceil("b") - 1, first)).otherwise(F.floor(F.greatest("a", "b")))
+    return met.select("row_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("col_id")).distinct()
 
 
 def rasterize_lines(pixels: DataFrame, segments: DataFrame, grid: Grid, name: str = "burned") -> DataFrame:

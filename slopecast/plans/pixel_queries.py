@@ -328,14 +328,32 @@ def r6_proximity(t: Tables) -> DataFrame:
     return _rounded(proximity.proximity(marked, "is_river"), "distance")
 
 
-ROAD_STEPS = """SELECT DISTINCT CAST(floor((y1 + (y2 - y1) * (k / n) - 28.5::DOUBLE) / -0.001::DOUBLE) AS INTEGER) AS row_id, CAST(floor((x1 + (x2 - x1) * (k / n) - 85.0::DOUBLE) / 0.001::DOUBLE) AS INTEGER) AS col_id
-FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT *, CAST(greatest(ceil(2 * greatest(abs(x2 - x1) / 0.001::DOUBLE, abs(y2 - y1) / 0.001::DOUBLE)), 1) AS INTEGER) AS n FROM fx_roads) r) s"""
+# Every pixel of a road's box whose corners do not all lie on one side of the road.
+ROAD_PIXELS = """SELECT DISTINCT row_id, col_id FROM (
+SELECT row_id, col_id, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) AS c1, (x2 - x1) * (py - y1) - (y2 - y1) * (px + 0.001::DOUBLE - x1) AS c2,
+  (x2 - x1) * (py - 0.001::DOUBLE - y1) - (y2 - y1) * (px - x1) AS c3, (x2 - x1) * (py - 0.001::DOUBLE - y1) - (y2 - y1) * (px + 0.001::DOUBLE - x1) AS c4
+FROM (SELECT *, 85.0::DOUBLE + col_id * 0.001::DOUBLE AS px, 28.5::DOUBLE - row_id * 0.001::DOUBLE AS py FROM (
+  SELECT *, CAST(unnest(range(CAST(floor((least(x1, x2) - 85.0::DOUBLE) / 0.001::DOUBLE) AS INTEGER), CAST(floor((greatest(x1, x2) - 85.0::DOUBLE) / 0.001::DOUBLE) AS INTEGER) + 1)) AS INTEGER) AS col_id FROM (
+    SELECT *, CAST(unnest(range(CAST(floor((28.5::DOUBLE - greatest(y1, y2)) / 0.001::DOUBLE) AS INTEGER), CAST(floor((28.5::DOUBLE - least(y1, y2)) / 0.001::DOUBLE) AS INTEGER) + 1)) AS INTEGER) AS row_id FROM fx_roads) a) b) c) d
+WHERE least(c1, c2, c3, c4) <= 0 AND greatest(c1, c2, c3, c4) >= 0"""
 
 
 @query(
     "r7_rasterize_lines",
-    f"SELECT g.row_id, g.col_id, CASE WHEN b.row_id IS NULL THEN 0 ELSE 1 END AS burned FROM fx_grid g LEFT JOIN ({ROAD_STEPS}) b ON g.row_id = b.row_id AND g.col_id = b.col_id",
+    f"SELECT g.row_id, g.col_id, CASE WHEN b.row_id IS NULL THEN 0 ELSE 1 END AS burned FROM fx_grid g LEFT JOIN ({ROAD_PIXELS}) b ON g.row_id = b.row_id AND g.col_id = b.col_id",
     ("fx_grid", "fx_roads"),
 )
 def r7(t: Tables) -> DataFrame:
     return polygon.rasterize_lines(t.grid, t.view("fx_roads"), GRID)
+
+
+@query(
+    "r7_road_distance",
+    f"""SELECT p.row_id, p.col_id, round(30 * sqrt(min(CAST((p.row_id - m.row_id) * (p.row_id - m.row_id) + (p.col_id - m.col_id) * (p.col_id - m.col_id) AS DOUBLE))), 6) AS distance
+FROM fx_grid p LEFT JOIN (SELECT g.row_id, g.col_id FROM fx_grid g JOIN ({ROAD_PIXELS}) b ON g.row_id = b.row_id AND g.col_id = b.col_id) m ON true GROUP BY p.row_id, p.col_id""",
+    ("fx_grid", "fx_roads"),
+)
+def r7_distance(t: Tables) -> DataFrame:
+    """Road proximity as one chain: lines burned into the grid, then the distance to what was burned."""
+    roads = polygon.rasterize_lines(t.grid, t.view("fx_roads"), GRID)
+    return _rounded(proximity.proximity(roads.withColumn("is_road", F.col("burned") == 1), "is_road"), "distance")

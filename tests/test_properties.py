@@ -343,3 +343,39 @@ def test_unknown_category_is_all_zero(spark):
     fitted = Pipeline(stages=models.one_hot()).fit(known)
     row = fitted.transform(spark.createDataFrame([("77.0",)], "lulc string")).select(vector_to_array("lulc_hot").alias("v")).first()
     assert row["v"] == [0.0, 0.0]
+
+
+def _clipped(x1, y1, x2, y2, row, col):
+    """Whether a segment meets the inside of a pixel of the unit grid, by clipping on its four sides."""
+    low, high = 0.0, 1.0
+    for start, step, a, b in ((x1, x2 - x1, col, col + 1), (-y1, y1 - y2, row, row + 1)):
+        if step == 0:
+            if not a <= start < b:
+                return False
+            continue
+        one, two = sorted(((a - start) / step, (b - start) / step))
+        low, high = max(low, one), min(high, two)
+    return low <= high
+
+
+def test_line_cells_equal_clipping_and_burn_short_corners(spark):
+    rng = np.random.default_rng(11)
+    lines = [tuple(float(v) for v in row) for row in np.column_stack([rng.uniform(0, 12, 60), rng.uniform(-12, 0, 60), rng.uniform(0, 12, 60), rng.uniform(-12, 0, 60)])]
+    lines += [(0.9, -0.02, 1.05, -0.13), (3.5, -1.5, 3.5, -1.5), (2.25, -9.75, 2.25, -0.25), (0.25, -4.5, 11.75, -4.5)]
+    for n, line in enumerate(lines):
+        frame = spark.createDataFrame([line], "x1 double, y1 double, x2 double, y2 double") if n < 3 or n >= 60 else None
+        if frame is None:
+            continue
+        got = {tuple(r) for r in polygon.line_cells(frame, UNIT).collect()}
+        assert got == {(r, c) for r in range(12) for c in range(12) if _clipped(*line, r, c)}, line
+    together = spark.createDataFrame([*lines, (None, 0.0, 1.0, 1.0), (float("nan"), 0.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = {tuple(r) for r in polygon.line_cells(together, UNIT).collect()}
+    assert got == {(r, c) for r in range(12) for c in range(12) if any(_clipped(*line, r, c) for line in lines)}
+
+
+def test_a_line_through_a_corner_burns_the_corners_owner(spark):
+    for line in ((0.5, -0.5, 2.5, -2.5), (2.5, -2.5, 0.5, -0.5)):
+        frame = spark.createDataFrame([line], "x1 double, y1 double, x2 double, y2 double")
+        assert {tuple(r) for r in polygon.line_cells(frame, UNIT).collect()} == {(0, 0), (1, 1), (2, 2)}
+    frame = spark.createDataFrame([(2.5, -0.5, 0.5, -2.5)], "x1 double, y1 double, x2 double, y2 double")
+    assert {tuple(r) for r in polygon.line_cells(frame, UNIT).collect()} == {(0, 2), (1, 2), (1, 1), (2, 1), (2, 0)}
