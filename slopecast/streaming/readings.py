@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.rain import RAIN_COLUMNS, rain_column, up_to
 from ..session import exists, release, shared_dir
@@ -54,32 +58,91 @@ def run_upserts(stream: DataFrame, keys: list[str], purpose: str) -> tuple[DataF
     return last.select(*keys, "_last.*"), late
 
 
+HOUR = 3_600_000  # milliseconds
+#: What is kept of a location: its hours (by their ends) and sums that open windows need, and the last end emitted.
+KEPT = "hours array<long>, amounts array<double>, emitted long"
+
+
+def window_totals(hours: np.ndarray, amounts: np.ndarray, after: int | None, until: int) -> pd.DataFrame:
+    """Totals at each window end in (after, until] whose longest window holds a reading; hours are counted by their ends.
+
+    Hours far apart are not bridged: the ends between them, which no reading reaches, are skipped.
+    """
+    longest = max(RAIN_WINDOWS)
+    order = np.argsort(hours, kind="stable")
+    hours, amounts = hours[order], amounts[order]
+    pieces = []
+    for run in np.split(np.arange(len(hours)), np.flatnonzero(np.diff(hours) >= longest) + 1):
+        if not len(run):
+            continue
+        first = int(hours[run[0]])
+        low = first if after is None else max(first, after + 1)
+        high = min(int(hours[run[-1]]) + longest - 1, until)
+        if low > high:
+            continue
+        dense = np.zeros(high - first + longest)
+        inside = run[hours[run] <= high]
+        np.add.at(dense, hours[inside] - first + longest - 1, amounts[inside])
+        views = np.lib.stride_tricks.sliding_window_view(dense, longest)[low - first :]
+        pieces.append(pd.DataFrame({"end": np.arange(low, high + 1)} | {rain_column(h): views[:, longest - h :].sum(1) for h in RAIN_WINDOWS}))
+    return pd.concat(pieces, ignore_index=True) if pieces else pd.DataFrame(columns=["end", *RAIN_COLUMNS])
+
+
+def _hourly_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per location and hour of a batch: the time of its last reading and the sum."""
+    for batch in batches:
+        folded = pa.table(batch).group_by(["_loc", "_end"]).aggregate([("_at", "max"), ("_mm", "sum")])
+        yield from folded.rename_columns(["_loc", "_end", "_at", "_mm"]).combine_chunks().to_batches()
+
+
+def _close_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    hours, amounts, emitted = state.get if state.exists else ([], [], None)
+    sums = dict(zip(hours, amounts))
+    for part in () if state.hasTimedOut else batches:  # folded as they come, so a busy location fits
+        for end, mm in part.groupby("_end")["_mm"].sum().items():
+            sums[end] = sums.get(end, 0.0) + mm
+    hours, amounts = np.array(list(sums), np.int64), np.array(list(sums.values()), float)
+    until = state.getCurrentWatermarkMs() // HOUR
+    found = window_totals(hours, amounts, emitted, until)
+    needed = hours + max(RAIN_WINDOWS) - 1 > until
+    if needed.any():
+        state.update((hours[needed].tolist(), amounts[needed].tolist(), int(until)))
+        # A timer fires once the watermark is beyond it, an end is closed once it is reached.
+        state.setTimeoutTimestamp(int(max(until + 1, hours[needed].min())) * HOUR - 1)
+    elif state.exists:
+        state.remove()
+    if len(found):
+        ends = pd.to_datetime(found.pop("end").to_numpy(np.int64) * HOUR, unit="ms")
+        found.insert(0, "window_end", ends)
+        found.insert(0, "_loc", [key[0]] * len(found))
+        yield found
+
+
 def stream_trailing_totals(
-    readings: DataFrame, loc: str = "loc_id", time: str = "ts", amount: str = "mm", delay: str = "1 hour", slide: str = "1 hour"
+    readings: DataFrame, loc: str = "loc_id", time: str = "ts", amount: str = "mm", delay: str = "1 hour"
 ) -> DataFrame:
-    """(loc, window_end, totals) for every closed window end, in append mode.
+    """(loc, window_end, totals) for every closed hourly window end that a reading reaches, in append mode.
 
-    Readings first shrink to hourly sums per location; only those are spread over the
-    72-hour windows. Shifting time back by a microsecond turns Spark's [start, end)
-    windows into (start, end].
+    Tasks fold their readings into hourly sums before the shuffle, so a busy location is not sent row by row.
+    A location is one state row: the sums of the hours that open windows still need, and the last end emitted.
+    A timer in event time closes the ends after its last reading; without open windows it leaves the state. A
+    reading without a time or an amount counts for nothing; a task's sum of an hour whose last reading is behind
+    the watermark is dropped and counted. Shifting time back by a microsecond turns [start, end) into (start, end].
     """
-    longest = f"{max(RAIN_WINDOWS)} hours"
-    present = readings.where(F.col(amount).isNotNull())
-    shifted = present.withColumn("_at", F.col(time).cast("timestamp") - F.expr("INTERVAL 0.000001 SECOND"))
-    hourly = (
-        shifted.withWatermark("_at", delay)
-        .groupBy(loc, F.window("_at", slide).alias("_hour"))
-        .agg(F.sum(amount).alias("_mm"))
-        .withColumn("_hour_start", F.col("_hour.start"))
+    kind = dict(readings.dtypes)[loc]
+    at = F.col(time).cast("timestamp") - F.expr("INTERVAL 0.000001 SECOND")
+    present = readings.where(F.col(amount).isNotNull() & F.col(time).isNotNull()).select(
+        F.col(loc).alias("_loc"), F.floor(F.unix_millis(at) / HOUR + 1).alias("_end"), at.alias("_at"), F.col(amount).cast("double").alias("_mm")
+    )
+    hourly = present.mapInArrow(_hourly_sums, f"_loc {kind}, _end long, _at timestamp, _mm double").withWatermark("_at", delay)
+    totals = hourly.groupBy("_loc").applyInPandasWithState(
+        _close_windows,
+        f"_loc {kind}, window_end timestamp_ntz, {', '.join(f'{c} double' for c in RAIN_COLUMNS)}",
+        KEPT,
+        "append",
+        "EventTimeTimeout",
     )
-    spans = hourly.withColumn("_w", F.window("_hour", longest, slide)).groupBy(loc, "_w")
-    totals = [
-        F.sum(
-            F.when(F.col("_hour_start") >= F.col("_w.end") - F.make_dt_interval(hours=F.lit(h)), F.col("_mm")).otherwise(0.0)
-        ).alias(rain_column(h))
-        for h in RAIN_WINDOWS
-    ]
-    return spans.agg(*totals).select(loc, F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *RAIN_COLUMNS)
+    return totals.withColumnRenamed("_loc", loc)
 
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
