@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import polygon
-from ..session import materialise
+from ..session import materialise, shared_dir
 from ..sources import polygons, sinks
 from .cleaning_queries import tidy
 from .fixtures import GRID, ORIGIN, Tables
@@ -34,6 +34,19 @@ def s4(t: Tables) -> DataFrame:
     return tidy(polygons.parse_features(text, "geojson"))
 
 
+CLOSED = "SELECT feature_id, part_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM {v} UNION ALL SELECT feature_id, part_id, 5, round(x, 6), round(y, 6) FROM {v} WHERE seq = 0"
+
+
+@query("s4_read_geojson_files", f"{CLOSED.format(v='fx_rings')} UNION ALL {CLOSED.format(v='fx_polygon')}", ("fx_rings", "fx_polygon"))
+def s4_files(t: Tables) -> DataFrame:
+    """Service areas read back from a folder of feature lines, the district from one collection document."""
+    lines, document = shared_dir(t.spark, "features"), shared_dir(t.spark, "collection")
+    sinks.polygon_features(t.view("fx_rings")).select("geojson").write.text(lines)
+    district = sinks.polygon_features(t.view("fx_polygon"))  # one feature
+    district.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "geojson", F.lit("]}"))).write.text(document)
+    return tidy(polygons.read_features(t.spark, lines).unionByName(polygons.read_collection(t.spark, document)))
+
+
 @query(
     "k8_polygon_geojson",
     """SELECT feature_id, 'Polygon' AS kind, CAST(6 AS INTEGER) AS corners, round(max(CASE WHEN seq = 0 THEN x END), 6) AS first_x, round(max(CASE WHEN seq = 4 THEN y END), 6) AS fifth_y FROM fx_rings GROUP BY feature_id""",

@@ -156,10 +156,10 @@ def p22(t: Tables) -> DataFrame:
 PAYLOAD = """'{"hourly":{"time":["' || {t0} || '","' || {t1} || '","' || {t2} || '"],"precipitation":[' || CAST(CAST(value * 100 AS INT) AS STRING) || ',null,7]},"current":{"time":"' || {t1} || '+05:45","precipitation":' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE 'null' END || '}}' AS payload"""
 
 
-def _payloads(t: Tables, text: str = PAYLOAD) -> DataFrame:
+def _payloads(t: Tables, text: str = PAYLOAD, key: str = "event_id") -> DataFrame:
     for name, time in (("{t0}", "ts - INTERVAL 1 HOUR"), ("{t1}", "ts"), ("{t2}", "ts + INTERVAL 1 HOUR")):
         text = text.replace(name, f"date_format({time}, \"yyyy-MM-dd'T'HH:mm:ss\")")
-    return t.base("events").selectExpr("event_id", text)
+    return t.base("events").selectExpr(key, text)
 
 
 @query(
@@ -173,6 +173,17 @@ def s5(t: Tables) -> DataFrame:
     return payload.payload_readings(items, "event_id")
 
 
+@query(
+    "w1_payload_totals",
+    f"""SELECT user_id, {SUMS} FROM (SELECT user_id, date_trunc('second', ts - INTERVAL 1 HOUR) AS ts, CAST(CAST(trunc(value * 100) AS INTEGER) AS DOUBLE) AS mm FROM events
+UNION ALL SELECT user_id, date_trunc('second', ts + INTERVAL 1 HOUR), 7 FROM events) r WHERE ts <= {NOW} GROUP BY user_id""",
+)
+def w1_payloads(t: Tables) -> DataFrame:
+    """Forecast payloads of a location, read and summed up as one chain; entries without an amount and hours to come count for nothing."""
+    items = payload.parse_payloads(_payloads(t, key="user_id"), "payload", "user_id")
+    return tidy(rain.trailing_totals(payload.payload_readings(items, "user_id"), now(), "user_id"))
+
+
 UNTIMED = PAYLOAD.replace("\"time\":\"' || {t1} || '+05:45\"", "\"time\":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '\"' || {t1} || '+05:45\"' END || '")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alert_level, first_present, format_percent, place_fields
-from ..operators import classes, rain, workflow
+from ..operators import classes, lookups, rain, workflow
 from ..session import materialise
 from ..settings import FEATURES, RISK_LABELS
 from ..sources import sinks
@@ -44,6 +44,39 @@ def p19(t: Tables) -> DataFrame:
     return t.base("customer").selectExpr("c_custkey", ADDRESS).select("c_custkey", *[c.alias(name) for name, c in fields.items()])
 
 
+# Every second site has a saved answer; where sites share a key the later one stands.
+ANSWERS = f"""(SELECT * FROM (SELECT round_even(latitude, 4) AS lat_key, round_even(longitude, 4) AS lon_key, coalesce(local_name, fallback, municipality, '{DEFAULT_PLACE}') AS place, province,
+  row_number() OVER (PARTITION BY round_even(latitude, 4), round_even(longitude, 4) ORDER BY site_id DESC) AS n FROM fx_sites JOIN ({PARTS}) p ON site_id = c_custkey WHERE site_id % 2 = 1) s WHERE n = 1)"""
+KEYED = "(SELECT sample_id, round_even(latitude, 4) AS lat_key, round_even(longitude, 4) AS lon_key FROM fx_points)"
+
+
+def _lookups(t: Tables) -> tuple[DataFrame, DataFrame]:
+    answered = t.base("customer").selectExpr("c_custkey AS site_id", ADDRESS).where("site_id % 2 = 1")
+    saved = lookups.keyed(t.view("fx_sites")).join(answered, "site_id")
+    return lookups.keyed(t.view("fx_points")), lookups.last_answers(saved, "site_id", F.col("payload"))
+
+
+@query(
+    "p20_saved_answers",
+    f"SELECT sample_id, p.lat_key, p.lon_key, place, province, n IS NOT NULL AS answered FROM {KEYED} p LEFT JOIN {ANSWERS} a ON p.lat_key = a.lat_key AND p.lon_key = a.lon_key",
+    ("fx_points", "fx_sites"),
+)
+def p20_saved(t: Tables) -> DataFrame:
+    points, answers = _lookups(t)
+    fields = place_fields("answer", DEFAULT_PLACE)
+    found = lookups.with_answers(points, answers, {name: fields[name] for name in ("place", "province")})
+    return found.select("sample_id", *lookups.KEY, "place", "province", "answered")
+
+
+@query(
+    "p20_keys_to_ask",
+    f"SELECT lat_key, lon_key, count(*) AS lookups FROM {KEYED} p WHERE NOT EXISTS (SELECT 1 FROM {ANSWERS} a WHERE a.lat_key = p.lat_key AND a.lon_key = p.lon_key) GROUP BY lat_key, lon_key",
+    ("fx_points", "fx_sites"),
+)
+def p20_ask(t: Tables) -> DataFrame:
+    return lookups.keys_to_ask(*_lookups(t))
+
+
 @query(
     "p23_format_percent",
     """SELECT o_orderkey, CASE WHEN v > 0 AND v < 1 THEN printf('%.2f', v) ELSE printf('%.1f', v) END || '%' AS shown FROM (SELECT o_orderkey, CAST((o_orderkey * 7919) % 4000 AS DOUBLE) / 97 AS v FROM orders) x""",
@@ -93,6 +126,18 @@ def k3(t: Tables) -> DataFrame:
     return sinks.feature_lines(points, "longitude", "latitude", ["sample_id", "longitude", "latitude"])
 
 
+@query(
+    "k3_feature_collection",
+    """SELECT '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || longitude || ',' || latitude || ']},"properties":{"station_id":' || station_id || ',"longitude":' || longitude || ',"latitude":' || latitude || '}}', ',' ORDER BY station_id) || ']}' AS geojson
+FROM (SELECT station_id, round(x, 6) AS longitude, round(y, 6) AS latitude FROM fx_gauges) g""",
+    ("fx_gauges",),
+)
+def k3_collection(t: Tables) -> DataFrame:
+    """The gauges, one for each nation, as one document."""
+    gauges = t.view("fx_gauges").select("station_id", F.round("x", 6).alias("longitude"), F.round("y", 6).alias("latitude"))
+    return sinks.feature_collection(gauges, "longitude", "latitude", ["station_id", "longitude", "latitude"], "station_id")
+
+
 @query(
     "k4_app_state",
     ALERT

@@ -131,7 +131,7 @@ def stream_trailing_totals(
     """
     kind = dict(readings.dtypes)[loc]
     at = F.col(time).cast("timestamp") - F.expr("INTERVAL 0.000001 SECOND")
-    present = readings.where(F.col(amount).isNotNull() & F.col(time).isNotNull()).select(
+    present = readings.where(F.col(amount).isNotNull() & ~F.isnan(amount) & F.col(time).isNotNull()).select(
         F.col(loc).alias("_loc"), F.floor(F.unix_millis(at) / HOUR + 1).alias("_end"), at.alias("_at"), F.col(amount).cast("double").alias("_mm")
     )
     hourly = present.mapInArrow(_hourly_sums, f"_loc {kind}, _end long, _at timestamp, _mm double").withWatermark("_at", delay)

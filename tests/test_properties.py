@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopecast.functions import first_present, isclose, null_sentinels, place_fields, risk_formula, significance
-from slopecast.operators import background, clean, delaunay, describe, models, nearest, polygon, proximity, quantiles, rain, ranking, resample, surface
+from slopecast.operators import background, clean, delaunay, describe, lookups, models, nearest, polygon, proximity, quantiles, rain, ranking, resample, surface
 from slopecast.settings import Grid
 from slopecast.sources import payload, points, polygons, sinks
 
@@ -379,3 +379,17 @@ def test_a_line_through_a_corner_burns_the_corners_owner(spark):
         assert {tuple(r) for r in polygon.line_cells(frame, UNIT).collect()} == {(0, 0), (1, 1), (2, 2)}
     frame = spark.createDataFrame([(2.5, -0.5, 0.5, -2.5)], "x1 double, y1 double, x2 double, y2 double")
     assert {tuple(r) for r in polygon.line_cells(frame, UNIT).collect()} == {(0, 2), (1, 2), (1, 1), (2, 1), (2, 0)}
+
+
+def test_saved_answers_with_odd_rows(spark):
+    schema = "id int, latitude double, longitude double, note string"
+    places = lookups.keyed(spark.createDataFrame([(1, 28.00004, 85.0, "a"), (2, 28.00001, 85.00002, "a"), (3, None, 85.0, "b"), (4, 27.5, 85.0, None)], schema))
+    saved = lookups.keyed(spark.createDataFrame([(1, 28.0, 85.0, "old"), (2, 28.00002, 85.0, "new"), (2, 28.0, 85.0, "later"), (3, None, 85.0, "lost")], schema))
+    answers = lookups.last_answers(saved, "id", F.col("note"))
+    assert [tuple(r) for r in answers.collect()] == [(28.0, 85.0, "new")]
+    found = lookups.with_answers(places, answers, {"place": F.col("answer")})
+    assert {r.id: (r.note, r.place, r.answered) for r in found.collect()} == {1: ("a", "new", True), 2: ("a", "new", True), 3: ("b", None, False), 4: (None, None, False)}
+    assert [tuple(r) for r in lookups.keys_to_ask(places, answers).collect()] == [(27.5, 85.0, 1)]
+    none = answers.limit(0)
+    assert lookups.with_answers(places, none, {"place": F.col("answer")}).where("answered").count() == 0
+    assert lookups.keys_to_ask(places.limit(0), answers).count() == 0
