@@ -181,7 +181,10 @@ def m7(t: Tables) -> DataFrame:
     return row.select("model", *counts, (F.col("cv_roc_auc_std") < 0.05).alias("steady"), *floors)
 
 
-SLOTS = [*[f"{c}_z" for c in MODEL_NUMERIC], *[f"lulc_hot_{float(c)}" for c in (10, 30, 40, 50, 60, 70, 80, 100)]]
+NUMERIC_SLOTS = ", ".join(f"('{c}_z')" for c in MODEL_NUMERIC)
+#: The inputs of a model: each numeric column, and each land class that the training rows hold.
+SLOTS = f"""(SELECT f FROM (VALUES {NUMERIC_SLOTS}) v(f) UNION ALL
+  SELECT 'lulc_hot_' || CAST(CAST(lulc AS DOUBLE) AS VARCHAR) FROM (SELECT DISTINCT f.lulc FROM fx_train f JOIN ({SPLIT}) s ON f.sample_id = s.sample_id WHERE s.split = 'train') d)"""
 
 
 def _importance(t: Tables) -> DataFrame:
@@ -191,7 +194,8 @@ def _importance(t: Tables) -> DataFrame:
 
 @query(
     "m8_feature_importance",
-    f"SELECT 'Logistic Regression' AS model, f AS feature, 'absolute_coefficient' AS importance_type, true AS positive FROM (VALUES {', '.join(f'({c!r})' for c in SLOTS)}) v(f)",
+    f"SELECT 'Logistic Regression' AS model, f AS feature, 'absolute_coefficient' AS importance_type, true AS positive FROM {SLOTS} v",
+    ("fx_train",),
 )
 def m8(t: Tables) -> DataFrame:
     return _importance(t).select("model", "feature", "importance_type", (F.col("importance") >= 0).alias("positive"))
@@ -199,7 +203,8 @@ def m8(t: Tables) -> DataFrame:
 
 @query(
     "l2_rank_importance",
-    f"SELECT CAST(i AS INTEGER) AS place, true AS descending FROM (SELECT unnest(range(1, {len(SLOTS) + 1})) AS i) s",
+    f"SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS place, true AS descending FROM {SLOTS} v",
+    ("fx_train",),
 )
 def l2(t: Tables) -> DataFrame:
     """Places of the ranked features, and whether each is at least as important as the next."""
