@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from math import ceil, pi, sqrt
+from math import pi, sqrt
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..functions.scalar import circular_encode
 from ..session import materialise
 from ..settings import CATEGORICAL, FOLDS, MODEL_NUMERIC, SEED
+from . import forest
 from .background import stratified_folds
 from .metrics import binary_metrics, confusion_matrix, roc_auc
 from .pixels import PIXEL, valid_mask
@@ -34,11 +38,9 @@ LOGISTIC_C = 1.0
 LOGISTIC_ITERATIONS = 2000
 
 SVM_ITERATIONS = 2000  # the tolerance ends a fit long before
-FOREST_BINS = 256
-FOREST_DEPTH = 30  # the deepest tree Spark ML grows
+FOREST_DEPTH = 30
+FITS_AT_ONCE = 4
 KERNEL_FEATURES = 256
-#: Rows from which the forest's rows are dealt over several tasks, and at most how many; memory of one task's histograms.
-FOREST_TASK_ROWS, FOREST_TASKS, FOREST_MEMORY_MB = 1500, 4096, 256
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -100,10 +102,14 @@ class Scorer:
     name: str
     stages: PipelineModel
     kernel: "Kernel | None" = None
+    forest: "forest.Forest | None" = None
     calibration: tuple[float, float] | None = None
     extra: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.forest is not None:
+            scored = self.stages.transform(df).withColumn("score", self.forest.score(vector_to_array("features")))
+            return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*df.columns, "score", "predicted")
         if self.kernel is None:
             scored = self.stages.transform(df).withColumn("score", vector_to_array("probability")[1])
             return scored.select(*df.columns, "score", F.col("prediction").cast("int").alias("predicted"))
@@ -116,23 +122,9 @@ class Scorer:
 def fit_forest(train: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, key: str = "sample_id") -> Scorer:
     weighted = balanced_weights(train)
     stages, _ = prepare(weighted, scale=False)
-    # A landed table of few rows is one file and would grow all trees in one task.
-    slices = min(ceil(weighted.count() / FOREST_TASK_ROWS), FOREST_TASKS)
-    weighted = weighted.repartition(max(slices, 1), key)
-    forest = RandomForestClassifier(
-        labelCol=LABEL,
-        weightCol="weight",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=FOREST_MIN_LEAF,
-        featureSubsetStrategy="sqrt",
-        maxBins=FOREST_BINS,
-        maxMemoryInMB=FOREST_MEMORY_MB,
-        cacheNodeIds=True,  # node ids stay with the rows, so tasks carry no tree
-        checkpointInterval=10,
-        seed=SEED,
-    )
-    return Scorer("Random Forest", Pipeline(stages=[*stages, forest]).fit(weighted))
+    prepared = Pipeline(stages=stages).fit(weighted)
+    grown = forest.fit(prepared.transform(weighted), key, LABEL, "weight", trees, depth, FOREST_MIN_LEAF, SEED)
+    return Scorer("Random Forest", prepared, forest=grown)
 
 
 def fit_logistic(train: DataFrame) -> Scorer:
@@ -185,6 +177,12 @@ def svm_margin(svm, kernel: Kernel, prepared: DataFrame) -> DataFrame:
     return scored.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
 
 
+def side_by_side(spark: SparkSession, steps: list[Callable]) -> list:
+    """Results of independent fits whose Spark jobs may overlap; an error of one is raised."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def _fit_svm(df: DataFrame):
     """Fitted until the tolerance is met; an error if the iterations run out first."""
     mass = df.agg(F.sum("weight")).first()[0]
@@ -228,13 +226,14 @@ def fit_svm(train: DataFrame, key: str = "sample_id") -> Scorer:
     kernel = Kernel(inputs, gamma)
     folded = stratified_folds(prepared.select(key, LABEL, "weight", "features"), key, LABEL, SVM_CALIBRATION_FOLDS)
     projected = materialise(folded.withColumn("kernel_features", kernel.column("features")), "svm")
+    folds = range(SVM_CALIBRATION_FOLDS)
+    *held_out, final = side_by_side(train.sparkSession, [lambda f=f: _fit_svm(projected.where(F.col("fold") != f)) for f in folds] + [lambda: _fit_svm(projected)])
     margins = None
-    for fold in range(SVM_CALIBRATION_FOLDS):
-        svm = _fit_svm(projected.where(F.col("fold") != fold))
+    for fold, svm in zip(folds, held_out):
         held = svm.transform(projected.where(F.col("fold") == fold))
         part = held.select(LABEL, vector_to_array("rawPrediction")[1].alias("margin"))
         margins = part if margins is None else margins.unionByName(part)
-    return Scorer("SVM", prepared_model, kernel, _platt(margins), {"svm": _fit_svm(projected)})
+    return Scorer("SVM", prepared_model, kernel, calibration=_platt(margins), extra={"svm": final})
 
 
 FITTERS = {"Random Forest": fit_forest, "SVM": fit_svm, "Logistic Regression": fit_logistic}
@@ -249,10 +248,13 @@ def evaluate_model(name: str, train: DataFrame, test: DataFrame, folds: int = FO
     aucs = []
     if folds:
         folded = materialise(stratified_folds(train, key, LABEL, folds, name="cv"), "folds")
-        for fold in range(folds):
+
+        def held_out(fold: int) -> float:
             model = fit(folded.where(F.col("cv") != fold).drop("cv"))
-            scored = model.transform(folded.where(F.col("cv") == fold).drop("cv"))
-            aucs.append(roc_auc(scored, LABEL, "score").first()["roc_auc"])
+            scored = materialise(model.transform(folded.where(F.col("cv") == fold).drop("cv")).select(LABEL, "score"), "fold")
+            return roc_auc(scored, LABEL, "score").first()["roc_auc"]
+
+        aucs = side_by_side(train.sparkSession, [lambda f=f: held_out(f) for f in range(folds)])
     cv = {"mean": float(np.mean(aucs)), "std": float(np.std(aucs))} if aucs else {"mean": None, "std": None}
     final = fit(train)
     scored = materialise(final.transform(test).select(key, LABEL, "score", "predicted"), "holdout")
@@ -294,8 +296,8 @@ def feature_importance(scorer: Scorer, like: DataFrame) -> DataFrame:
     spark = like.sparkSession
     schema = "model string, feature string, importance_type string, importance double"
     final = scorer.stages.stages[-1]
-    if hasattr(final, "featureImportances"):
-        kind, values = "feature_importance", final.featureImportances.toArray()
+    if scorer.forest is not None:
+        kind, values = "feature_importance", scorer.forest.importances()
     elif hasattr(final, "coefficients"):
         kind, values = "absolute_coefficient", np.abs(final.coefficients.toArray())
     else:
@@ -316,6 +318,9 @@ def save_model(scorer: Scorer, path: str, metrics: DataFrame, facts: dict[str, s
     spark = metrics.sparkSession
     scorer.stages.write().overwrite().save(f"{path}/stages")
     described = {"model_name": scorer.name, **facts}
+    if scorer.forest is not None:
+        scorer.forest.save(f"{path}/forest")
+        described["forest_inputs"] = str(scorer.forest.inputs)
     if scorer.kernel is not None:
         scorer.extra["svm"].write().overwrite().save(f"{path}/svm")
         kernel = [(float(p), f.tolist()) for p, f in zip(scorer.kernel.phases, scorer.kernel.frequencies.T)]
@@ -330,6 +335,8 @@ def load_model(spark: SparkSession, path: str) -> Scorer:
 
     facts = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/facts").collect()}
     scorer = Scorer(facts["model_name"], PipelineModel.load(f"{path}/stages"))
+    if "forest_inputs" in facts:
+        scorer.forest = forest.Forest.load(spark, f"{path}/forest", int(facts["forest_inputs"]))
     if "calibration_slope" in facts:
         rows = spark.read.parquet(f"{path}/kernel").collect()  # KERNEL_FEATURES rows
         kernel = Kernel(1, 1.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import background, metrics, models
+from ..operators import background, metrics, models, workflow
 from ..operators.pixels import PIXEL
 from ..session import materialise, shared_dir
 from ..settings import FEATURES, MODEL_NUMERIC
@@ -168,19 +168,34 @@ def m6(t: Tables) -> DataFrame:
 MEASURES = ["cv_roc_auc_mean", "test_accuracy", "test_precision", "test_recall", "test_f1", "test_roc_auc"]
 
 
-@query(
-    "m7_evaluate_model",
-    f"SELECT 'Logistic Regression' AS model, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows, true AS steady, {', '.join(f'true AS {m}' for m in MEASURES)} FROM ({SPLIT}) s",
-    ("fx_train",),
-)
-def m7(t: Tables) -> DataFrame:
-    """Row counts, and whether each measure lies above the floor and the folds agree."""
-    row = models.evaluate_model("Logistic Regression", *_parts(t))[0]
+def _evaluated_sql(name: str) -> str:
+    floors = ", ".join(f"true AS {m}" for m in MEASURES)
+    return f"SELECT '{name}' AS model, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows, true AS steady, {floors} FROM ({SPLIT}) s"
+
+
+def _evaluated(t: Tables, name: str) -> DataFrame:
+    """Row counts, and whether each measure lies above the floor and the five folds agree."""
+    row = models.evaluate_model(name, *_parts(t))[0]
     floors = [F.col(m).between(LEAST_AUC if "auc" in m else 0.5, 1.0).alias(m) for m in MEASURES]
     counts = [F.col(c).cast("long").alias(c) for c in ("train_rows", "test_rows")]
     return row.select("model", *counts, (F.col("cv_roc_auc_std") < 0.05).alias("steady"), *floors)
 
 
+@query("m7_evaluate_model", _evaluated_sql("Logistic Regression"), ("fx_train",))
+def m7(t: Tables) -> DataFrame:
+    return _evaluated(t, "Logistic Regression")
+
+
+@query("m7_evaluate_forest", _evaluated_sql("Random Forest"), ("fx_train",))
+def m7_forest(t: Tables) -> DataFrame:
+    return _evaluated(t, "Random Forest")
+
+
+@query("m7_evaluate_svm", _evaluated_sql("SVM"), ("fx_train",))
+def m7_svm(t: Tables) -> DataFrame:
+    return _evaluated(t, "SVM")
+
+
 NUMERIC_SLOTS = ", ".join(f"('{c}_z')" for c in MODEL_NUMERIC)
 #: The inputs of a model: each numeric column, and each land class that the training rows hold.
 SLOTS = f"""(SELECT f FROM (VALUES {NUMERIC_SLOTS}) v(f) UNION ALL
@@ -226,17 +241,19 @@ def m10(t: Tables) -> DataFrame:
 
 @query(
     "k6_save_model",
-    f"SELECT count(*) AS \"rows\", 0::DOUBLE AS difference FROM ({SPLIT}) s WHERE split = 'test'",
+    f"SELECT 3::BIGINT AS models, true AS best_saved, count(*) AS \"rows\", 0::DOUBLE AS difference FROM ({SPLIT}) s WHERE split = 'test'",
     ("fx_train",),
 )
 def k6(t: Tables) -> DataFrame:
-    """Save the fitted model with its facts and metrics, and score the held-out rows with both copies."""
-    train, test = _parts(t)
-    scorer = models.fit_logistic(train)
-    scored = scorer.transform(test)
-    measured = metrics.binary_metrics(metrics.confusion_matrix(scored, "landslide", "predicted"))
+    """Compare the three models, save the best with its facts and all metrics, and score the held-out rows with both copies."""
+    rows = models.engineer(t.view("fx_train")).select("sample_id", *MODEL_NUMERIC, "lulc", "landslide")
+    measured, best = workflow.compare(materialise(rows, "training"), list(models.FITTERS), folds=0)
     path = shared_dir(t.spark, "model")
-    models.save_model(scorer, path, measured, {"features": ",".join(MODEL_NUMERIC + ["lulc"]), "seed": "42", "test_share": "0.2"})
-    again = models.load_model(t.spark, path).transform(test)
-    same = scored.select("sample_id", "score").join(again.select("sample_id", F.col("score").alias("again")), "sample_id")
-    return tidy(same.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference")))
+    models.save_model(best, path, measured, {"features": ",".join(MODEL_NUMERIC + ["lulc"]), "seed": "42", "test_share": "0.2"})
+    again = models.load_model(t.spark, path)
+    _, test = _parts(t)
+    pair = best.transform(test).select("sample_id", "score").join(again.transform(test).select("sample_id", F.col("score").alias("again")), "sample_id")
+    kept = t.spark.read.parquet(f"{path}/metrics")
+    first = F.lit(models.select_best(kept).first()["model"] == again.name)
+    same = pair.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("score") - F.col("again"))).alias("difference"))
+    return tidy(same.select(F.lit(kept.count()).cast("long").alias("models"), first.alias("best_saved"), "rows", "difference"))
