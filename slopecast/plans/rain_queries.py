@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trigger_score
 from ..operators import rain
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..settings import RAIN_WINDOWS
 from ..sources import payload
 from ..streaming import readings as streaming
@@ -244,3 +244,31 @@ def t3(t: Tables) -> DataFrame:
     stream = streaming.reading_stream(t.spark, feed, "loc_id long, ts timestamp_ntz, mm double, pull int", max_files=FILES)
     kept, late = streaming.run_upserts(streaming.last_pulls(stream, ["loc_id"]), ["loc_id", "ts"], "pulls")
     return tidy(kept.withColumn("too_late", F.lit(late).cast("long")))
+
+
+WEEKS = "date_trunc('week', ts)"
+LATEST = "(SELECT max(ts) AS latest FROM fx_readings)"
+CLOCK_SUMS = ", ".join(f"round(sum(CASE WHEN ts > latest - INTERVAL {h} HOUR THEN mm ELSE 0 END), 6) AS rain_{h}h_mm" for h in RAIN_WINDOWS)
+
+
+@query(
+    "t2_stream_clock",
+    f"SELECT loc_id, {CLOCK_SUMS}, max(latest) AS clock, (SELECT count(DISTINCT {WEEKS}) FROM fx_readings) AS refreshes FROM fx_readings, {LATEST} l WHERE ts > latest - INTERVAL 72 HOUR GROUP BY loc_id",
+    ("fx_readings",),
+)
+def t2_clock(t: Tables) -> DataFrame:
+    """Readings arrive week by week, then the first week's again: the clock follows them, and what is old by then refreshes nothing."""
+    feed, target, state = (shared_dir(t.spark, f"clock-{part}") for part in ("feed", "tables", "state"))
+    rows = materialise(t.view("fx_readings").select("loc_id", "ts", "mm", F.date_trunc("week", "ts").alias("week")), "clock-rows")
+    weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # one row a week, each a batch
+    for week in [*weeks, *weeks[:1]]:
+        rows.where(F.col("week") == F.lit(week)).drop("week").coalesce(1).write.mode("append").parquet(feed)
+    stream = streaming.reading_stream(t.spark, feed, "loc_id long, ts timestamp_ntz, mm double", max_files=1)
+
+    def refresh(recent: DataFrame, clock: Column) -> DataFrame:
+        return rain.trailing_totals(recent, clock).withColumn("clock", clock)
+
+    streaming.stream_refresh(stream, refresh, None, target, state).awaitTermination()
+    stored = t.spark.read.option("basePath", f"{target}/summary").parquet(f"{target}/summary")
+    refreshes = stored.agg(F.countDistinct("batch")).first()[0]
+    return tidy(streaming.latest_summary(t.spark, target).withColumn("refreshes", F.lit(refreshes).cast("long")))

@@ -129,7 +129,7 @@ def t2(t: Tables) -> DataFrame:
     t.view("fx_area_readings").repartition(FILES).write.parquet(feed)
     stream = streaming.reading_stream(t.spark, feed, "station_id int, ts timestamp_ntz, mm double", max_files=1)
 
-    def refresh(recent: DataFrame) -> DataFrame:
+    def refresh(recent: DataFrame, _) -> DataFrame:
         points = stations(t, t.spark.read.parquet(*recent.inputFiles()))
         return tidy(classes.risk_summary(risk(t, points), rain.rain_maxima(points), RISK_SCHEME, RUN_TIME))
 

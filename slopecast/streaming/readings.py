@@ -167,29 +167,36 @@ def run_counted(stream: DataFrame, purpose: str, mode: str = "append") -> tuple[
 
 
 def fold_recent(
-    batch: DataFrame, folder: str, batch_id: int, current: Column, loc: str = "loc_id", time: str = "ts", amount: str = "mm"
-) -> DataFrame:
+    batch: DataFrame, folder: str, batch_id: int, current: Column | None = None, loc: str = "loc_id", time: str = "ts", amount: str = "mm"
+) -> tuple[DataFrame, Column, bool]:
     """Readings of the longest window up to ``current``, of this batch and all before: one row per location and instant.
 
-    The table of each batch is written under its number from that of the batch before, so a batch
-    that is replayed after a failure rewrites its own. Tables two batches back are released.
+    Without ``current`` the clock is the latest reading so far. Returned besides are the clock, and whether the
+    batch moved it or brought a reading that still counts. The table of each batch is written under its number
+    from that of the batch before, so a batch that is replayed after a failure rewrites its own. Tables two
+    batches back are released.
     """
     spark = batch.sparkSession
-    fresh = up_to(batch, current, time, amount).select(loc, time, amount)
+    given = batch.where(F.col(amount).isNotNull() & ~F.isnan(amount)).select(loc, time, amount)
     before = f"{folder}/batch={batch_id - 1}"
-    if exists(spark, before):
-        fresh = fresh.unionByName(spark.read.parquet(before))
-    recent = fresh.where(F.col(time) > current - F.make_dt_interval(hours=F.lit(max(RAIN_WINDOWS))))
+    known = spark.read.parquet(before) if exists(spark, before) else given.limit(0)
+    moved = False
+    if current is None:
+        then, now = (rows.agg(F.max(time)).first()[0] for rows in (known, given))
+        moved = now is not None and (then is None or now > then)
+        current = F.lit(now if moved else then).cast(batch.schema[time].dataType)
+    counts = (F.col(time) <= current) & (F.col(time) > current - F.make_dt_interval(hours=F.lit(max(RAIN_WINDOWS))))
     target = f"{folder}/batch={batch_id}"
+    recent = given.unionByName(known).where(counts)
     recent.groupBy(loc, time).agg(F.sum(amount).alias(amount)).write.mode("overwrite").parquet(target)
     release(spark, f"{folder}/batch={batch_id - 2}")
-    return spark.read.parquet(target)
+    return spark.read.parquet(target), current, moved or not given.where(counts).isEmpty()
 
 
 def stream_refresh(
     readings: DataFrame,
-    refresh: Callable[[DataFrame], DataFrame],
-    current: Column,
+    refresh: Callable[[DataFrame, Column], DataFrame],
+    current: Column | None,
     target: str,
     state: str,
     loc: str = "loc_id",
@@ -197,11 +204,16 @@ def stream_refresh(
     amount: str = "mm",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Recompute a summary after each micro-batch from all readings of the longest window, and store it under the batch's number."""
+    """Recompute a summary after each micro-batch from all readings of the longest window, and store it under the batch's number.
+
+    ``refresh`` gets those readings and the clock. Without ``current`` the clock follows the latest reading. A batch
+    that changes neither leaves the last summary as it is; the first one always stores one.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        recent = fold_recent(batch, f"{target}/recent", batch_id, current, loc, time, amount)
-        refresh(recent).write.mode("overwrite").parquet(f"{target}/summary/batch={batch_id}")
+        recent, clock, changed = fold_recent(batch, f"{target}/recent", batch_id, current, loc, time, amount)
+        if changed or not exists(batch.sparkSession, f"{target}/summary"):
+            refresh(recent, clock).write.mode("overwrite").parquet(f"{target}/summary/batch={batch_id}")
 
     writer = readings.writeStream.foreachBatch(store).option("checkpointLocation", state)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -8,7 +8,7 @@ from slopecast.plans.fixtures import Tables
 from slopecast.plans.rain_queries import now
 
 QUERIES = entry_points.queries()
-EAGER = {"m4_random_forest", "m5_svm_rbf_calibrated", "m7_evaluate_model", "m7_evaluate_forest", "m7_evaluate_svm", "m8_feature_importance", "l2_rank_importance", "m10_score_pixels", "k6_save_model", "t1_stream_trailing_totals", "t2_stream_risk_refresh", "t3_late_reading_policy", "s8_scan_readings_stream"}
+EAGER = {"m4_random_forest", "m5_svm_rbf_calibrated", "m7_evaluate_model", "m7_evaluate_forest", "m7_evaluate_svm", "m8_feature_importance", "l2_rank_importance", "m10_score_pixels", "k6_save_model", "t1_stream_trailing_totals", "t2_stream_risk_refresh", "t2_stream_clock", "t3_late_reading_policy", "s8_scan_readings_stream"}
 HEADLINE = ["a3_audit_report", "l5_sample_background", "j3_nearest_neighbour", "j6_point_in_polygon", "f13_clip_to_polygon", "a7_risk_summary", "r11_window_risk_layers", "r4_resample_cubic_spline", "r6_proximity", "a6_class_summary", "w1_rolling_totals"]
 
 
