@@ -6,8 +6,8 @@ hit the item is laid over the text, and a window of ``WINDOW`` item words, of wh
 equal at their places, proves an overlap. The two masks are such that any window with at most
 three substituted words holds a hit of one of them, so none is missed.
 
-Only DataFrame operations are used. With a benchmark of up to ``SEED_ROWS`` seeds, which is
-counted, its seeds are broadcast and texts are neither shuffled nor stored: positions are
+Only DataFrame operations are used. With a benchmark of up to ``SEED_ROWS`` seeds that carry up to
+``SEED_BYTES`` of words, which are counted, its seeds are broadcast and texts are neither shuffled nor stored: positions are
 unfolded, hashed, looked up and verified within one stage. A larger benchmark meets the positions
 by a shuffle on the seed hashes, and only hits go back to their texts.
 """
@@ -24,7 +24,7 @@ MASKS = ("11111", "110101001")
 WINDOW, MATCHES = 15, 12
 #: Items of fewer words are no evidence and have no seed.
 MIN_ITEM_WORDS = 5
-SEED_ROWS = 200_000
+SEED_ROWS, SEED_BYTES = 200_000, 64 << 20
 PUNCTUATION = ".,;:!?\"'()[]"
 
 
@@ -73,17 +73,17 @@ def overlaps(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_
     """``doc_id, text_key, item_id, matched``: every text and item with a proven overlap, and its most equal words.
 
     ``items`` has ``item_id`` and ``text``. Items of fewer than ``WINDOW`` words must be there with all
-    their words. Null and empty texts overlap nothing; an empty benchmark gives no rows; rows that
+    their words; items of fewer than ``MIN_ITEM_WORDS`` words overlap nothing. Null and empty texts overlap nothing; an empty benchmark gives no rows; rows that
     repeat an id and a text give one row; a null id is an id. Other columns are not read.
     """
     docs = id_and_text(docs, id_column, text_column)
     seeds = landed(benchmark_seeds(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))), "seeds")
-    rows = seeds.limit(seed_rows + 1).count()
+    size = seeds.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("item_words", " ")) + 24 * F.size("item_words")).alias("bytes")).first()
     worded = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     # The outer form keeps the optimizer from splitting each text twice to skip empty ones first.
     placed = worded.select("doc_id", "text_key", "words", F.posexplode_outer("words").alias("at", "word")).drop("word")
     keyed = placed.select("doc_id", "text_key", "words", "at", F.explode(seed_keys("words", "at")).alias("key")).where("key IS NOT NULL")
-    if rows <= seed_rows:
+    if size.rows <= seed_rows and (size.bytes or 0) <= SEED_BYTES:
         hits = keyed.join(F.broadcast(seeds), "key")
     else:
         met = keyed.select("doc_id", "text_key", "at", "key").join(seeds.select("key", "item_id", "item_at"), "key")

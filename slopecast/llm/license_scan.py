@@ -24,7 +24,7 @@ from .common import id_and_text, texts
 BANDS, BAND_ROWS = 64, 2
 CONTAINMENT = 0.8
 SMALLEST_CLASS = 8
-#: Shingles worked on at once; a longer text is taken in pieces that overlap by the largest window.
+#: Shingles worked on at once, or four times the largest window if that is more; pieces overlap by that window.
 PIECE = 1 << 13
 WORDS_KEPT = 500_000
 
@@ -109,6 +109,7 @@ class Index:
                 self.classes.setdefault(size, []).append(n)
         self.keys = {m: np.stack([self.bands(self.signature(self.sets[n][None])) for n in own])[:, :, 0] for m, own in self.classes.items()}
         self.widest = max(self.classes, default=SMALLEST_CLASS) * 5 // 4
+        self.piece = max(PIECE, 4 * self.widest)  # a piece holds any window several times
 
     def signature(self, blocks: np.ndarray) -> np.ndarray:
         """Least permuted hash of each row of ``blocks``: [permutation, row]."""
@@ -154,9 +155,9 @@ class Index:
         ends = np.cumsum([0, *map(len, each)])
         flat = np.concatenate([*each, np.zeros(0, np.uint64)])
         found: list[dict[str, list[list]]] = [{} for _ in texts]
-        step = PIECE - self.widest - PIECE % (SMALLEST_CLASS // 4)
+        step = self.piece - self.widest
         for start in range(0, max(len(flat), 1), step):
-            piece = flat[start : start + PIECE]
+            piece = flat[start : start + self.piece]
             # A window may reach over a border of texts; each text then answers for its own part.
             for n, first, end in sorted(self.candidates(piece)):
                 first, end = start + first, start + end

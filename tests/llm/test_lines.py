@@ -184,6 +184,16 @@ def test_licenses_across_pieces(monkeypatch):
     assert [s["name"] for s in own] == ["ISC", "MIT"]
 
 
+def test_a_template_longer_than_a_piece(monkeypatch):
+    monkeypatch.setattr(license_scan, "PIECE", 256)
+    long = " ".join(f"clause{n * n % 1009} term{n}" for n in range(400))
+    index = license_scan.Index({"long": long, "MIT": license_scan.TEMPLATES["MIT"]})
+    assert index.widest > license_scan.PIECE
+    found = index.matches([passage(1, 300) + " " + long + " " + passage(2, 900) + " Released under the MIT License.", passage(3, 50), long])
+    assert [[s["name"] for s in own] for own in found] == [["MIT", "long"], [], ["long"]]
+    assert found[2][0]["containment"] == 1.0
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     got = license_scan.scan(odd_docs).collect()
     assert len(got) == len(ODD_ROWS) and not any(r.licenses for r in got)
