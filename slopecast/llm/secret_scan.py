@@ -4,7 +4,7 @@ The guess cost of a value is the least number of guesses over all its segmentati
 dictionary words, dates, repeats, keyboard walks and brute-force spans, by dynamic programming
 over positions. A value in a credential context that the fixed patterns miss counts as a secret
 when it would take many guesses; placeholders and plain words do not. Plain words are a short fixed
-list and the letter words that several texts of a sample have outside such values.
+list and the letter words that several texts of the table have outside such values.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_limit, id_and_text, texts
+from .common import id_and_text, landed, scratch, texts
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,8 +55,10 @@ WORDS = (
 RANK = {w: n + 1 for n, w in reversed(list(enumerate(WORDS)))}
 LONGEST_WORD = 24
 LETTERS = re.compile(rf"[^\W\d_]{{3,{LONGEST_WORD}}}")
-#: Sampled texts, how many of them must have a word, and how many words are kept, the most frequent first.
-SAMPLE, LEAST_TEXTS, PLAIN_WORDS = 10_000, 5, 50_000
+#: How many texts must have a word, at least and of so many; and how many words are kept, the most frequent first.
+LEAST_TEXTS, OF_TEXTS, PLAIN_WORDS = 5, 10_000, 50_000
+#: Words that a task holds with their counts; beyond that it passes them on and starts anew.
+HELD_WORDS = 500_000
 # Rows of the common keyboard; neighbours in a row make a walk.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEIGHBOURS = {a + b for row in KEY_ROWS for a, b in zip(row, row[1:])} | {b + a for row in KEY_ROWS for a, b in zip(row, row[1:])}
@@ -198,16 +201,31 @@ def words_of(text: str) -> list[str]:
 
 
 def plain_words(docs: DataFrame) -> dict[str, int]:
-    """Rank of each plain word: the fixed ones, and those of the sampled texts by the number of texts that have them."""
+    """Rank of each plain word: the fixed ones, and those of all texts by the number of texts that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts_seen = Counter(), 0
         for _, values in texts(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([words_of(t) for t in values], pa.list_(pa.string()))], ["words"])
-
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
-    sampled = docs.where(F.xxhash64("doc_id", "text") <= hash_limit(share)).select("text")
-    counted = sampled.mapInArrow(run, "words array<string>").select(F.explode("words").alias("word")).groupBy("word").count()
-    top = counted.where(F.col("count") >= LEAST_TEXTS).orderBy(F.col("count").desc(), "word").limit(PLAIN_WORDS).collect()
+            for text in values:
+                held.update(words_of(text))
+            texts_seen += len(values)
+            if len(held) >= HELD_WORDS:
+                yield from counted(held)
+                held.clear()
+        yield from counted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts_seen], pa.int64())], ["word", "n"])
+
+    def counted(held: Counter) -> Iterator[pa.RecordBatch]:
+        whole = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        for start in range(0, whole.num_rows, 10_000):
+            yield whole.slice(start, 10_000)
+
+    words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with scratch(docs.sparkSession):
+        words = landed(words.where(F.col("word").isNull() | (F.col("n") >= LEAST_TEXTS)), "words")
+        n = words.where("word is null").agg(F.sum("n")).first()[0] or 0
+        frequent = words.where(F.col("word").isNotNull() & (F.col("n") >= max(LEAST_TEXTS, n * LEAST_TEXTS / OF_TEXTS)))
+        top = frequent.orderBy(F.col("n").desc(), "word").limit(PLAIN_WORDS).collect()
     return {r.word: n + 1 for n, r in reversed(list(enumerate(top)))} | RANK
 
 

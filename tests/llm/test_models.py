@@ -250,3 +250,10 @@ def test_long_words_are_read_without_signs_to_their_end():
     bare = word.replace("-", "")
     windows = {n for _, numbers, _ in toxicity.subsequences([bare]) for n in numbers.ravel()}
     assert windows <= {n for _, numbers, _ in toxicity.subsequences([word]) for n in numbers.ravel()}
+
+
+def test_plain_words_come_from_all_texts(spark):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id < 330 THEN concat('common', chr(97 + id % 10)) WHEN id < 350 THEN 'seldom' END AS text")
+    found = secret_scan.plain_words(rows.repartition(3))
+    assert {w for w in found if w.startswith("common")} == {f"common{c}" for c in "abcdefghij"}  # 33 texts each; 30 are needed
+    assert "seldom" not in found  # 20 texts
