@@ -32,9 +32,17 @@ def first_present(mapping: Column | str, keys: list[str]) -> Column:
     return F.coalesce(*[F.nullif(m[key], F.lit("")) for key in keys])
 
 
-def place_fields(payload: Column | str, default_place: str) -> dict[str, Column]:
-    """Place columns of one geocoder answer (JSON text)."""
-    doc = F.from_json(as_col(payload), ADDRESS_SCHEMA)
+def place_document(payload: Column | str) -> Column:
+    """One geocoder answer (JSON text), parsed."""
+    return F.from_json(as_col(payload), ADDRESS_SCHEMA)
+
+
+def place_fields(payload: Column | str, default_place: str, parsed: bool = False) -> dict[str, Column]:
+    """Place columns of one geocoder answer (JSON text, or ``parsed`` by ``place_document``).
+
+    Each use of the columns parses a text again; many rows are better parsed in a column of their own first.
+    """
+    doc = as_col(payload) if parsed else place_document(payload)
     address = doc["address"]
     local = first_present(address, LOCAL_KEYS)
     municipality = first_present(address, MUNICIPALITY_KEYS)

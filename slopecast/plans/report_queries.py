@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import alert_level, first_present, format_percent, place_fields
+from ..functions import alert_level, first_present, format_percent, place_document, place_fields
 from ..operators import classes, lookups, rain, workflow
 from ..session import materialise
 from ..settings import FEATURES, RISK_LABELS
@@ -40,8 +40,9 @@ def p18(t: Tables) -> DataFrame:
     f"SELECT c_custkey, coalesce(local_name, fallback, municipality, '{DEFAULT_PLACE}') AS place, local_name, municipality, district, province, coalesce(shown, local_name, fallback, municipality, '{DEFAULT_PLACE}') AS display_name FROM ({PARTS}) p",
 )
 def p19(t: Tables) -> DataFrame:
-    fields = place_fields("payload", DEFAULT_PLACE)
-    return t.base("customer").selectExpr("c_custkey", ADDRESS).select("c_custkey", *[c.alias(name) for name, c in fields.items()])
+    fields = place_fields("doc", DEFAULT_PLACE, parsed=True)
+    parsed = t.base("customer").selectExpr("c_custkey", ADDRESS).select("c_custkey", place_document("payload").alias("doc"))
+    return parsed.select("c_custkey", *[c.alias(name) for name, c in fields.items()])
 
 
 # Every second site has a saved answer; where sites share a key the later one stands.
@@ -63,7 +64,8 @@ def _lookups(t: Tables) -> tuple[DataFrame, DataFrame]:
 )
 def p20_saved(t: Tables) -> DataFrame:
     points, answers = _lookups(t)
-    fields = place_fields("answer", DEFAULT_PLACE)
+    answers = answers.withColumn("answer", place_document("answer"))
+    fields = place_fields("answer", DEFAULT_PLACE, parsed=True)
     found = lookups.with_answers(points, answers, {name: fields[name] for name in ("place", "province")})
     return found.select("sample_id", *lookups.KEY, "place", "province", "answered")
 
