@@ -69,16 +69,22 @@ def sample_pixels(
 def sample_layers(
     points: DataFrame, long: DataFrame, grids: dict[str, Grid], point_id: str, xy: tuple[str, str] = ("longitude", "latitude")
 ) -> DataFrame:
-    """Sampling where every layer has its own grid; one wide row per point."""
+    """Sampling where every layer has its own grid; one wide row per point.
+
+    A point meets the cells of each grid once, however many layers share it; a cell's layers are gathered
+    to one row first. Of several values of one cell, or of one point id, the largest counts.
+    """
+    kinds = list(dict.fromkeys(grids.values()))
     keys = []
-    for layer, grid in grids.items():
+    for n, grid in enumerate(kinds):
         row, col = lonlat_to_pixel(*xy, grid)
-        keys.append(F.struct(F.lit(layer).alias("layer"), row.alias("row_id"), col.alias("col_id")))
+        keys.append(F.struct(F.lit(n).alias("_grid"), row.alias("row_id"), col.alias("col_id")))
     keyed = points.select(point_id, F.explode(F.array(*keys)).alias("k")).select(point_id, "k.*")
-    key = ["layer", *PIXEL]
-    hit = long.join(keyed.select(*key).distinct(), key, "left_semi")
-    sampled = keyed.join(hit, key, "left")
-    wide = sampled.groupBy(point_id).pivot("layer", list(grids)).agg(F.first("value"))
+    key = ["_grid", *PIXEL]
+    grid_of = F.coalesce(*[F.when(F.col("layer").isin([name for name, g in grids.items() if g == kind]), n) for n, kind in enumerate(kinds)])
+    hit = long.withColumn("_grid", grid_of).join(keyed.select(*key).distinct(), key, "left_semi")
+    cells = hit.groupBy(*key).agg(*[F.max(F.when(F.col("layer") == name, F.col("value"))).alias(name) for name in grids])
+    wide = keyed.join(cells, key, "left").groupBy(point_id).agg(*[F.max(name).alias(name) for name in grids])
     return points.join(wide, point_id, "left")
 
 

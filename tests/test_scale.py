@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from slopecast.operators import nearest
+from slopecast.operators import nearest, pixels
+from slopecast.settings import Grid
 
 
 def plan(df):
@@ -41,3 +42,15 @@ def test_nearest_of_clusters_and_far_points(spark, monkeypatch, short, long):
     assert found["s"].tolist() == site.tolist()
     near = nearest.nearest_neighbour(_points(spark, asked, "q"), _points(spark, sites, "s"), "q", "s", within=0.01).toPandas()
     assert sorted(near["q"]) == np.flatnonzero(distance <= 0.01).tolist()
+
+
+def test_a_point_meets_a_grid_once_for_all_its_layers(spark):
+    fine, coarse = Grid(0.0, 1.0, 0.0, -1.0), Grid(0.0, 2.0, 0.0, -2.0)
+    wide = spark.createDataFrame([(0, 0, 1.0, 2.0, None), (1, 1, 3.0, None, 5.0)], "row_id int, col_id int, a double, b double, c double")
+    rain = spark.createDataFrame([("r", 0, 0, 7.0)], "layer string, row_id int, col_id int, value double")
+    points = spark.createDataFrame([(1, 0.5, -0.5), (2, 1.5, -1.5), (3, 9.5, -9.5), (4, None, None), (5, 0.4, -0.4)], "id int, longitude double, latitude double")
+    grids = {"a": fine, "b": fine, "c": fine, "r": coarse}
+    sampled = pixels.sample_layers(points, pixels.melt_layers(wide, ["a", "b", "c"]).unionByName(rain), grids, "id")
+    assert [tuple(x)[3:] for x in sampled.orderBy("id").collect()] == [(1.0, 2.0, None, 7.0), (3.0, None, 5.0, 7.0), (None,) * 4, (None,) * 4, (1.0, 2.0, None, 7.0)]
+    text = sampled._jdf.queryExecution().analyzed().toString()
+    assert text.count("struct(_grid") == 2 * text.count("explode(") == 4
