@@ -160,23 +160,21 @@ def _axis(lo: Column, hi: Column, i: Column, n: int) -> Column:
 
 
 def sample_lattice(vertices: DataFrame, n: int, band: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Distinct (feature_id, x, y): lattice points inside each feature, and its centroid."""
+    """Distinct (feature_id, x, y): lattice points inside each feature, and its centroid.
+
+    A box is a small row that becomes n * n points. Spark knows only the rows' size, so it would make all
+    points of a whole table in one task or broadcast them: boxes are dealt out first, and the join sorts.
+    """
     edges = ring_edges(vertices)
-    box = extent(vertices, "x", "y", ["feature_id"])
+    box = extent(vertices, "x", "y", ["feature_id"]).drop("rows")
+    dealt = box.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feature_id")
+    px = _axis(F.col("min_x"), F.col("max_x"), F.col("i"), n)
+    py = _axis(F.col("min_y"), F.col("max_y"), F.col("j"), n)
     steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lattice = (
-        box.withColumn("i", steps)
-        .withColumn("j", steps)
-        .select(
-            "feature_id",
-            F.struct("feature_id", "i", "j").alias("lattice_id"),
-            _axis(F.col("min_x"), F.col("max_x"), F.col("i"), n).alias("px"),
-            _axis(F.col("min_y"), F.col("max_y"), F.col("j"), n).alias("py"),
-        )
-    )
-    inside = _strictly_inside(lattice, edges, "lattice_id", band)
-    kept = lattice.join(inside, ["lattice_id", "feature_id"], "left_semi")
-    points = kept.select("feature_id", F.col("px").alias("x"), F.col("py").alias("y"))
+    lattice = dealt.withColumn("i", steps).withColumn("j", steps).select("feature_id", (F.col("i") * n + F.col("j")).alias("lattice_id"), px.alias("px"), py.alias("py"))
+    inside = _strictly_inside(lattice.hint("merge"), edges, "lattice_id", band)
+    kept = inside.withColumn("i", F.expr(f"lattice_id div {n}")).withColumn("j", F.col("lattice_id") % n).join(box, "feature_id")
+    points = kept.select("feature_id", px.alias("x"), py.alias("y"))
     return points.unionByName(centroid(edges, origin).select("feature_id", "x", "y")).distinct()
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from slopecast.operators import nearest, pixels
+from slopecast.operators import nearest, pixels, polygon
 from slopecast.settings import Grid
 
 
@@ -54,3 +54,12 @@ def test_a_point_meets_a_grid_once_for_all_its_layers(spark):
     assert [tuple(x)[3:] for x in sampled.orderBy("id").collect()] == [(1.0, 2.0, None, 7.0), (3.0, None, 5.0, 7.0), (None,) * 4, (None,) * 4, (1.0, 2.0, None, 7.0)]
     text = sampled._jdf.queryExecution().analyzed().toString()
     assert text.count("struct(_grid") == 2 * text.count("explode(") == 4
+
+
+def test_lattice_points_are_dealt_out_and_never_broadcast(spark):
+    rings = [(f, 0, n, f + x, y) for f in range(20) for n, (x, y) in enumerate([(0.0, 0.0), (0.9, 0.0), (0.9, 0.9), (0.0, 0.9)])]
+    made = polygon.sample_lattice(spark.createDataFrame(rings, "feature_id int, part_id int, seq int, x double, y double"), 4, 0.01)
+    text = plan(made)
+    assert "REPARTITION_BY_NUM" in text
+    assert any("SortMergeJoin" in line and "_band" in line for line in text.splitlines())
+    assert made.groupBy("feature_id").count().where("count != 5").isEmpty() and made.count() == 100  # 2 x 2 inside and the centroid
