@@ -167,7 +167,7 @@ def sample_lattice(vertices: DataFrame, n: int, band: float, origin: tuple[float
     """
     edges = ring_edges(vertices)
     box = extent(vertices, "x", "y", ["feature_id"]).drop("rows")
-    dealt = box.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feature_id")
+    dealt = box.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by a key, Spark would drop it
     px = _axis(F.col("min_x"), F.col("max_x"), F.col("i"), n)
     py = _axis(F.col("min_y"), F.col("max_y"), F.col("j"), n)
     steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
