@@ -17,6 +17,7 @@ so a lost executor costs only its tasks.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,10 +36,15 @@ DICTIONARY_BYTES = 112 << 10
 #: The dictionary is trained on this many documents of at most so many characters, drawn by hash.
 #: It bears on the compression ratio only.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
-#: Distinct words remembered by a worker; the memory is emptied when it is full.
-WORDS_KEPT = 1_000_000
-WORD_END = "</w>"
-STOPS = b".,;:!?"
+#: Distinct words remembered by a worker; the memory is emptied when it is full. An executor may hold several workers.
+WORDS_KEPT = 400_000
+SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTER = rb"[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]"
+SIMPLE = re.compile(rb"(?:[!-@\[-`{-~]|%b)+" % LETTER)
+#: The tokenizer's split, for such words.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:%b)+|[0-9]|[!-/:-@\[-`{-~]+" % LETTER)
+#: Bytes, read as Latin-1, to the characters that stand for them in the vocabulary.
+BYTE_LEVEL = dict(zip([*range(0x21), *range(0x7F, 0xA1), 0xAD], range(0x100, 0x144)))
 
 BLOCK_SCHEMA = (
     "shard int, first_doc long, last_doc long, dictionary_sha256 string, doc_ids array<long>, "
@@ -59,46 +65,40 @@ class WordIds(dict):
     """Word -> its ids as bytes, by the library, asked once for each distinct word.
 
     The tokenizer's split never joins characters across ASCII white space and drops the white
-    space, so a text's ids are those of its words in order. Words of letters only are one piece
-    each, so many go to the library in one call; the end-of-word tokens part their ids again.
+    space, so a text's ids are those of its words in order. A letter or digit and the symbols at a
+    word's end are parted by it. Of a word of printable ASCII and small Latin-1 letters, which the
+    normalizer leaves alone, the pieces of the split are known too, so the library's model is asked
+    for a piece without the other steps. Other words take all steps.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.own = tokenizer(path)
-        vocabulary = self.own.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.model = self.own.model
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.own.get_vocab(with_added_tokens=False).values()) + 1)]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.own.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = value = np.asarray(ids, "<u4").tobytes()
-        return value
-
-    def learn(self, words: set[bytes]) -> None:
-        """Fill the memory for these words with few calls."""
-        if len(self) + len(words) > WORDS_KEPT:
+        if word.isalpha() and word.islower():
+            ids = self.of_piece(word.decode())
+        elif (stem := word.rstrip(SYMBOLS)) != word and stem[-1:].isalnum():
+            ids = self[stem] + self[word[len(stem) :]]
+        elif not SIMPLE.fullmatch(word):
+            ids = np.asarray(self.own.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        elif len(pieces := PIECES.findall(word)) == 1:
+            ids = self.of_piece(word.decode("latin-1").translate(BYTE_LEVEL))
+        else:
+            ids = b"".join(map(self.__getitem__, pieces))
+        if len(self) >= WORDS_KEPT:
             self.clear()
-        new = [w for w in words if w not in self]
-        stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in STOPS and is_letters(w[:-1])}
-        letters = [w for w in {*(w for w in new if is_letters(w)), *stems.values()} if w not in self]
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            ids = np.asarray(self.own.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):  # else some word is more than one piece, and each is asked alone when met
-                raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.update({w: raw[i:j] for w, i, j in zip(some, bounds, bounds[1:])})
-        self.update({w: self[stem] + self[w[-1:]] for w, stem in stems.items()})
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [plain(t).split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        self[word] = ids
+        return ids
 
+    def of_piece(self, piece: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(piece)])
 
-def is_letters(word: bytes) -> bool:
-    return word.isalpha() or not word.isascii() and word.decode().isalpha()
+    def texts(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, plain(t).split())) for t in texts]
 
 
 def plain(text: str) -> bytes:

@@ -64,6 +64,25 @@ def test_words_have_the_ids_of_the_text(text):
     assert np.frombuffer(raw, "<u4").tolist() == library_ids(text)
 
 
+SIMPLE_WORDS = st.lists(st.sampled_from([*map(chr, range(0x21, 0x7F)), *map(chr, range(0xC0, 0x100)), "'s", "'ll", "don", "ß", "\x00", "\x7f"]), min_size=1, max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SIMPLE_WORDS, max_size=8).map(" ".join))
+def test_pieces_of_a_word_have_its_ids(text):
+    (raw,) = token_files.WordIds(queries.WORD_BPE).texts([text])
+    assert np.frombuffer(raw, "<u4").tolist() == library_ids(text)
+
+
+def test_simple_words_go_to_the_model_and_few_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 10)
+    words = token_files.WordIds(queries.WORD_BPE)
+    words.own = None  # asked for other words only
+    text = " ".join(f"Wort{chr(97 + n % 26)}{n}ähnlich,%% it's" for n in range(50))
+    assert np.frombuffer(b"".join(words.texts([text])), "<u4").tolist() == library_ids(text)
+    assert len(words) <= 10
+
+
 def expected(rows):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, out = 0, []
