@@ -59,6 +59,8 @@ def run_upserts(stream: DataFrame, keys: list[str], purpose: str) -> tuple[DataF
 
 
 HOUR = 3_600_000  # milliseconds
+#: Window ends in one row of lists, which Spark takes apart: the way from Python to Spark costs by the row.
+ENDS_A_ROW = 24
 #: What is kept of a location: its hours (by their ends) and sums that open windows need, and the last end emitted.
 KEPT = "hours array<long>, amounts array<double>, emitted long"
 
@@ -71,21 +73,28 @@ def window_totals(hours: np.ndarray, amounts: np.ndarray, after: int | None, unt
     longest = max(RAIN_WINDOWS)
     order = np.argsort(hours, kind="stable")
     hours, amounts = hours[order], amounts[order]
-    pieces = []
-    for run in np.split(np.arange(len(hours)), np.flatnonzero(np.diff(hours) >= longest) + 1):
-        if not len(run):
-            continue
-        first = int(hours[run[0]])
+    ends, totals = [np.empty(0, np.int64)], [[np.empty(0)] for _ in RAIN_WINDOWS]
+    bounds = [0, *(np.flatnonzero(np.diff(hours) >= longest) + 1).tolist(), len(hours)]
+    for start, stop in zip(bounds, bounds[1:]) if len(hours) else ():
+        run, summed = hours[start:stop], amounts[start:stop]
+        first = int(run[0])
         low = first if after is None else max(first, after + 1)
-        high = min(int(hours[run[-1]]) + longest - 1, until)
+        high = min(int(run[-1]) + longest - 1, until)
         if low > high:
             continue
         dense = np.zeros(high - first + longest)
-        inside = run[hours[run] <= high]
-        np.add.at(dense, hours[inside] - first + longest - 1, amounts[inside])
+        inside = run <= high
+        np.add.at(dense, run[inside] - first + longest - 1, summed[inside])
         views = np.lib.stride_tricks.sliding_window_view(dense, longest)[low - first :]
-        pieces.append(pd.DataFrame({"end": np.arange(low, high + 1)} | {rain_column(h): views[:, longest - h :].sum(1) for h in RAIN_WINDOWS}))
-    return pd.concat(pieces, ignore_index=True) if pieces else pd.DataFrame(columns=["end", *RAIN_COLUMNS])
+        ends.append(np.arange(low, high + 1))
+        for found, h in zip(totals, RAIN_WINDOWS):
+            found.append(views[:, longest - h :].sum(1))
+    return pd.DataFrame({"end": np.concatenate(ends)} | {c: np.concatenate(found) for c, found in zip(RAIN_COLUMNS, totals)})
+
+
+def _by_hour(hours: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each, place = np.unique(hours, return_inverse=True)
+    return each, np.bincount(place, amounts, len(each))
 
 
 def _hourly_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +106,9 @@ def _hourly_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     hours, amounts, emitted = state.get if state.exists else ([], [], None)
-    sums = dict(zip(hours, amounts))
+    hours, amounts = np.array(hours, np.int64), np.array(amounts, float)
     for part in () if state.hasTimedOut else batches:  # folded as they come, so a busy location fits
-        for end, mm in part.groupby("_end")["_mm"].sum().items():
-            sums[end] = sums.get(end, 0.0) + mm
-    hours, amounts = np.array(list(sums), np.int64), np.array(list(sums.values()), float)
+        hours, amounts = _by_hour(np.concatenate([hours, part["_end"].to_numpy()]), np.concatenate([amounts, part["_mm"].to_numpy()]))
     until = state.getCurrentWatermarkMs() // HOUR
     found = window_totals(hours, amounts, emitted, until)
     needed = hours + max(RAIN_WINDOWS) - 1 > until
@@ -112,10 +119,9 @@ def _close_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     elif state.exists:
         state.remove()
     if len(found):
-        ends = pd.to_datetime(found.pop("end").to_numpy(np.int64) * HOUR, unit="ms")
-        found.insert(0, "window_end", ends)
-        found.insert(0, "_loc", [key[0]] * len(found))
-        yield found
+        cuts = range(ENDS_A_ROW, len(found), ENDS_A_ROW)
+        lists = {c: pd.Series(np.split(found[c].to_numpy(), cuts), dtype=object) for c in found.columns}
+        yield pd.DataFrame({"_loc": [key[0]] * (len(cuts) + 1)} | lists)
 
 
 def stream_trailing_totals(
@@ -137,12 +143,14 @@ def stream_trailing_totals(
     hourly = present.mapInArrow(_hourly_sums, f"_loc {kind}, _end long, _at timestamp, _mm double").withWatermark("_at", delay)
     totals = hourly.groupBy("_loc").applyInPandasWithState(
         _close_windows,
-        f"_loc {kind}, window_end timestamp_ntz, {', '.join(f'{c} double' for c in RAIN_COLUMNS)}",
+        f"_loc {kind}, end array<long>, {', '.join(f'{c} array<double>' for c in RAIN_COLUMNS)}",
         KEPT,
         "append",
         "EventTimeTimeout",
     )
-    return totals.withColumnRenamed("_loc", loc)
+    each = totals.select(F.col("_loc").alias(loc), F.explode(F.arrays_zip("end", *RAIN_COLUMNS)).alias("_at"))
+    end = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, CAST(_at.end AS INT))")
+    return each.select(loc, end.alias("window_end"), *[f"_at.{c}" for c in RAIN_COLUMNS])
 
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:

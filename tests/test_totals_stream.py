@@ -83,3 +83,20 @@ def test_window_totals_skip_what_no_reading_reaches():
     assert found["end"].tolist() == [*range(10, 82), 500, 501]
     assert found["rain_3h_mm"].tolist() == [1.0] * 3 + [0.0] * 69 + [2.0] * 2
     assert streaming.window_totals(np.array([10]), np.array([1.0]), 81, 600).empty
+
+
+def test_ends_leave_the_state_function_in_few_rows():
+    class State:
+        exists, hasTimedOut, get = True, True, ([10], [1.5], None)
+
+        def getCurrentWatermarkMs(self):
+            return 600 * streaming.HOUR
+
+        def remove(self):
+            self.exists = False
+
+    state = State()
+    (rows,) = streaming._close_windows((7,), iter([]), state)
+    assert rows["_loc"].tolist() == [7] * 3 and not state.exists
+    assert np.concatenate(rows["end"].tolist()).tolist() == [*range(10, 82)]
+    assert np.concatenate(rows["rain_3h_mm"].tolist()).tolist() == [1.5] * 3 + [0.0] * 69
