@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, pixel_to_lonlat, risk_formula
@@ -113,18 +113,8 @@ class SurfaceIndex:
         return found.select(*keyed.columns[:-1], hit.alias("_hit"))
 
     def nearest(self, outside: DataFrame) -> DataFrame:
-        """Add ``_values``, those of the station nearest to each pixel centre; ties go to the lowest id."""
+        """Add ``_values``, those of the station nearest to each pixel centre; ties go to the lowest id. For any number of stations."""
         values = F.array(*[F.col(c).cast("double") for c in self.values]) if self.values else F.array().cast("array<double>")
-        if self.stations.limit(FEW_STATIONS + 1).count() <= FEW_STATIONS:
-            sites = self.stations.agg(F.collect_list(F.struct("station_id", "x", "y", values.alias("v"))).alias("_sites"), F.min("station_id").bitwiseAND(0).alias("_all"))
-
-            def ranked(s: Column) -> Column:
-                dx, dy = F.col("_x") - s["x"], F.col("_y") - s["y"]
-                return F.struct((dx * dx + dy * dy).alias("d"), s["station_id"].alias("id"), s["v"].alias("v"))
-
-            # One key for all, but no constant on either side: that would turn the join into a nested loop.
-            one = outside.withColumn("_all", F.col("row_id").bitwiseAND(0)).join(F.broadcast(sites), "_all")
-            return one.select(*outside.columns, F.array_min(F.transform("_sites", ranked))["v"].alias("_values"))
         asked = outside.withColumn("_pixel", F.shiftleft(F.col("row_id").cast("long"), 32) + F.col("col_id"))
         found = nearest_neighbour(asked, self.stations, "_pixel", "station_id", ("_x", "_y"), ("x", "y")).drop("distance")
         return asked.join(found.join(self.stations.select("station_id", values.alias("_values")), "station_id"), "_pixel").select(*outside.columns, "_values")
@@ -136,15 +126,39 @@ class SurfaceIndex:
         dx, dy = F.col("_x") - t["x0"], F.col("_y") - t["y0"]
         w1, w2 = t["a1"] * dx + t["b1"] * dy, t["a2"] * dx + t["b2"] * dy
         keep = [F.col(c) for c in pixels.columns]
-        linear = [(t["v0"][n] + w1 * (t["v1"][n] - t["v0"][n]) + w2 * (t["v2"][n] - t["v0"][n])).alias(c) for n, c in enumerate(self.values)]
+        linear = [t["v0"][n] + w1 * (t["v1"][n] - t["v0"][n]) + w2 * (t["v2"][n] - t["v0"][n]) for n, c in enumerate(self.values)]
+        inner = [value.alias(c) for value, c in zip(linear, self.values)]
         if not nearest:
-            return located.select(*keep, *linear, t.isNotNull().alias("in_hull"))
-        inside = located.where(t.isNotNull()).select(*keep, *linear, F.lit(True).alias("in_hull"))
+            return located.select(*keep, *inner, t.isNotNull().alias("in_hull"))
+        few = self.stations.orderBy("station_id").limit(FEW_STATIONS + 1).collect()
+        if 0 < len(few) <= FEW_STATIONS:  # one pass: each pixel is located once, inside or not
+            site = nearest_site(few)("_x", "_y", t.isNull())
+            sited = located.where(F.col("row_id").isNotNull()).withColumn("_site", site)
+            known = [F.array(*[F.lit(r[c]).cast("double") for r in few]) for c in self.values]
+            either = [F.when(t.isNotNull(), value).otherwise(F.get(at, F.col("_site"))).alias(c) for value, at, c in zip(linear, known, self.values)]
+            return sited.select(*keep, *either, t.isNotNull().alias("in_hull"))
+        inside = located.where(t.isNotNull()).select(*keep, *inner, F.lit(True).alias("in_hull"))
         outside = self.nearest(located.where(t.isNull()).drop("_hit"))
         taken = [F.col("_values")[n].alias(c) for n, c in enumerate(self.values)]
         return inside.unionAll(outside.select(*keep, *taken, F.lit(False).alias("in_hull")))
 
 
+def nearest_site(sites: list[Row]):
+    """The place in a short list, in the order of ids, of the site nearest to (x, y); ties go to the first, NULL where it is not asked for."""
+    sx, sy = (np.array([[r[c]] for r in sites], float) for c in "xy")
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series, y: pd.Series, asked: pd.Series) -> pd.Series:
+        wanted = asked.to_numpy(bool)
+        out = np.full(len(x), -1, np.int32)
+        if wanted.any():
+            dx, dy = x.to_numpy()[wanted] - sx, y.to_numpy()[wanted] - sy
+            out[wanted] = (dx * dx + dy * dy).argmin(0)
+        return pd.Series(out).mask(~wanted)
+
+    return place.asNondeterministic()  # else a condition on the result is pushed below and locates each pixel again
+
+
 def grid_shape(pixels: DataFrame) -> tuple[int, int]:
     row = pixels.agg(F.max("row_id").alias("r"), F.max("col_id").alias("c")).first()
     return row["r"] + 1, row["c"] + 1

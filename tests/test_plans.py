@@ -36,3 +36,9 @@ def test_pixels_are_not_shuffled_for_the_risk_map(spark, sf_dir):
     pixel_side = text.split("orders.parquet")[0]
     assert "BroadcastHashJoin" in text
     assert "hashpartitioning(row_id" not in pixel_side and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["a7_risk_summary", "r13_dynamic_risk_map"])
+def test_a_pixel_is_located_once(name, spark, sf_dir):
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert text.count("filter(_runs") == 1
