@@ -153,7 +153,8 @@ def nearest_site(sites: list[Row]):
         out = np.full(len(x), -1, np.int32)
         if wanted.any():
             dx, dy = x.to_numpy()[wanted] - sx, y.to_numpy()[wanted] - sy
-            out[wanted] = (dx * dx + dy * dy).argmin(0)
+            far = dx * dx + dy * dy
+            out[wanted] = np.where(np.isnan(far), np.inf, far).argmin(0)  # NaN is larger than any number
         return pd.Series(out).mask(~wanted)
 
     return place.asNondeterministic()  # else a condition on the result is pushed below and locates each pixel again

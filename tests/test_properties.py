@@ -393,3 +393,10 @@ def test_saved_answers_with_odd_rows(spark):
     none = answers.limit(0)
     assert lookups.with_answers(places, none, {"place": F.col("answer")}).where("answered").count() == 0
     assert lookups.keys_to_ask(places.limit(0), answers).count() == 0
+
+
+def test_nearest_site_of_a_short_list_breaks_ties_and_orders_nan_last():
+    sites = [{"x": float("nan"), "y": 0.0}, {"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}]
+    place = surface.nearest_site(sites).func
+    found = place(pd.Series([1.0, 1.9, 0.0]), pd.Series([0.0, 0.0, 0.0]), pd.Series([True, True, False]))
+    assert found[:2].tolist() == [1, 2] and pd.isna(found[2])
