@@ -130,6 +130,25 @@ def test_overlaps_are_those_of_brute_force(spark, docs_of, seed_rows):
     assert {(r.doc_id, r.item_id, r.matched) for r in got} == plain_overlaps(leaks(), ITEMS)
 
 
+@pytest.mark.parametrize("key_rows", [decontaminate.KEY_ROWS, 10])
+def test_overlaps_with_a_large_benchmark(spark, docs_of, key_rows):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.overlaps(docs_of(leaks()), items, seed_rows=0, key_rows=key_rows).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in got} == plain_overlaps(leaks(), ITEMS)
+
+
+@pytest.mark.parametrize("seed_rows", [decontaminate.SEED_ROWS, 0])
+def test_a_hit_copies_neither_its_text_nor_its_item(spark, docs_of, seed_rows):
+    rows = [(1, passage(70, 400) + " " + passage(50, 300) + " " + passage(71, 400))]
+    items = spark.createDataFrame([(1, passage(50, 300))], "item_id long, text string")
+    assert all(len(r.part) <= 2 * decontaminate.WINDOW - 1 for r in decontaminate.benchmark_seeds(items).collect())
+    found = decontaminate.overlaps(docs_of(rows), items, seed_rows=seed_rows)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    verified = [line for line in plan.split("\n") if "lambdafunction" in line]
+    assert verified and not any("words" in line for line in verified)
+    assert [(r.doc_id, r.item_id, r.matched) for r in found.collect()] == [(1, 1, decontaminate.WINDOW)]
+
+
 def test_overlaps_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, passage(4, 60)), (2, passage(5, 40))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd_docs, items).collect()}
