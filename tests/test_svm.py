@@ -61,3 +61,21 @@ def test_no_feature_is_stored(spark, monkeypatch):
     scored = models.fit_svm(train).transform(train)
     assert scored.where("score between 0 and 1").count() == 300
     assert dict(landed)["svm"] == ["sample_id", "fold", "y", "w", "x"]
+
+
+def test_the_first_steps_know_the_curvature(spark, monkeypatch):
+    """From a margin of zero the intercept, which costs nothing, once took steps of many millions, and passes to take them back."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=(4000, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + random.normal(0, 0.2, 4000) > 0.1).astype(int)
+    given = [(i % 3, int(b), float(4000 / (2 * (y == b).sum())), a.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(given, "fold int, y int, w double, x array<double>")
+    steps, move = [], svm.Fit.move
+
+    def watched(self, *args):
+        move(self, *args)
+        steps.append(float(np.abs(self.step).max()))
+
+    monkeypatch.setattr(svm.Fit, "move", watched)
+    got = svm.fit(df, svm.Kernel(4, 0.25, size=64), [0, 1, 2, -1], 2.0, 1e-3, 40)
+    assert len(got) == 4 and max(steps) < 1e4
